@@ -97,3 +97,649 @@ def q_tier_summary(spark, sf):
 @register("claims_fixture", O.claims_sql("SELECT * EXCLUDE (k) FROM claims"))
 def q_claims_fixture(spark, sf):
     return FX.bronze_claims(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources (checked parts) and bronze
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from claimscope import constants as K  # noqa: E402
+from claimscope.functions import scoring as SC  # noqa: E402
+from claimscope.operators import answers as A  # noqa: E402
+from claimscope.operators import bronze as B  # noqa: E402
+from claimscope.operators import measures as M  # noqa: E402
+from claimscope.operators import quality as Q  # noqa: E402
+from claimscope.sources.tables import read_table  # noqa: E402
+
+
+@register(
+    "claims_denormalise",
+    O.claims_sql(
+        "SELECT claim_id, claimant_id, property_id, state, id_verified, account_age_days, value_pct_change, has_lien "
+        "FROM claims"
+    ),
+)
+def q_claims_denormalise(spark, sf):
+    # claim-only columns of the orders, then the generic string-id denormaliser
+    orders = read_table(spark, sf, "orders")
+    pk = FX.order_property_keys(read_table(spark, sf, "lineitem"))
+    base = FX.claim_columns(orders.join(pk, orders.o_orderkey == pk.l_orderkey, "left"))
+    out = B.claims_denormalise(base, FX.claimants(spark, sf), FX.properties(spark, sf))
+    return out.select(
+        "claim_id", "claimant_id", "property_id", "state", "id_verified", "account_age_days",
+        "value_pct_change", "has_lien",
+    )
+
+
+@register(
+    "property_value_change",
+    O.with_ctes(*O.BASE)
+    + "\nSELECT property_id, value_pct_change, round((current_value / value_at_closing - 1) * 100, 2) "
+    "AS value_pct_change_calc FROM properties",
+)
+def q_property_value_change(spark, sf):
+    return B.property_value_change(FX.properties(spark, sf)).select(
+        "property_id", "value_pct_change", "value_pct_change_calc"
+    )
+
+
+@register("src_claimants", O.with_ctes(*O.BASE) + "\nSELECT * EXCLUDE (c_custkey) FROM claimants")
+def q_src_claimants(spark, sf):
+    return FX.claimants(spark, sf)
+
+
+@register("src_properties", O.with_ctes(*O.BASE) + "\nSELECT * EXCLUDE (p_partkey) FROM properties")
+def q_src_properties(spark, sf):
+    return FX.properties(spark, sf)
+
+
+@register("scan_table", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 1000")
+def q_scan_table(spark, sf):
+    # pushed filter + pruned read schema reach the parquet scan
+    return read_table(spark, sf, "customer").filter(F.col("c_acctbal") >= 1000).select(
+        "c_custkey", "c_name", "c_acctbal"
+    )
+
+
+@register("label_distribution", O.claims_sql("SELECT fraud_label, count(*) AS claim_count FROM claims GROUP BY 1"))
+def q_label_distribution(spark, sf):
+    return Q.label_distribution(FX.bronze_claims(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# 2.2 silver features, one key per feature
+# ---------------------------------------------------------------------------
+
+
+@register("cast_filed_date", O.claims_sql("SELECT claim_id, filed_date FROM claims"))
+def q_cast_filed_date(spark, sf):
+    return S.cast_filed_date(FX.bronze_claims(spark, sf)).select("claim_id", "filed_date")
+
+
+@register("is_high_value", O.silver_sql("SELECT claim_id, is_high_value FROM silver"))
+def q_is_high_value(spark, sf):
+    return L.silver(spark, sf).select("claim_id", "is_high_value")
+
+
+@register("property_spike", O.silver_sql("SELECT claim_id, property_spike FROM silver"))
+def q_property_spike(spark, sf):
+    return L.silver(spark, sf).select("claim_id", "property_spike")
+
+
+@register("days_since_filed", O.silver_sql("SELECT claim_id, days_since_filed FROM silver"))
+def q_days_since_filed(spark, sf):
+    return L.silver(spark, sf).select("claim_id", "days_since_filed")
+
+
+@register("recency_bucket", O.silver_sql("SELECT recency_bucket, count(*) AS claim_count FROM silver GROUP BY 1"))
+def q_recency_bucket(spark, sf):
+    return L.silver(spark, sf).groupBy("recency_bucket").agg(F.count(F.lit(1)).alias("claim_count"))
+
+
+@register(
+    "velocity_histogram",
+    O.silver_sql(
+        "SELECT claim_velocity_24mo, count(*) AS count FROM silver GROUP BY 1 ORDER BY 1 LIMIT 10"
+    ),
+)
+def q_velocity_histogram(spark, sf):
+    return S.velocity_histogram(L.silver(spark, sf), 10)
+
+
+# ---------------------------------------------------------------------------
+# 2.3 gold scoring, one key per expression
+# ---------------------------------------------------------------------------
+
+for _sig in ("sig_velocity", "sig_id_unverified", "sig_property_spike", "sig_high_value", "sig_new_account", "sig_lien"):
+
+    def _mk(sig):
+        def q(spark, sf):
+            return L.scored(spark, sf).select("claim_id", sig)
+
+        q.__name__ = f"q_{sig}"
+        return q
+
+    register(_sig, O.gold_sql(f"SELECT claim_id, {_sig} FROM scored"))(_mk(_sig))
+
+
+@register("fraud_risk_score", O.gold_sql("SELECT claim_id, fraud_risk_score FROM gold"))
+def q_fraud_risk_score(spark, sf):
+    return L.gold(spark, sf).select("claim_id", "fraud_risk_score")
+
+
+@register("risk_tier", O.gold_sql("SELECT risk_tier, count(*) AS claim_count FROM gold GROUP BY 1"))
+def q_risk_tier(spark, sf):
+    return L.gold(spark, sf).groupBy("risk_tier").agg(F.count(F.lit(1)).alias("claim_count"))
+
+
+@register("primary_alert", O.gold_sql("SELECT claim_id, risk_tier, primary_alert FROM gold"))
+def q_primary_alert(spark, sf):
+    return L.gold(spark, sf).select("claim_id", "risk_tier", "primary_alert")
+
+
+@register(
+    "primary_alert_low_threshold",
+    O.gold_sql("SELECT primary_alert, risk_tier, count(*) AS claim_count FROM gold GROUP BY 1, 2", 0.30, 0.15),
+)
+def q_primary_alert_low_threshold(spark, sf):
+    g = L.gold(spark, sf, high=K.LOW_HIGH_THRESHOLD, medium=K.LOW_MEDIUM_THRESHOLD)
+    return g.groupBy("primary_alert", "risk_tier").agg(F.count(F.lit(1)).alias("claim_count"))
+
+
+@register("scored_at", O.gold_sql("SELECT claim_id, scored_at FROM gold"))
+def q_scored_at(spark, sf):
+    return L.gold(spark, sf).select("claim_id", "scored_at")
+
+
+@register(
+    "gold_select",
+    O.gold_sql("SELECT claim_id, claimant_id, property_id, state, claim_type, claim_amount, claim_status, "
+               "assigned_investigator, fraud_risk_score, risk_tier FROM gold"),
+)
+def q_gold_select(spark, sf):
+    return L.gold(spark, sf).select(*K.GOLD_COLUMNS[:7], "assigned_investigator", "fraud_risk_score", "risk_tier")
+
+
+# ---------------------------------------------------------------------------
+# 2.5 saved answers
+# ---------------------------------------------------------------------------
+
+_URG = "claim_id, claimant_id, claim_amount, fraud_risk_score, primary_alert, assigned_investigator, filed_date"
+_OPEN = "claim_status IN ('OPEN', 'UNDER_REVIEW')"
+
+
+@register(
+    "q_urgent_open",
+    O.gold_sql(f"SELECT {_URG} FROM gold WHERE {_OPEN} AND risk_tier = 'HIGH' "
+               "ORDER BY fraud_risk_score DESC, claim_id LIMIT 20"),
+)
+def q_urgent_open(spark, sf):
+    return A.q_urgent_open(L.gold(spark, sf))
+
+
+@register(
+    "q_state_exposure",
+    O.gold_sql(
+        f"SELECT state, count(*) AS claim_count, {O.money_sum('claim_amount', 0)} AS total_exposure, "
+        f"{O.avg3('fraud_risk_score')} AS avg_score FROM gold WHERE risk_tier = 'HIGH' AND claim_status = 'OPEN' "
+        "GROUP BY state ORDER BY total_exposure DESC"
+    ),
+)
+def q_state_exposure(spark, sf):
+    return A.q_state_exposure(L.gold(spark, sf))
+
+
+@register(
+    "q_investigator_breakdown",
+    O.gold_sql(
+        f"SELECT assigned_investigator, risk_tier, count(*) AS claim_count, {O.money_sum('claim_amount', 0)} "
+        f"AS total_exposure FROM gold WHERE {_OPEN} GROUP BY 1, 2 ORDER BY 1, 2"
+    ),
+)
+def q_investigator_breakdown(spark, sf):
+    return A.q_investigator_breakdown(L.gold(spark, sf))
+
+
+@register(
+    "q_open_high_90d",
+    O.gold_sql(f"SELECT {_URG} FROM gold WHERE risk_tier = 'HIGH' AND {_OPEN} "
+               "AND recency_bucket IN ('LAST_30D', 'LAST_90D') ORDER BY fraud_risk_score DESC"),
+)
+def q_open_high_90d(spark, sf):
+    return A.q_open_high_90d(L.gold(spark, sf))
+
+
+@register(
+    "q_repeat_claimants",
+    O.gold_sql(
+        f"SELECT claimant_id, count(*) AS total_claims, max(claim_velocity_24mo) AS max_velocity, "
+        f"{O.avg3('fraud_risk_score')} AS avg_risk_score, {O.money_sum('claim_amount', 0)} AS total_exposure "
+        "FROM gold WHERE claim_velocity_24mo > 2 GROUP BY claimant_id ORDER BY total_claims DESC"
+    ),
+)
+def q_repeat_claimants(spark, sf):
+    return A.q_repeat_claimants(L.gold(spark, sf))
+
+
+@register(
+    "q_spike_and_unverified",
+    O.gold_sql("SELECT claim_id, claimant_id, claim_amount, fraud_risk_score, value_pct_change, id_verified, "
+               "primary_alert FROM gold WHERE value_pct_change > 20 AND id_verified = FALSE "
+               "ORDER BY fraud_risk_score DESC"),
+)
+def q_spike_and_unverified(spark, sf):
+    return A.q_spike_and_unverified(L.gold(spark, sf))
+
+
+@register(
+    "q_alerts_30d",
+    O.gold_sql(
+        f"SELECT primary_alert, count(*) AS alert_count, {O.money_sum('claim_amount', 0)} AS total_exposure "
+        "FROM gold WHERE primary_alert != 'NONE' AND recency_bucket = 'LAST_30D' GROUP BY 1 ORDER BY 2 DESC"
+    ),
+)
+def q_alerts_30d(spark, sf):
+    return A.q_alerts_30d(L.gold(spark, sf))
+
+
+@register(
+    "q_wire_vs_id",
+    O.gold_sql(
+        f"SELECT claim_type, count(*) AS claim_count, {O.avg3('fraud_risk_score')} AS avg_score, "
+        f"{O.money_sum('claim_amount', 0)} AS total_amount FROM gold "
+        "WHERE claim_type IN ('WIRE_FRAUD', 'ID_FRAUD') GROUP BY 1 ORDER BY avg_score DESC"
+    ),
+)
+def q_wire_vs_id(spark, sf):
+    return A.q_wire_vs_id(L.gold(spark, sf))
+
+
+@register(
+    "q_investigator_queue",
+    O.gold_sql(f"SELECT claim_id, claim_amount, fraud_risk_score, primary_alert, filed_date FROM gold "
+               f"WHERE assigned_investigator = 'J.Rivera' AND risk_tier = 'HIGH' AND {_OPEN} "
+               "ORDER BY claim_amount DESC"),
+)
+def q_investigator_queue(spark, sf):
+    return A.q_investigator_queue(L.gold(spark, sf), "J.Rivera")
+
+
+@register(
+    "q_monthly_trend",
+    O.gold_sql(
+        f"SELECT cast(date_trunc('month', filed_date) AS date) AS month, risk_tier, count(*) AS claim_count, "
+        f"{O.money_sum('claim_amount', 0)} AS total_exposure FROM gold "
+        f"WHERE filed_date >= cast({O.AS_OF} - INTERVAL 12 MONTH AS date) GROUP BY 1, 2 ORDER BY 1, 2"
+    ),
+)
+def q_monthly_trend(spark, sf):
+    return A.q_monthly_trend(L.gold(spark, sf), as_of=K.FIXTURE_AS_OF)
+
+
+@register(
+    "q_unresolved_wire_by_state",
+    O.gold_sql(
+        f"SELECT state, count(*) AS claim_count, {O.money_sum('claim_amount', 0)} AS total_exposure FROM gold "
+        "WHERE resolved_date IS NULL AND claim_type = 'WIRE_FRAUD' AND primary_alert <> 'NONE' "
+        "GROUP BY state ORDER BY total_exposure DESC"
+    ),
+)
+def q_unresolved_wire_by_state(spark, sf):
+    return A.q_unresolved_wire_by_state(L.gold(spark, sf))
+
+
+@register(
+    "q_fraud_counts_two_ways",
+    O.gold_sql("SELECT count(*) FILTER (WHERE is_confirmed_fraud) AS confirmed_fraud_count, "
+               "count(*) FILTER (WHERE risk_tier = 'HIGH') AS high_risk_flagged_count FROM gold"),
+)
+def q_fraud_counts_two_ways(spark, sf):
+    return A.q_fraud_counts_two_ways(L.gold(spark, sf))
+
+
+@register(
+    "answer_policy",
+    O.gold_sql(f"SELECT claim_id, claim_amount, round(fraud_risk_score, 3) AS fraud_risk_score, primary_alert, "
+               f"state, risk_tier FROM gold WHERE {_OPEN} AND value_pct_change > 40"),
+)
+def q_answer_policy(spark, sf):
+    g = L.gold(spark, sf).filter(F.col("value_pct_change") > 40)
+    return A.answer_policy(g, columns=("state", "risk_tier"))
+
+
+# ---------------------------------------------------------------------------
+# 2.6 measures and visuals over gold
+# ---------------------------------------------------------------------------
+
+_HIGH_OPEN = f"risk_tier = 'HIGH' AND {_OPEN}"
+_M_OPEN_HIGH = f"count(*) FILTER (WHERE {_HIGH_OPEN})"
+_M_EXPOSURE = f"cast(sum(CASE WHEN {_HIGH_OPEN} THEN cast(claim_amount AS decimal(18,2)) END) AS double)"
+_M_AVG_HIGH = O.avg3_raw("CASE WHEN risk_tier = 'HIGH' THEN fraud_risk_score END")
+_M_ALERTS = "count(*) FILTER (WHERE primary_alert <> 'NONE' AND recency_bucket = 'LAST_30D')"
+_M_DAYS = "avg(CASE WHEN risk_tier = 'HIGH' AND claim_status = 'OPEN' THEN days_since_filed END)"
+
+for _key, _expr, _alias, _fn in (
+    ("m_open_high_count", _M_OPEN_HIGH, "open_high_count", M.m_open_high_count),
+    ("m_high_exposure", _M_EXPOSURE, "high_exposure", M.m_high_exposure),
+    ("m_avg_high_score", _M_AVG_HIGH, "avg_high_score", M.m_avg_high_score),
+    ("m_new_alerts_30d", _M_ALERTS, "new_alerts_30d", M.m_new_alerts_30d),
+    ("m_avg_days_open_high", _M_DAYS, "avg_days_open_high", M.m_avg_days_open_high),
+):
+
+    def _mk_measure(fn):
+        def q(spark, sf):
+            return fn(L.gold(spark, sf))
+
+        q.__name__ = f"q_{fn.__name__}"
+        return q
+
+    register(_key, O.gold_sql(f"SELECT {_expr} AS {_alias} FROM gold"))(_mk_measure(_fn))
+
+_KPI_SQL = (
+    f"SELECT {_M_OPEN_HIGH} AS open_high_count, {_M_EXPOSURE} AS high_exposure, {_M_AVG_HIGH} AS avg_high_score, "
+    f"{_M_ALERTS} AS new_alerts_30d, {_M_DAYS} AS avg_days_open_high FROM gold"
+)
+
+
+@register("kpi_all", O.gold_sql(_KPI_SQL))
+def q_kpi_all(spark, sf):
+    return M.kpi_all(L.gold(spark, sf))
+
+
+@register(
+    "fmt_measures",
+    O.gold_sql(
+        "SELECT format('{:,}', open_high_count) AS open_high_count_fmt, "
+        "'$' || format('{:,}', cast(round(cast(high_exposure AS decimal(20,2)), 0) AS bigint)) AS high_exposure_fmt, "
+        "printf('%.3f', round(cast(avg_high_score AS decimal(20,6)), 3)) AS avg_high_score_fmt, "
+        "format('{:,}', new_alerts_30d) AS new_alerts_30d_fmt, "
+        "format('{:,}', cast(round(cast(avg_days_open_high AS decimal(20,6)), 0) AS bigint)) || ' days' "
+        "AS avg_days_open_high_fmt, "
+        "'$' || format('{:,.1f}', round(cast(high_exposure AS decimal(20,2)) / 1000000, 1)) || 'M' "
+        "AS high_exposure_m_fmt "
+        f"FROM ({_KPI_SQL}) kpis"
+    ),
+)
+def q_fmt_measures(spark, sf):
+    return M.fmt_measures(M.kpi_all(L.gold(spark, sf)))
+
+
+@register(
+    "v_alert_types",
+    O.gold_sql("SELECT primary_alert, count(*) AS claim_count FROM gold WHERE primary_alert != 'NONE' GROUP BY 1"),
+)
+def q_v_alert_types(spark, sf):
+    return M.v_alert_types(L.gold(spark, sf))
+
+
+@register(
+    "v_risk_trend",
+    O.gold_sql("SELECT cast(date_trunc('month', filed_date) AS date) AS month, risk_tier, count(*) AS claim_count "
+               "FROM gold GROUP BY 1, 2 ORDER BY 1, 2"),
+)
+def q_v_risk_trend(spark, sf):
+    return M.v_risk_trend(L.gold(spark, sf))
+
+
+@register(
+    "v_state_map",
+    O.gold_sql(f"SELECT state, {_M_EXPOSURE} AS high_exposure, {_M_OPEN_HIGH} AS open_high_count, "
+               f"{_M_AVG_HIGH} AS avg_high_score FROM gold GROUP BY state"),
+)
+def q_v_state_map(spark, sf):
+    return M.v_state_map(L.gold(spark, sf))
+
+
+@register(
+    "v_claims_by_investigator",
+    O.gold_sql(f"SELECT assigned_investigator, risk_tier, count(*) AS claim_count FROM gold WHERE {_OPEN} "
+               "GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2"),
+)
+def q_v_claims_by_investigator(spark, sf):
+    return M.v_claims_by_investigator(L.gold(spark, sf))
+
+
+@register(
+    "v_open_high_table",
+    O.gold_sql("SELECT claim_id, claim_amount, fraud_risk_score, primary_alert, assigned_investigator, filed_date, "
+               f"days_since_filed FROM gold WHERE {_HIGH_OPEN} ORDER BY fraud_risk_score DESC"),
+)
+def q_v_open_high_table(spark, sf):
+    return M.v_open_high_table(L.gold(spark, sf))
+
+
+@register(
+    "slice_by",
+    O.gold_sql("SELECT claim_id, risk_tier, claim_status, recency_bucket, assigned_investigator FROM gold "
+               "WHERE risk_tier IN ('HIGH', 'MEDIUM') AND claim_status = 'OPEN' "
+               "AND assigned_investigator IN ('M.Chen', 'S.Patel')"),
+)
+def q_slice_by(spark, sf):
+    g = L.gold(spark, sf).select("claim_id", "risk_tier", "claim_status", "recency_bucket", "assigned_investigator")
+    return M.slice_by(
+        g,
+        {"risk_tier": ["HIGH", "MEDIUM"], "claim_status": "OPEN", "recency_bucket": None,
+         "assigned_investigator": ["M.Chen", "S.Patel"]},
+    )
+
+
+def _avg2(col: str) -> str:
+    return f"(cast(sum(cast(round({col} * 100) AS bigint)) AS double) / (count({col}) * 100.0))"
+
+
+@register(
+    "v_signal_by_alert",
+    O.gold_sql(
+        "SELECT primary_alert, "
+        + ", ".join(f"{_avg2(s)} AS avg_{s}" for s in M.SIGNALS4)
+        + " FROM gold WHERE primary_alert != 'NONE' GROUP BY 1"
+    ),
+)
+def q_v_signal_by_alert(spark, sf):
+    return M.v_signal_by_alert(L.gold(spark, sf))
+
+
+_SUMS = ", ".join(f"sum(cast(round({s} * 100) AS bigint)) AS s_{s}" for s in M.SIGNALS4)
+_TOT = " + ".join(f"s_{s}" for s in M.SIGNALS4)
+
+
+@register(
+    "v_signal_share",
+    O.gold_sql(
+        "SELECT primary_alert, "
+        + ", ".join(f"CASE WHEN ({_TOT}) <> 0 THEN cast(s_{s} AS double) / ({_TOT}) END AS share_{s}"
+                    for s in M.SIGNALS4)
+        + f" FROM (SELECT primary_alert, {_SUMS} FROM gold WHERE primary_alert != 'NONE' GROUP BY 1) t"
+    ),
+)
+def q_v_signal_share(spark, sf):
+    return M.v_signal_share(L.gold(spark, sf))
+
+
+@register(
+    "v_velocity_distribution",
+    O.gold_sql("SELECT claim_velocity_24mo, count(*) AS claim_count FROM gold GROUP BY 1"),
+)
+def q_v_velocity_distribution(spark, sf):
+    return M.v_velocity_distribution(L.gold(spark, sf))
+
+
+@register(
+    "v_state_type_matrix",
+    O.gold_sql(
+        "SELECT state, "
+        + ", ".join(
+            f"cast(sum(CASE WHEN claim_type = '{t}' THEN cast(claim_amount AS decimal(18,2)) END) AS double) "
+            f"/ 1000000.0 AS {t}"
+            for t in K.CLAIM_TYPES
+        )
+        + " FROM gold GROUP BY state"
+    ),
+)
+def q_v_state_type_matrix(spark, sf):
+    return M.v_state_type_matrix(L.gold(spark, sf))
+
+
+@register(
+    "v_claim_card",
+    O.gold_sql("SELECT claim_id, claim_amount, fraud_risk_score, risk_tier, primary_alert, claim_status, "
+               "assigned_investigator, filed_date FROM gold ORDER BY fraud_risk_score DESC, claim_id LIMIT 1"),
+)
+def q_v_claim_card(spark, sf):
+    return M.v_claim_card(L.gold(spark, sf))
+
+
+@register(
+    "v_signal_radar",
+    O.gold_sql(
+        " UNION ALL ".join(f"SELECT claim_id, '{s}' AS signal, {s} AS value FROM gold" for s in M.RADAR)
+    ),
+)
+def q_v_signal_radar(spark, sf):
+    return M.v_signal_radar(L.gold(spark, sf))
+
+
+@register(
+    "row_security",
+    O.gold_sql("SELECT claim_id, assigned_investigator, risk_tier FROM gold WHERE assigned_investigator = 'K.Thomas'"),
+)
+def q_row_security(spark, sf):
+    return M.row_security(L.gold(spark, sf), "K.Thomas").select("claim_id", "assigned_investigator", "risk_tier")
+
+
+@register(
+    "threshold_alert",
+    O.gold_sql(f"SELECT {O.SCORED_AT} AS evaluated_at, {_M_OPEN_HIGH} AS open_high_count, 0 AS threshold, "
+               f"{_M_OPEN_HIGH} > 0 AS fired FROM gold"),
+)
+def q_threshold_alert(spark, sf):
+    return M.threshold_alert(L.gold(spark, sf), 0, evaluated_at=K.FIXTURE_SCORED_AT)
+
+
+# ---------------------------------------------------------------------------
+# 2.7 data quality
+# ---------------------------------------------------------------------------
+
+
+def _layer_tables(spark, sf):
+    silver = L.silver(spark, sf)
+    return {
+        "bronze_claims_raw": FX.bronze_claims(spark, sf),
+        "bronze_claimants": FX.claimants(spark, sf),
+        "bronze_properties": FX.properties(spark, sf),
+        "silver_claims_enriched": silver,
+        "gold_claims_fraud_scored": L.gold(spark, sf),
+    }
+
+
+_COUNTS_SQL = (
+    "SELECT 'bronze_claims_raw' AS table_name, (SELECT count(*) FROM claims) AS row_count, 1000 AS lo, 2000 AS hi "
+    "UNION ALL SELECT 'bronze_claimants', (SELECT count(*) FROM claimants), 300, 500 "
+    "UNION ALL SELECT 'bronze_properties', (SELECT count(*) FROM properties), 600, 1000 "
+    "UNION ALL SELECT 'silver_claims_enriched', (SELECT count(*) FROM silver), 1000, 2000 "
+    "UNION ALL SELECT 'gold_claims_fraud_scored', (SELECT count(*) FROM gold), 1000, 2000"
+)
+
+
+@register(
+    "dq_row_count_range",
+    O.gold_sql(f"SELECT *, coalesce(row_count >= lo AND row_count <= hi, false) AS passed FROM ({_COUNTS_SQL}) t"),
+)
+def q_dq_row_count_range(spark, sf):
+    return Q.dq_row_count_range(_layer_tables(spark, sf))
+
+
+@register("dq_required_columns", None)
+def q_dq_required_columns(spark, sf):
+    return Q.dq_required_columns(L.gold(spark, sf))
+
+
+_STATS_SQL = (
+    f"SELECT min(fraud_risk_score) AS min_score, max(fraud_risk_score) AS max_score, "
+    f"{O.avg3_raw('fraud_risk_score')} AS avg_score, count(*) FILTER (WHERE risk_tier = 'HIGH') AS high_count, "
+    "count(*) FILTER (WHERE risk_tier = 'MEDIUM') AS med_count, count(*) AS total FROM gold"
+)
+
+
+@register("dq_score_stats", O.gold_sql(_STATS_SQL))
+def q_dq_score_stats(spark, sf):
+    return Q.dq_score_stats(L.gold(spark, sf))
+
+
+@register(
+    "dq_score_checks",
+    O.gold_sql(
+        "SELECT coalesce(min_score >= 0 AND max_score <= 1, false) AS score_range_ok, "
+        "coalesce(high_count >= 0.05 * total AND total > 0, false) AS high_share_ok, "
+        "med_count > 0 AS medium_populated, min_score, max_score, high_count, med_count, total "
+        f"FROM ({_STATS_SQL}) s"
+    ),
+)
+def q_dq_score_checks(spark, sf):
+    return Q.dq_score_checks(L.gold(spark, sf))
+
+
+@register(
+    "dq_null_counts",
+    O.gold_sql(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM gold"
+            for c in K.DQ_NOT_NULL_COLUMNS
+        )
+    ),
+)
+def q_dq_null_counts(spark, sf):
+    return Q.dq_null_counts(L.gold(spark, sf))
+
+
+@register(
+    "dq_velocity_max",
+    O.gold_sql("SELECT max(claim_velocity_24mo) AS max_velocity, coalesce(max(claim_velocity_24mo) > 1, false) "
+               "AS passed FROM gold"),
+)
+def q_dq_velocity_max(spark, sf):
+    return Q.dq_velocity_max(L.gold(spark, sf))
+
+
+def _dq_report_sql() -> str:
+    counts = (
+        "SELECT 'row_counts' AS section, table_name AS \"check\", coalesce(row_count >= lo AND row_count <= hi, false) "
+        "AS passed, format('{:,}', row_count) || ' rows' AS detail FROM (" + _COUNTS_SQL + ") c"
+    )
+    schema = " UNION ALL ".join(
+        f"SELECT 'schema', 'column {c}', true, NULL" for c in K.DQ_REQUIRED_GOLD_COLUMNS
+    )
+    stats = (
+        "SELECT 'score_distribution', 'score range 0-1', coalesce(min_score >= 0 AND max_score <= 1, false), "
+        "'min=' || printf('%.3f', round(cast(min_score AS decimal(20,6)), 3)) || ' max=' || "
+        "printf('%.3f', round(cast(max_score AS decimal(20,6)), 3)) FROM (" + _STATS_SQL + ") s "
+        "UNION ALL SELECT 'score_distribution', 'HIGH tier share', coalesce(high_count >= 0.05 * total AND total > 0, "
+        "false), cast(high_count AS varchar) || '/' || cast(total AS varchar) FROM (" + _STATS_SQL + ") s "
+        "UNION ALL SELECT 'score_distribution', 'MEDIUM tier populated', med_count > 0, "
+        "cast(med_count AS varchar) || ' claims' FROM (" + _STATS_SQL + ") s"
+    )
+    nulls = " UNION ALL ".join(
+        f"SELECT 'nulls', 'no NULLs in {c}', count(*) FILTER (WHERE {c} IS NULL) = 0, "
+        f"cast(count(*) FILTER (WHERE {c} IS NULL) AS varchar) || ' NULLs' FROM gold"
+        for c in K.DQ_NOT_NULL_COLUMNS
+    )
+    vel = (
+        "SELECT 'velocity', 'velocity above 1 exists', coalesce(max(claim_velocity_24mo) > 1, false), "
+        "'max velocity = ' || cast(max(claim_velocity_24mo) AS varchar) FROM gold"
+    )
+    return O.gold_sql(" UNION ALL ".join([counts, schema, stats, nulls, vel]))
+
+
+@register("dq_report", _dq_report_sql())
+def q_dq_report(spark, sf):
+    return Q.dq_report(_layer_tables(spark, sf))
+
+
+@register(
+    "dq_summary",
+    None,
+)
+def q_dq_summary(spark, sf):
+    return Q.dq_summary(Q.dq_report(_layer_tables(spark, sf)))
