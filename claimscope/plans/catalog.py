@@ -743,3 +743,387 @@ def q_dq_report(spark, sf):
 )
 def q_dq_summary(spark, sf):
     return Q.dq_summary(Q.dq_report(_layer_tables(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# 2.4 investigation queue, validation, requests, rules, replies, decision
+# ---------------------------------------------------------------------------
+
+from claimscope.checks import oracle_replies as OR  # noqa: E402
+from claimscope.operators import decide as D  # noqa: E402
+from claimscope.operators import queue as QU  # noqa: E402
+from claimscope.operators import replies as RE  # noqa: E402
+from claimscope.operators import report as RP  # noqa: E402
+from claimscope.operators import requests as RQ  # noqa: E402
+from claimscope.operators import rules as RU  # noqa: E402
+from claimscope.plans import investigate as INV  # noqa: E402
+
+_QCOLS = ", ".join(K.QUEUE_COLUMNS)
+_QWHERE = OR.QUEUE_WHERE.format(min_amount=50000.0)
+PRIOR_RUN_MIN_AMOUNT = 200000.0
+
+
+def _replies(spark, sf):
+    return FX.agent_replies(spark, sf)
+
+
+def _investigation(spark, sf, min_amount=K.ALERT_AMOUNT_MIN, audit_log=None):
+    return INV.investigate(L.gold(spark, sf), _replies(spark, sf), min_amount=min_amount, audit_log=audit_log,
+                           investigated_at=K.FIXTURE_SCORED_AT)
+
+
+@register("pending_queue", O.gold_sql(f"SELECT {_QCOLS} FROM gold WHERE {_QWHERE} ORDER BY fraud_risk_score DESC"))
+def q_pending_queue(spark, sf):
+    return QU.pending_queue(L.gold(spark, sf))
+
+
+@register(
+    "pending_queue_new_only",
+    OR.audit_sql(f"SELECT {_QCOLS} FROM gold WHERE {_QWHERE} AND claim_id NOT IN (SELECT claim_id FROM audit)",
+                 min_amount=PRIOR_RUN_MIN_AMOUNT),
+)
+def q_pending_queue_new_only(spark, sf):
+    # the audit log of an earlier run that only took claims of 200k and more
+    prior = _investigation(spark, sf, min_amount=PRIOR_RUN_MIN_AMOUNT).audit
+    return QU.pending_queue(L.gold(spark, sf), audit=prior)
+
+
+@register("queue_dry_run", O.gold_sql(f"SELECT claim_id FROM gold WHERE {_QWHERE}"))
+def q_queue_dry_run(spark, sf):
+    return QU.queue_dry_run(QU.pending_queue(L.gold(spark, sf), ordered=False))
+
+
+@register(
+    "claim_lookup",
+    O.gold_sql(f"SELECT {_QCOLS} FROM gold WHERE claim_id = (SELECT claim_id FROM gold WHERE {_QWHERE} "
+               "ORDER BY fraud_risk_score DESC, claim_id LIMIT 1)"),
+)
+def q_claim_lookup(spark, sf):
+    g = L.gold(spark, sf)
+    top = QU.pending_queue(g).limit(1).select("claim_id")
+    return QU.claim_lookup(g, top)
+
+
+_VIOL = (
+    "concat_ws('|', "
+    "case when NOT coalesce(regexp_full_match(claim_id, 'CLM-[0-9]{4}-[0-9]+'), false) then 'claim_id_pattern' end, "
+    "case when claimant_id IS NULL then 'claimant_id_missing' end, "
+    "case when property_id IS NULL then 'property_id_missing' end, "
+    "case when NOT coalesce(claim_amount > 0, false) then 'claim_amount_not_positive' end, "
+    "case when NOT coalesce(fraud_risk_score >= 0 AND fraud_risk_score <= 1, false) then 'fraud_risk_score_range' end, "
+    "case when NOT coalesce(risk_tier IN ('HIGH', 'MEDIUM', 'LOW'), false) then 'risk_tier_domain' end, "
+    "case when primary_alert IS NULL then 'primary_alert_missing' end, "
+    "case when NOT coalesce(length(state) = 2, false) then 'state_length' end, "
+    "case when claim_type IS NULL then 'claim_type_missing' end, "
+    "case when id_verified IS NULL then 'id_verified_missing' end, "
+    "case when value_pct_change IS NULL then 'value_pct_change_missing' end, "
+    "case when NOT coalesce(claim_velocity_24mo >= 0, false) then 'claim_velocity_negative' end, "
+    "case when has_lien IS NULL then 'has_lien_missing' end, "
+    "case when NOT coalesce(account_age_days >= 0, false) then 'account_age_negative' end, "
+    "case when assigned_investigator IS NULL then 'assigned_investigator_missing' end)"
+)
+
+
+@register(
+    "claim_validate",
+    O.gold_sql(f"SELECT claim_id, {_VIOL} = '' AS is_valid, {_VIOL} AS violations, "
+               f"CASE WHEN {_VIOL} = '' THEN upper(state) ELSE state END AS state FROM gold"),
+)
+def q_claim_validate(spark, sf):
+    v = QU.claim_validate(L.gold(spark, sf).select(*K.QUEUE_COLUMNS))
+    return v.select("claim_id", "is_valid", F.array_join("violations", "|").alias("violations"), "state")
+
+
+_REQ_TYPES = {
+    "claim_id": "string", "id_verified": "boolean", "account_age_days": "bigint", "claim_velocity_24mo": "bigint",
+    "state": "string", "claim_amount": "double", "claimant_id": "string", "property_id": "string",
+    "value_pct_change": "double", "has_lien": "boolean", "claim_type": "string", "fraud_risk_score": "double",
+    "primary_alert": "string", "risk_tier": "string", "state_disclosure_days": "int",
+}
+
+for _agent in RQ.REQUEST_FIELDS:
+
+    def _mk_req(agent):
+        fields = RQ.REQUEST_FIELDS[agent]
+        schema = ", ".join(f"{f} {_REQ_TYPES[f]}" for f in fields)
+
+        def q(spark, sf):
+            g = L.gold(spark, sf)
+            req = g.select(RQ.request_json(agent).alias("request"))
+            return req.select(F.from_json("request", schema).alias("p")).select("p.*")
+
+        q.__name__ = f"q_agent_request_{agent}"
+        return q
+
+    _fields = RQ.REQUEST_FIELDS[_agent]
+    _sel = ", ".join(
+        f"cast({OR.DISCLOSURE} AS integer) AS state_disclosure_days" if f == "state_disclosure_days" else f
+        for f in _fields
+    )
+    _key = "agent_request_pattern" if _agent == "claims_pattern" else f"agent_request_{_agent}"
+    register(_key, O.gold_sql(f"SELECT {_sel} FROM gold"))(_mk_req(_agent))
+
+
+@register(
+    "rule_identity_status",
+    O.gold_sql("SELECT claim_id, CASE WHEN coalesce(id_verified = false, false) OR coalesce(account_age_days < 180, "
+               "false) OR coalesce(claim_velocity_24mo > 3, false) THEN 'FLAGGED' ELSE 'CLEAR' END "
+               "AS rule_identity_status FROM gold"),
+)
+def q_rule_identity_status(spark, sf):
+    return RU.rule_identity_status(L.gold(spark, sf)).select("claim_id", "rule_identity_status")
+
+
+@register(
+    "rule_property_status",
+    O.gold_sql("SELECT claim_id, CASE WHEN coalesce(value_pct_change > 20, false) OR coalesce(has_lien = true, false) "
+               "THEN 'ANOMALY_DETECTED' ELSE 'CLEAR' END AS rule_property_status FROM gold"),
+)
+def q_rule_property_status(spark, sf):
+    return RU.rule_property_status(L.gold(spark, sf)).select("claim_id", "rule_property_status")
+
+
+@register(
+    "rule_pattern_status",
+    O.gold_sql("SELECT claim_id, CASE WHEN coalesce(claim_velocity_24mo > 2, false) OR coalesce(fraud_risk_score > "
+               "0.75, false) THEN 'MATCH_FOUND' ELSE 'CLEAR' END AS rule_pattern_status FROM gold"),
+)
+def q_rule_pattern_status(spark, sf):
+    return RU.rule_pattern_status(L.gold(spark, sf)).select("claim_id", "rule_pattern_status")
+
+
+@register(
+    "rule_sar_required",
+    O.gold_sql("SELECT claim_id, coalesce(claim_amount >= 5000, false) AND coalesce(risk_tier = 'HIGH', false) "
+               "AS rule_sar_required FROM gold"),
+)
+def q_rule_sar_required(spark, sf):
+    return RU.rule_sar_required(L.gold(spark, sf)).select("claim_id", "rule_sar_required")
+
+
+@register(
+    "rule_alta",
+    O.gold_sql("SELECT claim_id, CASE WHEN risk_tier = 'HIGH' THEN '7' ELSE '' END AS rule_alta_practices FROM gold"),
+)
+def q_rule_alta(spark, sf):
+    r = RU.rule_alta(L.gold(spark, sf))
+    return r.select("claim_id", F.array_join("rule_alta_practices", "|").alias("rule_alta_practices"))
+
+
+@register(
+    "state_disclosure_days",
+    O.gold_sql(f"SELECT claim_id, state, cast({OR.DISCLOSURE} AS integer) AS state_disclosure_days FROM gold"),
+)
+def q_state_disclosure_days(spark, sf):
+    return RU.state_disclosure_days(L.gold(spark, sf)).select("claim_id", "state", "state_disclosure_days")
+
+
+@register(
+    "reply_select",
+    "SELECT c.conv_id AS thread_id, coalesce(a.t, '{}') AS raw_response FROM (SELECT DISTINCT conv_id FROM "
+    "conversations) c LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'assistant' "
+    "GROUP BY conv_id) a ON c.conv_id = a.conv_id",
+)
+def q_reply_select(spark, sf):
+    return RE.reply_select(FX.threads(spark, sf))
+
+
+_LISTS = {"findings", "id_doc_issues", "shared_identifiers", "alta_practices_triggered", "regulatory_notes"}
+
+for _agent in K.AGENTS:
+
+    def _mk_parse(agent):
+        names = [f.name for f in RE.AGENT_FIELDS[agent]]
+
+        def q(spark, sf):
+            p = RE.reply_parse(_replies(spark, sf), agent, claims=L.gold(spark, sf))
+            cols = [
+                F.array_join(f"result.{n}", "|").alias(n) if n in _LISTS else F.col(f"result.{n}").alias(n)
+                for n in names
+            ]
+            return p.select("claim_id", *cols, F.col("result.error_reason").alias("error_reason"))
+
+        q.__name__ = f"q_reply_parse_{agent}"
+        return q
+
+    _cols = ", ".join(OR.parsed_columns(_agent, "raw_response", ""))
+    _sql = OR.claims_with_replies(
+        f"SELECT r.claim_id, {_cols} FROM replies r JOIN gold g ON r.claim_id = g.claim_id WHERE r.agent = '{_agent}'"
+    )
+    _key = "reply_parse_pattern" if _agent == "claims_pattern" else f"reply_parse_{_agent}"
+    register(_key, _sql)(_mk_parse(_agent))
+
+
+def _parsed_all(spark, sf):
+    return INV.parse_all_claims(L.gold(spark, sf), _replies(spark, sf))
+
+
+_ALL_SRC = "(SELECT g.*, cr.* EXCLUDE (claim_id) FROM gold g JOIN claim_replies cr ON g.claim_id = cr.claim_id) s"
+
+
+def _decided_sql(select: str) -> str:
+    return OR.claims_with_replies(f"SELECT {select} FROM ({OR.decision_sql(OR.parsed_all_sql(_ALL_SRC))}) d")
+
+
+_ERR_SQL = " UNION ALL ".join(
+    f"SELECT claim_id, '{OR.DISPLAY[a]}' AS agent_name, {a}_error_reason AS error_reason, {a}_findings AS finding "
+    f"FROM ({OR.parsed_all_sql(_ALL_SRC)}) p WHERE {a}_status = 'ERROR'"
+    for a in K.AGENTS
+)
+
+
+@register("reply_error_rows", OR.claims_with_replies(_ERR_SQL))
+def q_reply_error_rows(spark, sf):
+    return RE.reply_error_rows(_parsed_all(spark, sf))
+
+
+@register(
+    "agents_pivot",
+    _decided_sql(", ".join(f"{a}_status, {a}_risk_delta" for a in K.AGENTS) + ", claim_id"),
+)
+def q_agents_pivot(spark, sf):
+    p = _parsed_all(spark, sf)
+    cols = []
+    for a, c in RE.RESULT_COLUMNS.items():
+        cols += [F.col(f"{c}.status").alias(f"{a}_status"), F.col(f"{c}.risk_delta").alias(f"{a}_risk_delta")]
+    return p.select("claim_id", *cols)
+
+
+@register("flagged_count", _decided_sql("claim_id, flagged_count"))
+def q_flagged_count(spark, sf):
+    return _parsed_all(spark, sf).select("claim_id", "flagged_count")
+
+
+@register("composite_fallback", _decided_sql("claim_id, fallback_probability"))
+def q_composite_fallback(spark, sf):
+    return _parsed_all(spark, sf).select("claim_id", "fallback_probability")
+
+
+@register("decision_fallback", _decided_sql("claim_id, fallback_action"))
+def q_decision_fallback(spark, sf):
+    return _parsed_all(spark, sf).select("claim_id", "fallback_action")
+
+
+@register("rationale_fallback", _decided_sql("claim_id, fallback_rationale"))
+def q_rationale_fallback(spark, sf):
+    return _parsed_all(spark, sf).select("claim_id", "fallback_rationale")
+
+
+@register(
+    "synthesis_parse",
+    _decided_sql("claim_id, composite_fraud_probability, recommended_action, action_rationale, used_fallback, "
+                 "quarantine_reason"),
+)
+def q_synthesis_parse(spark, sf):
+    return _parsed_all(spark, sf).select(
+        "claim_id", "composite_fraud_probability", "recommended_action", "action_rationale", "used_fallback",
+        "quarantine_reason",
+    )
+
+
+@register(
+    "rule_strong_signals",
+    _decided_sql("claim_id, coalesce(claims_pattern_cohort_similarity_pct > 70, false) AS strong_cohort_match, "
+                 "coalesce(property_title_transfers_24mo > 2, false) AS strong_title_transfers, "
+                 "coalesce(property_comparable_sale_gap_pct > 15, false) AS strong_comparable_gap"),
+)
+def q_rule_strong_signals(spark, sf):
+    return RU.rule_strong_signals(_parsed_all(spark, sf)).select(
+        "claim_id", "strong_cohort_match", "strong_title_transfers", "strong_comparable_gap"
+    )
+
+
+@register("synthesis_request", None)
+def q_synthesis_request(spark, sf):
+    return RQ.synthesis_request(_parsed_all(spark, sf))
+
+
+@register("investigation_report", None)
+def q_investigation_report(spark, sf):
+    return _investigation(spark, sf).report
+
+
+@register("audit_row", OR.audit_sql("SELECT * FROM audit"))
+def q_audit_row(spark, sf):
+    return _investigation(spark, sf).audit
+
+
+_QUAR_Q = OR.queue_sql()
+
+
+@register(
+    "investigation_quarantine",
+    OR.claims_with_replies(
+        f"SELECT claim_id, quarantine_reason FROM ({OR.decision_sql(OR.parsed_all_sql(f'({_QUAR_Q}) q'))}) d "
+        "WHERE quarantine_reason IS NOT NULL"
+    ),
+)
+def q_investigation_quarantine(spark, sf):
+    return _investigation(spark, sf).quarantine.select("claim_id", "quarantine_reason")
+
+
+def _top_sql() -> str:
+    parts = []
+    for a in K.AGENTS:
+        n = f"(CASE WHEN {a}_findings = '' THEN 0 ELSE len(string_split({a}_findings, '|')) END)"
+        base = f"SELECT claim_id, '{OR.DISPLAY[a]}' AS agent_name, {a}_status AS status"
+        parts.append(f"{base}, 1 AS finding_rank, string_split({a}_findings, '|')[1] AS finding FROM d WHERE {n} >= 1")
+        parts.append(f"{base}, 2 AS finding_rank, string_split({a}_findings, '|')[2] AS finding FROM d WHERE {n} >= 2")
+        parts.append(f"{base}, NULL AS finding_rank, NULL AS finding FROM d WHERE {n} = 0")
+    decided = OR.decision_sql(OR.parsed_all_sql(f"({_QUAR_Q}) q"))
+    return OR.claims_with_replies(
+        f", d AS (SELECT * FROM ({decided}) x WHERE quarantine_reason IS NULL)\n" + " UNION ALL ".join(parts)
+    )
+
+
+@register("report_top_findings", _top_sql())
+def q_report_top_findings(spark, sf):
+    return RP.report_top_findings(_investigation(spark, sf).report)
+
+
+# ---------------------------------------------------------------------------
+# 2.6 measures and visuals over the audit log
+# ---------------------------------------------------------------------------
+
+
+@register("m_sar_count", OR.audit_sql("SELECT count(*) FILTER (WHERE sar_required = true) AS sar_count FROM audit"))
+def q_m_sar_count(spark, sf):
+    return M.m_sar_count(_investigation(spark, sf).audit)
+
+
+@register(
+    "m_hold_count",
+    OR.audit_sql("SELECT count(*) FILTER (WHERE recommended_action = 'PLACE_PAYOUT_HOLD') AS hold_count FROM audit"),
+)
+def q_m_hold_count(spark, sf):
+    return M.m_hold_count(_investigation(spark, sf).audit)
+
+
+@register(
+    "v_audit_detail",
+    OR.audit_sql(
+        "SELECT a.claim_id, a.recommended_action, a.composite_fraud_probability, a.sar_required, a.identity_status, "
+        "a.property_status, a.pattern_status, a.compliance_status, a.investigated_at, g.claim_amount AS "
+        "gold_claim_amount, g.fraud_risk_score, g.risk_tier, g.assigned_investigator FROM audit a JOIN gold g "
+        "ON a.claim_id = g.claim_id"
+    ),
+)
+def q_v_audit_detail(spark, sf):
+    inv = _investigation(spark, sf)
+    return M.v_audit_detail(inv.audit, L.gold(spark, sf))
+
+
+@register(
+    "v_agent_status",
+    OR.audit_sql("SELECT claim_id, identity_status, property_status, pattern_status, compliance_status FROM audit"),
+)
+def q_v_agent_status(spark, sf):
+    return M.v_agent_status(_investigation(spark, sf).audit)
+
+
+@register(
+    "v_action_counts",
+    OR.audit_sql("SELECT recommended_action, count(*) AS claim_count FROM audit GROUP BY 1"),
+)
+def q_v_action_counts(spark, sf):
+    return M.v_action_counts(_investigation(spark, sf).audit)
