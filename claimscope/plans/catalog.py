@@ -1127,3 +1127,176 @@ def q_v_agent_status(spark, sf):
 )
 def q_v_action_counts(spark, sf):
     return M.v_action_counts(_investigation(spark, sf).audit)
+
+
+# ---------------------------------------------------------------------------
+# 2.1 synthetic sources, landing reader, sinks, layout; refresh; streaming
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from claimscope.plans import layout as LY  # noqa: E402
+from claimscope.plans import refresh as RF  # noqa: E402
+from claimscope.session import scratch_path  # noqa: E402
+from claimscope.sources import landing as LD  # noqa: E402
+from claimscope.sources import sinks as SK  # noqa: E402
+from claimscope.sources import synthetic as SY  # noqa: E402
+from claimscope.streaming import scoring as ST  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"q-{name}-{uuid.uuid4().hex[:10]}")
+
+
+@register("src_synthetic_claimants", None)
+def q_src_synthetic_claimants(spark, sf):
+    keys = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return SY.synthetic_claimants(keys, seed=42)
+
+
+@register("src_synthetic_properties", None)
+def q_src_synthetic_properties(spark, sf):
+    keys = read_table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    return SY.synthetic_properties(keys, seed=42)
+
+
+@register("src_synthetic_claims", None)
+def q_src_synthetic_claims(spark, sf):
+    # one claim per order key; claimant/property drawn among the customer / part keys
+    n_claimants = read_table(spark, sf, "customer").count()
+    n_properties = read_table(spark, sf, "part").count()
+    claimants = SY.synthetic_claimants(spark.range(n_claimants), seed=42)
+    properties = SY.synthetic_properties(spark.range(n_properties), seed=42)
+    keys = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    claims = SY.synthetic_claims(keys, n_claimants, n_properties, seed=42, as_of=K.FIXTURE_AS_OF)
+    return B.claims_denormalise(claims, claimants, properties)
+
+
+def _weighted_sql() -> str:
+    acc, parts = 0.0, []
+    total = float(sum(K.FRAUD_LABEL_WEIGHTS))
+    for v, w in zip(K.FRAUD_LABELS[:-1], K.FRAUD_LABEL_WEIGHTS[:-1], strict=True):
+        acc += w / total
+        parts.append(f"when u < {acc!r} then '{v}'")
+    return f"case {' '.join(parts)} else '{K.FRAUD_LABELS[-1]}' end"
+
+
+@register(
+    "src_weighted_choice",
+    f"SELECT fraud_label, count(*) AS claim_count FROM (SELECT {_weighted_sql()} AS fraud_label FROM "
+    "(SELECT (o_orderkey % 1000) / 1000.0 AS u FROM orders) t) x GROUP BY 1",
+)
+def q_src_weighted_choice(spark, sf):
+    u = (F.col("o_orderkey") % 1000) / F.lit(1000.0)
+    labels = read_table(spark, sf, "orders").select(
+        SY.weighted_choice(K.FRAUD_LABELS, K.FRAUD_LABEL_WEIGHTS, u).alias("fraud_label"))
+    return labels.groupBy("fraud_label").agg(F.count(F.lit(1)).alias("claim_count"))
+
+
+_LANDING_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double"
+
+
+@register("src_landing_files", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def q_src_landing_files(spark, sf):
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(_LANDING_SCHEMA)
+    return LD.read_landing(spark, f"{sf}/orders.parquet", schema, fmt="parquet")
+
+
+@register("sink_overwrite", O.claims_sql("SELECT * EXCLUDE (k) FROM claims"))
+def q_sink_overwrite(spark, sf):
+    path = _scratch(spark, "overwrite")
+    SK.sink_overwrite(FX.bronze_claims(spark, sf), path)
+    SK.sink_overwrite(FX.bronze_claims(spark, sf), path)  # a second refresh replaces the first
+    return spark.read.parquet(path)
+
+
+@register("sink_append_evolving", None)
+def q_sink_append_evolving(spark, sf):
+    # run 1 writes the 13 audit columns; run 2 adds a column; both readable together
+    path = _scratch(spark, "append")
+    inv = _investigation(spark, sf)
+    SK.sink_append_evolving(inv.audit, path)
+    SK.sink_append_evolving(inv.audit.withColumn("flagged_note", F.lit("run 2")), path)
+    return SK.read_evolving(spark, path)
+
+
+@register("sink_report_json", None)
+def q_sink_report_json(spark, sf):
+    path = _scratch(spark, "reports")
+    SK.sink_report_json(_investigation(spark, sf).report, path)
+    return spark.read.json(path)
+
+
+@register("rows_after_write", O.gold_sql("SELECT count(*) AS row_count FROM gold"))
+def q_rows_after_write(spark, sf):
+    path = _scratch(spark, "gold")
+    SK.sink_overwrite(L.gold(spark, sf), path)
+    return SK.rows_after_write(spark, path)
+
+
+@register("layout_cluster", None)
+def q_layout_cluster(spark, sf):
+    return LY.layout_cluster(L.gold(spark, sf))
+
+
+@register("batch_refresh", _dq_report_sql())
+def q_batch_refresh(spark, sf):
+    res = RF.refresh(
+        spark, FX.bronze_claims(spark, sf), FX.claimants(spark, sf), FX.properties(spark, sf),
+        base=_scratch(spark, "refresh"), as_of=K.FIXTURE_AS_OF, scored_at=K.FIXTURE_SCORED_AT,
+    )
+    return RF.refresh_report(spark, res)
+
+
+@register("stream_score", O.gold_sql("SELECT claim_id, fraud_risk_score, risk_tier, primary_alert FROM gold"))
+def q_stream_score(spark, sf):
+    # silver rows land as files; the stream scores them (stateless) into a sink
+    base = _scratch(spark, "stream-score")
+    SK.sink_overwrite(L.silver(spark, sf), f"{base}/silver")
+    schema = spark.read.parquet(f"{base}/silver").schema
+    stream = spark.readStream.schema(schema).parquet(f"{base}/silver")
+    gold = ST.score_stream(stream, scored_at=K.FIXTURE_SCORED_AT)
+    q = (gold.writeStream.format("parquet").option("path", f"{base}/gold")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/gold").select("claim_id", "fraud_risk_score", "risk_tier", "primary_alert")
+
+
+@register("stream_velocity", O.silver_sql("SELECT claim_id, claim_velocity_24mo FROM silver"))
+def q_stream_velocity(spark, sf):
+    # bronze claims arrive in filing order, one landing file per filing year;
+    # foreachBatch keeps the daily-count state between micro-batches
+    base = _scratch(spark, "stream-velocity")
+    bronze = FX.bronze_claims(spark, sf)
+    years = [r["y"] for r in bronze.select(F.year("filed_date").alias("y")).distinct().orderBy("y").collect()]
+    for y in years:  # a handful of years: sequential writes give increasing file times
+        bronze.filter(F.year("filed_date") == y).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    stream = LD.read_landing_stream(spark, f"{base}/landing", LD.BRONZE_CLAIMS_SCHEMA, max_files_per_trigger=1)
+    q, sink = ST.run_velocity_stream(stream, base, as_of=K.FIXTURE_AS_OF, scored_at=K.FIXTURE_SCORED_AT)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("claim_id", "claim_velocity_24mo")
+
+
+@register(
+    "alert_throttle",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR "
+    "AS window_end, min(ts) AS alert_ts, arg_min(value, ts) AS alert_value FROM events WHERE value > 50 GROUP BY 1",
+)
+def q_alert_throttle(spark, sf):
+    ev = read_table(spark, sf, "events").select("ts", "value")
+    return M.alert_throttle(ev, threshold=50)
+
+
+@register("alert_throttle_stream", None)
+def q_alert_throttle_stream(spark, sf):
+    base = _scratch(spark, "alert-stream")
+    read_table(spark, sf, "events").select("ts", "value").repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(
+        f"{base}/in")
+    out = ST.alert_throttle_stream(stream, threshold=50)
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
