@@ -60,26 +60,29 @@ def _is_number(t: Column) -> Column:
     return t.isin("BIGINT", "DOUBLE") | t.startswith("DECIMAL")
 
 
-def _float(x: Column) -> tuple[Column, Column]:
-    t = jtype(x)
+def _float(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+    t = jtype(x) if t is None else t
     val = F.when(_is_number(t) | t.isin("BOOLEAN", "STRING"), F.try_variant_get(x, "$", "double"))
     return val, val.isNotNull()
 
 
-def _int(x: Column) -> tuple[Column, Column]:
-    t = jtype(x)
-    num = F.try_variant_get(x, "$", "decimal(38,10)")
+def _int(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+    t = jtype(x) if t is None else t
     s = F.trim(F.try_variant_get(x, "$", "string"))
+    num = F.try_variant_get(x, "$", "decimal(38,10)")
+    # cheap cases first; CASE branches are evaluated lazily
     val = (
-        F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("bigint"))
+        F.when(t == "BIGINT", F.try_variant_get(x, "$", "bigint"))
+        .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("bigint"))
+        .when(t.startswith("DECIMAL") & t.endswith(",0)"), F.try_variant_get(x, "$", "bigint"))
         .when(_is_number(t) & (num == F.floor(num)), num.cast("bigint"))
         .when((t == "STRING") & s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
     )
     return val, val.isNotNull()
 
 
-def _bool(x: Column) -> tuple[Column, Column]:
-    t = jtype(x)
+def _bool(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+    t = jtype(x) if t is None else t
     num = F.try_variant_get(x, "$", "double")
     w = F.lower(F.trim(F.try_variant_get(x, "$", "string")))
     val = (
@@ -91,30 +94,33 @@ def _bool(x: Column) -> tuple[Column, Column]:
     return val, val.isNotNull()
 
 
-def _str(x: Column) -> tuple[Column, Column]:
-    val = F.when(jtype(x) == "STRING", F.try_variant_get(x, "$", "string"))
+def _str(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+    t = jtype(x) if t is None else t
+    val = F.when(t == "STRING", F.try_variant_get(x, "$", "string"))
     return val, val.isNotNull()
 
 
-def _str_list(x: Column) -> tuple[Column, Column]:
-    elems = F.try_variant_get(x, "$", "array<variant>")
-    ok = jtype(x).startswith("ARRAY<") & F.coalesce(
-        F.forall(elems, lambda e: F.schema_of_variant(e) == "STRING"), F.lit(False)
-    )
-    val = F.when(ok, F.transform(elems, lambda e: F.variant_get(e, "$", "string")))
-    return val, ok
+def _str_list(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+    t = jtype(x) if t is None else t
+    arr = F.try_variant_get(x, "$", "array<string>")
+    # ARRAY<STRING>: every non-null element is a string; ARRAY<VOID>: empty or
+    # all null; a null element is not a string
+    ok = t.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(arr) == F.size(F.array_compact(arr)))
+    ok = F.coalesce(ok, F.lit(False))
+    return F.when(ok, arr), ok
 
 
-def _status(x: Column) -> tuple[Column, Column]:
-    val, ok = _str(x)
+def _status(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+    val, ok = _str(x, t)
     good = ok & val.isin(*K.AGENT_STATUSES)
     return F.when(good, val), F.coalesce(good, F.lit(False))
 
 
 def _nullable(fn):
-    def extract(x: Column) -> tuple[Column, Column]:
-        val, ok = fn(x)
-        is_null = jtype(x) == "VOID"
+    def extract(x: Column, t: Column | None = None) -> tuple[Column, Column]:
+        t = jtype(x) if t is None else t
+        val, ok = fn(x, t)
+        is_null = t == "VOID"
         return F.when(~is_null, val), is_null | ok
 
     return extract
@@ -139,8 +145,13 @@ SQL_TYPES = {
 
 def extract(v: Column, name: str, kind: str, default: Column) -> tuple[Column, Column]:
     """``(value, ok)`` of field ``name``; ``default`` when the key is missing."""
-    x = field(v, name)
-    val, ok = KINDS[kind](x)
+    return extract_from(field(v, name), kind, default)
+
+
+def extract_from(x: Column, kind: str, default: Column, t: Column | None = None) -> tuple[Column, Column]:
+    """``(value, ok)`` for an already extracted field VARIANT ``x`` (SQL NULL
+    when the key is missing); ``t`` is its precomputed JSON type, if any."""
+    val, ok = KINDS[kind](x, t)
     missing = x.isNull()
     value = F.when(missing, default).otherwise(val).cast(SQL_TYPES[kind])
     return value, F.coalesce(missing | ok, F.lit(False))

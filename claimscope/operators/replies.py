@@ -108,17 +108,22 @@ def _reason(v: Column, checks: list[tuple[str, Column]]) -> Column:
 
 
 def parse_agent_result(agent: str, raw: Column | None = None) -> Column:
-    """The typed result struct of ``agent`` for a reply column.
+    """The typed result struct of ``agent`` for a reply column (single
+    expression; prefer ``with_agent_result`` on DataFrames, which parses the
+    text once per row).
 
     Defaults that depend on the claim (property value change and lien count,
     compliance disclosure window) read the claim columns of the same row.
     """
     raw = F.col("raw_response") if raw is None else raw
+    return _result_struct(agent, J.parse(raw), raw, lambda name: J.field(J.parse(raw), name), lambda name: None)
+
+
+def _result_struct(agent: str, v: Column, raw: Column, field_of, type_of) -> Column:
     fields = AGENT_FIELDS[agent]
-    v = J.parse(raw)
     values, checks = {}, []
     for f in fields:
-        val, ok = J.extract(v, f.name, f.kind, _default(f))
+        val, ok = J.extract_from(field_of(f.name), f.kind, _default(f), type_of(f.name))
         values[f.name] = val
         checks.append((f"INVALID_{f.name.upper()}", ok))
     delta = values["risk_delta"]
@@ -140,6 +145,100 @@ def parse_agent_result(agent: str, raw: Column | None = None) -> Column:
     return F.struct(*cols)
 
 
+def with_agent_result(df: DataFrame, agent: str, raw: str, out: str) -> DataFrame:
+    """Add ``out``: the typed result of ``agent`` for the reply text in ``raw``."""
+    return with_agent_results(df, [(agent, raw, out)])
+
+
+def with_agent_results(df: DataFrame, specs: list[tuple[str, str, str]]) -> DataFrame:
+    """Add one typed result column per ``(agent, raw_text_column, out_column)``.
+
+    Staged projections, so each piece is computed once per row: parse each
+    text to a VARIANT; extract every field and its JSON type; coerce each
+    field; derive the per-field acceptance flags and the first failing reason;
+    assemble the structs.  Each stage is one ``select`` for all agents (few
+    plan analyses), and Spark keeps the stages apart because every staged value
+    is referenced several times.
+    """
+    base_cols = [c for c in df.columns]
+    names = {}
+    for agent, raw, out in specs:
+        p = f"_{out}_"
+        fields = AGENT_FIELDS[agent]
+        names[out] = {
+            "v": f"{p}v", "reason": f"{p}reason",
+            "x": {f.name: f"{p}x_{f.name}" for f in fields},
+            "t": {f.name: f"{p}t_{f.name}" for f in fields},
+            "c": {f.name: f"{p}c_{f.name}" for f in fields},
+            "val": {f.name: f"{p}val_{f.name}" for f in fields},
+            "ok": {f.name: f"{p}ok_{f.name}" for f in fields},
+        }
+
+    def stage(cols_by_spec):
+        return [F.col(c) for c in current] + [e for spec in specs for e in cols_by_spec(*spec)]
+
+    current = list(base_cols)
+    staged = df.select(*stage(lambda a, raw, out: [J.parse(F.col(raw)).alias(names[out]["v"])]))
+    current += [names[o]["v"] for _, _, o in specs]
+    staged = staged.select(*stage(lambda a, raw, out: [
+        J.field(F.col(names[out]["v"]), f.name).alias(names[out]["x"][f.name]) for f in AGENT_FIELDS[a]]))
+    current += [n for _, _, o in specs for n in names[o]["x"].values()]
+    staged = staged.select(*stage(lambda a, raw, out: [
+        J.jtype(F.col(names[out]["x"][f.name])).alias(names[out]["t"][f.name]) for f in AGENT_FIELDS[a]]))
+    current += [n for _, _, o in specs for n in names[o]["t"].values()]
+    staged = staged.select(*stage(lambda a, raw, out: [
+        J.KINDS[f.kind](F.col(names[out]["x"][f.name]), F.col(names[out]["t"][f.name]))[0]
+        .alias(names[out]["c"][f.name]) for f in AGENT_FIELDS[a]]))
+    current += [n for _, _, o in specs for n in names[o]["c"].values()]
+
+    def oks_vals(a, raw, out):
+        n = names[out]
+        cols = []
+        for f in AGENT_FIELDS[a]:
+            accepted = F.col(n["x"][f.name]).isNull() | F.col(n["c"][f.name]).isNotNull()
+            if f.kind.startswith("opt_"):
+                accepted = accepted | (F.col(n["t"][f.name]) == "VOID")
+            cols.append(F.coalesce(accepted, F.lit(False)).alias(n["ok"][f.name]))
+            cols.append(
+                F.when(F.col(n["x"][f.name]).isNull(), _default(f)).otherwise(F.col(n["c"][f.name]))
+                .cast(J.SQL_TYPES[f.kind]).alias(n["val"][f.name])
+            )
+        return cols
+
+    staged = staged.select(*stage(oks_vals))
+    current += [n for _, _, o in specs for k in ("ok", "val") for n in names[o][k].values()]
+
+    def reasons(a, raw, out):
+        n = names[out]
+        delta = F.col(n["val"]["risk_delta"])
+        checks = [(f"INVALID_{f.name.upper()}", F.col(n["ok"][f.name])) for f in AGENT_FIELDS[a]]
+        checks.append(("RISK_DELTA_OUT_OF_RANGE", F.coalesce((delta >= -1.0) & (delta <= 1.0), F.lit(False))))
+        return [_reason(F.col(n["v"]), checks).alias(n["reason"])]
+
+    staged = staged.select(*stage(reasons))
+    current += [names[o]["reason"] for _, _, o in specs]
+
+    def result(a, raw, out):
+        n = names[out]
+        accepted_all = F.col(n["reason"]).isNull()
+        cols = [F.lit(K.AGENT_DISPLAY_NAMES[a]).alias("agent_name")]
+        for f in AGENT_FIELDS[a]:
+            if f.name == "status":
+                err = F.lit("ERROR")
+            elif f.name == "findings":
+                err = F.array(F.concat(F.lit(K.ERROR_FINDING_PREFIX), F.col(n["reason"])))
+            else:
+                err = _lit(f.error_default, f.kind) if f.kind != "str_list" else F.array().cast("array<string>")
+            cols.append(F.when(accepted_all, F.col(n["val"][f.name])).otherwise(err).alias(f.name))
+        cols.append(F.when(accepted_all, F.col(raw)).alias("raw_response"))
+        cols.append(F.col(n["reason"]).alias("error_reason"))
+        return F.struct(*cols).alias(out)
+
+    outs = {out for _, _, out in specs}
+    keep = [F.col(c) for c in base_cols if c not in outs]
+    return staged.select(*keep, *[result(*spec) for spec in specs])
+
+
 def reply_parse(replies: DataFrame, agent: str, claims: DataFrame | None = None) -> DataFrame:
     """Parse the replies of one agent: ``(claim_id, result)``.
 
@@ -148,13 +247,15 @@ def reply_parse(replies: DataFrame, agent: str, claims: DataFrame | None = None)
     """
     rows = replies.filter(F.col("agent") == agent)
     if claims is not None:
-        rows = rows.join(claims.select("claim_id", "value_pct_change", "has_lien", "state"), "claim_id", "inner")
+        rows = rows.hint("merge").join(
+            claims.select("claim_id", "value_pct_change", "has_lien", "state"), "claim_id", "inner"
+        )
     else:
         rows = rows.withColumns(
             {"value_pct_change": F.lit(None).cast("double"), "has_lien": F.lit(None).cast("boolean"),
              "state": F.lit(None).cast("string")}
         )
-    return rows.select("claim_id", parse_agent_result(agent).alias("result"))
+    return with_agent_result(rows, agent, "raw_response", "result").select("claim_id", "result")
 
 
 RESULT_COLUMNS = {
@@ -165,34 +266,42 @@ RESULT_COLUMNS = {
 }
 
 
+def reply_texts(replies: DataFrame, include_synthesis: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per claim with the reply text of each agent (``identity_result``
+    ... as text) and ``synthesis_raw``: a pivot over the fixed agent list in
+    one aggregation keyed by claim_id (no claim columns carried along)."""
+    aggs = [
+        F.first(F.when(F.col("agent") == agent, F.col("raw_response")), ignorenulls=True).alias(out)
+        for agent, out in RESULT_COLUMNS.items()
+    ]
+    if include_synthesis:
+        aggs.append(
+            F.first(F.when(F.col("agent") == K.ORCHESTRATOR_AGENT, F.col("raw_response")), ignorenulls=True)
+            .alias("synthesis_raw")
+        )
+    aggs += [F.first(c).alias(c) for c in carry]
+    return replies.groupBy("claim_id").agg(*aggs)
+
+
+def parse_texts(df: DataFrame, include_synthesis: bool = True) -> DataFrame:
+    """Replace each agent text column by its typed result struct; a missing
+    reply is a thread without an assistant message (``{}``)."""
+    texts = {out: F.coalesce(F.col(out), F.lit("{}")) for out in RESULT_COLUMNS.values()}
+    if include_synthesis:
+        texts["synthesis_raw"] = F.coalesce(F.col("synthesis_raw"), F.lit("{}"))
+    return with_agent_results(df.withColumns(texts), [(a, out, out) for a, out in RESULT_COLUMNS.items()])
+
+
 def agents_pivot(replies_with_claims: DataFrame, include_synthesis: bool = True) -> DataFrame:
     """Four (or five) replies per claim -> one row per claim with a result
     struct per agent (``identity_result`` ...) and ``synthesis_raw``.
 
     Input rows carry claim_id, agent, raw_response and the claim columns used
-    for defaults.  One aggregation keyed by claim_id (a pivot over the fixed
-    agent list); each struct is built only for its agent's rows.  A missing
-    reply is treated as a thread without an assistant message (``{}``).
+    for defaults (value_pct_change, has_lien, state ...), which are carried
+    through the per-claim aggregation.
     """
-    aggs = []
-    for agent, out in RESULT_COLUMNS.items():
-        aggs.append(F.first(F.when(F.col("agent") == agent, F.col("raw_response")), ignorenulls=True).alias(out))
-    if include_synthesis:
-        aggs.append(
-            F.first(F.when(F.col("agent") == K.ORCHESTRATOR_AGENT, F.col("raw_response")), ignorenulls=True).alias(
-                "synthesis_raw"
-            )
-        )
-    claim_cols = [c for c in replies_with_claims.columns if c not in ("claim_id", "agent", "raw_response")]
-    aggs += [F.first(c).alias(c) for c in claim_cols]
-    raw = replies_with_claims.groupBy("claim_id").agg(*aggs)
-    parsed = {
-        out: parse_agent_result(agent, F.coalesce(F.col(out), F.lit("{}")))
-        for agent, out in RESULT_COLUMNS.items()
-    }
-    if include_synthesis:
-        parsed["synthesis_raw"] = F.coalesce(F.col("synthesis_raw"), F.lit("{}"))
-    return raw.withColumns(parsed)
+    claim_cols = tuple(c for c in replies_with_claims.columns if c not in ("claim_id", "agent", "raw_response"))
+    return parse_texts(reply_texts(replies_with_claims, include_synthesis, carry=claim_cols), include_synthesis)
 
 
 def common_result(col: str) -> Column:

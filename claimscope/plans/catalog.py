@@ -739,7 +739,8 @@ def q_dq_report(spark, sf):
 
 @register(
     "dq_summary",
-    None,
+    "SELECT count(*) FILTER (WHERE passed) AS passed_checks, count(*) FILTER (WHERE NOT passed) AS failed_checks "
+    f"FROM ({_dq_report_sql()}) r",
 )
 def q_dq_summary(spark, sf):
     return Q.dq_summary(Q.dq_report(_layer_tables(spark, sf)))
@@ -1033,9 +1034,39 @@ def q_rule_strong_signals(spark, sf):
     )
 
 
-@register("synthesis_request", None)
+_SYN_SCHEMA = (
+    "claim_id string, claim_amount double, original_score double, risk_tier string, "
+    "identity struct<status string, risk_delta double, findings array<string>>, "
+    "property struct<status string, risk_delta double, findings array<string>>, "
+    "claims_pattern struct<status string, risk_delta double, findings array<string>>, "
+    "compliance struct<status string, sar_required boolean, findings array<string>>"
+)
+
+
+@register(
+    "synthesis_request",
+    _decided_sql(
+        "claim_id, claim_amount, fraud_risk_score AS original_score, risk_tier, identity_status, identity_risk_delta, "
+        "identity_findings, property_status, property_risk_delta, claims_pattern_status, compliance_status, "
+        "compliance_sar_required, compliance_findings"
+    ),
+)
 def q_synthesis_request(spark, sf):
-    return RQ.synthesis_request(_parsed_all(spark, sf))
+    # the payload parsed back: every field the synthesis step receives
+    req = RQ.synthesis_request(_parsed_all(spark, sf))
+    p = req.select(F.from_json("request", _SYN_SCHEMA).alias("p"))
+    return p.select(
+        "p.claim_id", "p.claim_amount", "p.original_score", "p.risk_tier",
+        F.col("p.identity.status").alias("identity_status"),
+        F.col("p.identity.risk_delta").alias("identity_risk_delta"),
+        F.array_join("p.identity.findings", "|").alias("identity_findings"),
+        F.col("p.property.status").alias("property_status"),
+        F.col("p.property.risk_delta").alias("property_risk_delta"),
+        F.col("p.claims_pattern.status").alias("claims_pattern_status"),
+        F.col("p.compliance.status").alias("compliance_status"),
+        F.col("p.compliance.sar_required").alias("compliance_sar_required"),
+        F.array_join("p.compliance.findings", "|").alias("compliance_findings"),
+    )
 
 
 @register("investigation_report", None)
@@ -1212,7 +1243,10 @@ def q_sink_overwrite(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("sink_append_evolving", None)
+@register(
+    "sink_append_evolving",
+    OR.audit_sql("SELECT *, NULL AS flagged_note FROM audit UNION ALL SELECT *, 'run 2' AS flagged_note FROM audit"),
+)
 def q_sink_append_evolving(spark, sf):
     # run 1 writes the 13 audit columns; run 2 adds a column; both readable together
     path = _scratch(spark, "append")
@@ -1236,9 +1270,10 @@ def q_rows_after_write(spark, sf):
     return SK.rows_after_write(spark, path)
 
 
-@register("layout_cluster", None)
+@register("layout_cluster", O.gold_sql("SELECT * FROM gold"))
 def q_layout_cluster(spark, sf):
-    return LY.layout_cluster(L.gold(spark, sf))
+    # clustering only reorders rows: the row set must stay the gold table
+    return LY.layout_cluster(L.gold(spark, sf)).drop("z_order")
 
 
 @register("batch_refresh", _dq_report_sql())

@@ -14,12 +14,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from claimscope import constants as K
+from claimscope.session import ensure_checkpoint_dir
 from claimscope.operators import decide as D
 from claimscope.operators import queue as Qu
 from claimscope.operators import replies as R
 from claimscope.operators import report as Rp
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """Mark a side whose size grows with the data (replies: five per claim):
+    join it by shuffle + sort-merge, never by broadcast.  Both sides are then
+    hash-partitioned and sorted on claim_id, which the pivot aggregation on
+    claim_id reuses (no further exchange or sort)."""
+    return df.hint("merge")
+
+
 @dataclass
 class Investigation:
     queue: DataFrame
@@ -40,14 +49,34 @@ def investigate(
     audit_log: DataFrame | None = None,
     investigated_at=None,
     model_version: str = K.MODEL_VERSION,
+    materialize_queue: bool = True,
 ) -> Investigation:
-    """Investigate every pending claim (all lazy; nothing collected)."""
+    """Investigate every pending claim (nothing is collected).
+
+    The valid queue is used twice (to select the replies and to receive the
+    parsed results) and the decisions three times (report, audit rows,
+    quarantine), so by default both are checkpointed into the shared
+    checkpoint folder: computed one time each, and a lost executor recomputes
+    from the checkpoint instead of from the source tables.
+    """
     queue = Qu.pending_queue(gold, min_score, min_amount, audit=audit_log, ordered=False)
     validated = Qu.claim_validate(queue)
     valid = Qu.valid_claims(validated)
-    joined = valid.join(replies.select("claim_id", "agent", "raw_response"), "claim_id", "left")
-    parsed = R.agents_pivot(joined)
+    if materialize_queue:
+        ensure_checkpoint_dir(valid.sparkSession)
+        valid = valid.checkpoint(eager=True)
+    # replies of the queued claims only: a semi join can only build its right
+    # side (the queue ids), so AQE may broadcast the queue when it is small,
+    # and the replies table is never broadcast
+    wanted = replies.select("claim_id", "agent", "raw_response").join(valid.select("claim_id"), "claim_id", "left_semi")
+    texts = R.reply_texts(wanted)
+    parsed = R.parse_texts(valid.join(texts, "claim_id", "left"))
     decided = D.synthesis_parse(D.decide_fallback(parsed))
+    if materialize_queue:
+        # queue-sized and read by the report, the audit rows and the
+        # quarantine; downstream joins then plan against a materialised
+        # relation instead of the large parsing expressions
+        decided = decided.checkpoint(eager=True)
     report = Rp.investigation_report(decided, investigated_at, model_version)
     return Investigation(
         queue=queue,
@@ -66,5 +95,10 @@ def parse_all_claims(gold: DataFrame, replies: DataFrame) -> DataFrame:
     has replies (no queue filter): the bulk re-parse of a replies table."""
     claims = gold.select("claim_id", "fraud_risk_score", "claim_amount", "risk_tier", "value_pct_change",
                          "has_lien", "state")
-    joined = claims.join(replies.select("claim_id", "agent", "raw_response"), "claim_id", "inner")
-    return D.synthesis_parse(D.decide_fallback(R.agents_pivot(joined)))
+    # pivot the texts first (one shuffle of the replies by claim_id), then a
+    # sort-merge join with the claims: both sides grow with the whole claims
+    # table, so neither may be broadcast (the texts side is already
+    # partitioned and sorted by claim_id)
+    texts = R.reply_texts(replies.select("claim_id", "agent", "raw_response"))
+    joined = claims.join(unbounded(texts), "claim_id", "inner")
+    return D.synthesis_parse(D.decide_fallback(R.parse_texts(joined)))

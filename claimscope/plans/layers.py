@@ -2,7 +2,8 @@
 
 ``bronze -> silver -> gold`` with pinned reference dates, used by the query
 catalogue, the bench and the tests.  Nothing is materialised here; the batch
-refresh plan (``plans.refresh``) writes each layer.
+refresh plan (``plans.refresh``) writes each layer.  The lazy plans are
+reused within a session (analysis happens once); ``forget`` drops them.
 """
 
 from __future__ import annotations
@@ -10,19 +11,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimscope import constants as K
-from claimscope.operators.gold import gold_score, score_claims
-from claimscope.operators.silver import silver_enrich
+from claimscope.operators.gold import gold_select, score_claims
+from claimscope.operators.silver import cast_filed_date, claim_velocity, claim_velocity_as_written, silver_columns
 from claimscope.sources import fixtures
+from claimscope.sources.fixtures import CLAIM_COLUMNS
+
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
+    k = (id(spark._jsparkSession),) + key
+    df = _PLANS.get(k)
+    if df is None or df.sparkSession is not spark:
+        df = build()
+        _PLANS[k] = df
+    return df
+
+
+def forget() -> None:
+    _PLANS.clear()
 
 
 def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.bronze_claims(spark, sf_dir)
+    return _memo(spark, ("bronze", sf_dir), lambda: fixtures.bronze_claims(spark, sf_dir))
 
 
 def silver(spark: SparkSession, sf_dir: str, velocity_mode: str = "trailing", strategy: str = "daily") -> DataFrame:
-    return silver_enrich(
-        bronze_claims(spark, sf_dir), as_of=K.FIXTURE_AS_OF, velocity_mode=velocity_mode, strategy=strategy
-    )
+    """Silver claims.  Velocity is computed on the claim-only columns (orders
+    + property key), before the dimension attributes are attached: the dimension
+    joins never change the number of claims, so the result equals
+    ``silver_enrich(bronze_claims)``, while the velocity's daily-count branch
+    only scans the orders table."""
+
+    def build():
+        base = cast_filed_date(fixtures.claim_base(spark, sf_dir))
+        if velocity_mode == "trailing":
+            with_v = claim_velocity(base, strategy=strategy)
+        else:
+            with_v = claim_velocity_as_written(base)
+        full = fixtures.attach_dimensions(spark, sf_dir, with_v)
+        return full.select(*CLAIM_COLUMNS, "claim_velocity_24mo").withColumns(silver_columns(K.FIXTURE_AS_OF))
+
+    return _memo(spark, ("silver", sf_dir, velocity_mode, strategy), build)
 
 
 def scored(
@@ -33,7 +63,10 @@ def scored(
     strategy: str = "daily",
 ) -> DataFrame:
     """Silver + signals + score + tier + alert (all columns)."""
-    return score_claims(silver(spark, sf_dir, strategy=strategy), high, medium, scored_at=K.FIXTURE_SCORED_AT)
+    return _memo(
+        spark, ("scored", sf_dir, high, medium, strategy),
+        lambda: score_claims(silver(spark, sf_dir, strategy=strategy), high, medium, scored_at=K.FIXTURE_SCORED_AT),
+    )
 
 
 def gold(
@@ -44,4 +77,7 @@ def gold(
     strategy: str = "daily",
 ) -> DataFrame:
     """The 28-column gold table at pinned dates."""
-    return gold_score(silver(spark, sf_dir, strategy=strategy), high, medium, scored_at=K.FIXTURE_SCORED_AT)
+    return _memo(
+        spark, ("gold", sf_dir, high, medium, strategy),
+        lambda: gold_select(scored(spark, sf_dir, high, medium, strategy)),
+    )

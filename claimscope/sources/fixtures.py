@@ -137,23 +137,34 @@ def claim_columns(orders: DataFrame) -> DataFrame:
     )
 
 
-def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze claims (16 columns): orders + their property key, denormalised
-    with claimant and property attributes (left joins on the integer keys)."""
+def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim-only columns of every order plus the join keys (o_custkey, pk)."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     pk = order_property_keys(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
-    base = claim_columns(orders.join(pk, orders.o_orderkey == pk.l_orderkey, "left"))
+    return claim_columns(orders.join(pk, orders.o_orderkey == pk.l_orderkey, "left"))
+
+
+def attach_dimensions(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
+    """Claimant (state, id_verified, account_age_days) and property
+    (value_pct_change, has_lien) attributes joined on the integer keys.
+
+    Both dimensions have one row per key, so the left joins never change the
+    number of claims -- which is why per-claim features such as velocity may
+    be computed before or after this step with the same result.
+    """
     cl = claimants_keyed(read_table(spark, sf_dir, "customer")).select(
         "c_custkey", "state", "id_verified", "account_age_days"
     )
     pr = properties_keyed(read_table(spark, sf_dir, "part")).select("p_partkey", "value_pct_change", "has_lien")
-    joined = (
-        base.join(pr, base.pk == pr.p_partkey, "left")
-        .join(cl, base.o_custkey == cl.c_custkey, "left")
-    )
-    return joined.select(*CLAIM_COLUMNS)
+    return base.join(pr, base.pk == pr.p_partkey, "left").join(cl, base.o_custkey == cl.c_custkey, "left")
+
+
+def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze claims (16 columns): orders + their property key, denormalised
+    with claimant and property attributes (left joins on the integer keys)."""
+    return attach_dimensions(spark, sf_dir, claim_base(spark, sf_dir)).select(*CLAIM_COLUMNS)
 
 
 # ---------------------------------------------------------------------------

@@ -12,10 +12,28 @@ TEST_TABLES = (
 )
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale-factor folder (lazy; column pruning and
-    filter pushdown reach the scan through Catalyst)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    filter pushdown reach the scan through Catalyst).
+
+    The scan DataFrame is reused within a session (the file listing and
+    schema resolution happen once); ``forget_scans`` drops the reuse.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark._jsparkSession), path)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _SCANS[key] = df
+    return df
+
+
+def forget_scans() -> None:
+    """Forget reused scans (e.g. after the files of a folder changed)."""
+    _SCANS.clear()
 
 
 def scan_table(spark: SparkSession, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
