@@ -107,10 +107,18 @@ def alert_throttle_stream(
 ) -> DataFrame:
     """First breach per ``period`` of a stream of measure evaluations
     (append mode: a window is emitted once the watermark passes its end)."""
-    breaches = evaluations.withWatermark(ts, watermark).filter(F.col(value) > threshold)
+    # every evaluation (breach or not) must pass the watermark node so event
+    # time advances; the breach test sits inside the aggregate, where it cannot
+    # be pushed down below the watermark into the scan
+    timed = evaluations.withWatermark(ts, watermark)
+    breach = F.col(value) > threshold
+    first = F.min_by(
+        F.when(breach, F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))), F.when(breach, F.col(ts))
+    )
     return (
-        breaches.groupBy(F.window(ts, period).alias("w"))
-        .agg(F.min_by(F.struct(F.col(ts).alias("ts"), F.col(value).alias("value")), F.col(ts)).alias("first"))
+        timed.groupBy(F.window(ts, period).alias("w"))
+        .agg(first.alias("first"))
+        .filter(F.col("first").isNotNull())
         .select(
             F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
             F.col("first.ts").alias("alert_ts"), F.col("first.value").alias("alert_value"),
