@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.constants import AGENT_FLAG_STATUS, AGENTS, ORCHESTRATOR_AGENT, STATES
-from claimscope.sources.tables import read_table
+from claimscope.sources.tables import read_table, spread
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -139,9 +139,9 @@ def claim_columns(orders: DataFrame) -> DataFrame:
 
 def claim_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim-only columns of every order plus the join keys (o_custkey, pk)."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = spread(read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
-    )
+    ))
     pk = order_property_keys(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
     return claim_columns(orders.join(pk, orders.o_orderkey == pk.l_orderkey, "left"))
 
@@ -276,7 +276,7 @@ def synthesis_reply_text(k: Column) -> Column:
 def agent_replies(spark: SparkSession, sf_dir: str, include_synthesis: bool = True) -> DataFrame:
     """Replies table ``(claim_id, agent, raw_response)``: one row per claim and
     agent (four specialists, plus the orchestrator when ``include_synthesis``)."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
     k = F.col("o_orderkey")
     claim_id = F.concat(F.lit("CLM-"), _str(F.year("o_orderdate")), F.lit("-"), _str(F.lit(7000) + k))
     pairs = [F.struct(F.lit(a).alias("agent"), agent_reply_text(a, k).alias("raw_response")) for a in AGENTS]

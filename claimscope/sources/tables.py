@@ -31,6 +31,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when it has fewer input
+    partitions than cores (e.g. a single-row-group file), so per-row work after
+    it runs in parallel.  A scan of many splits -- the normal case at scale --
+    is returned unchanged, so no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def forget_scans() -> None:
     """Forget reused scans (e.g. after the files of a folder changed)."""
     _SCANS.clear()
