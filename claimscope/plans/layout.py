@@ -70,11 +70,22 @@ def layout_cluster(
     partitions: int | None = None,
     bits: int = 10,
     domains: Mapping[str, Sequence[str]] | None = None,
+    tiebreak: str | None = "claim_id",
 ) -> DataFrame:
     """Rows range-partitioned and sorted by the z-value of ``columns``
-    (``z_order`` column kept for inspection)."""
+    (``z_order`` column kept for inspection).
+
+    A deterministic hash of ``tiebreak`` (when present) is the second range
+    key, so a z-value shared by a large share of the rows is split over
+    several partitions instead of landing in one.
+    """
     if domains is None:
         domains = {"risk_tier": TIER_ORDER} if "risk_tier" in columns else {}
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     z = z_value(df, columns, bits, domains)
-    return df.withColumn("z_order", z).repartitionByRange(n, "z_order").sortWithinPartitions("z_order")
+    out = df.withColumn("z_order", z)
+    keys = ["z_order"]
+    if tiebreak and tiebreak in df.columns:
+        out = out.withColumn("_z_tie", F.xxhash64(F.col(tiebreak)))
+        keys.append("_z_tie")
+    return out.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_z_tie")

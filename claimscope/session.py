@@ -41,8 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared folder set by the operator of the cluster and
-    is used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    is used as is (an unset value is an error there).  Only in local mode with
+    no value set (tests) a scratch folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -52,6 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a folder shared by all executors"
+        )
     local = tempfile.mkdtemp(prefix="claimscope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
