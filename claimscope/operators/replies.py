@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
@@ -150,6 +150,70 @@ def with_agent_result(df: DataFrame, agent: str, raw: str, out: str) -> DataFram
     return with_agent_results(df, [(agent, raw, out)])
 
 
+_STAGE_CACHE: dict[tuple, dict] = {}
+
+
+def _names(agent: str, out: str) -> dict:
+    p = f"_{out}_"
+    fields = AGENT_FIELDS[agent]
+    return {
+        "v": f"{p}v", "reason": f"{p}reason",
+        "x": {f.name: f"{p}x_{f.name}" for f in fields},
+        "t": {f.name: f"{p}t_{f.name}" for f in fields},
+        "c": {f.name: f"{p}c_{f.name}" for f in fields},
+        "val": {f.name: f"{p}val_{f.name}" for f in fields},
+        "ok": {f.name: f"{p}ok_{f.name}" for f in fields},
+    }
+
+
+def _stages(agent: str, raw: str, out: str) -> dict:
+    """The staged column lists of one agent's parse.  They reference columns
+    by name only, so they are built once per session and reused."""
+    key = (id(SparkSession.getActiveSession()._jsparkSession), agent, raw, out)
+    cached = _STAGE_CACHE.get(key)
+    if cached is not None:
+        return cached
+    fields = AGENT_FIELDS[agent]
+    n = _names(agent, out)
+    stages = {"names": n}
+    stages["v"] = [J.parse(F.col(raw)).alias(n["v"])]
+    stages["x"] = [J.field(F.col(n["v"]), f.name).alias(n["x"][f.name]) for f in fields]
+    stages["t"] = [J.jtype(F.col(n["x"][f.name])).alias(n["t"][f.name]) for f in fields]
+    stages["c"] = [
+        J.KINDS[f.kind](F.col(n["x"][f.name]), F.col(n["t"][f.name]))[0].alias(n["c"][f.name]) for f in fields
+    ]
+    okval = []
+    for f in fields:
+        accepted = F.col(n["x"][f.name]).isNull() | F.col(n["c"][f.name]).isNotNull()
+        if f.kind.startswith("opt_"):
+            accepted = accepted | (F.col(n["t"][f.name]) == "VOID")
+        okval.append(F.coalesce(accepted, F.lit(False)).alias(n["ok"][f.name]))
+        okval.append(
+            F.when(F.col(n["x"][f.name]).isNull(), _default(f)).otherwise(F.col(n["c"][f.name]))
+            .cast(J.SQL_TYPES[f.kind]).alias(n["val"][f.name])
+        )
+    stages["okval"] = okval
+    delta = F.col(n["val"]["risk_delta"])
+    checks = [(f"INVALID_{f.name.upper()}", F.col(n["ok"][f.name])) for f in fields]
+    checks.append(("RISK_DELTA_OUT_OF_RANGE", F.coalesce((delta >= -1.0) & (delta <= 1.0), F.lit(False))))
+    stages["reason"] = [_reason(F.col(n["v"]), checks).alias(n["reason"])]
+    accepted_all = F.col(n["reason"]).isNull()
+    cols = [F.lit(K.AGENT_DISPLAY_NAMES[agent]).alias("agent_name")]
+    for f in fields:
+        if f.name == "status":
+            err = F.lit("ERROR")
+        elif f.name == "findings":
+            err = F.array(F.concat(F.lit(K.ERROR_FINDING_PREFIX), F.col(n["reason"])))
+        else:
+            err = _lit(f.error_default, f.kind) if f.kind != "str_list" else F.array().cast("array<string>")
+        cols.append(F.when(accepted_all, F.col(n["val"][f.name])).otherwise(err).alias(f.name))
+    cols.append(F.when(accepted_all, F.col(raw)).alias("raw_response"))
+    cols.append(F.col(n["reason"]).alias("error_reason"))
+    stages["result"] = F.struct(*cols).alias(out)
+    _STAGE_CACHE[key] = stages
+    return stages
+
+
 def with_agent_results(df: DataFrame, specs: list[tuple[str, str, str]]) -> DataFrame:
     """Add one typed result column per ``(agent, raw_text_column, out_column)``.
 
@@ -160,83 +224,17 @@ def with_agent_results(df: DataFrame, specs: list[tuple[str, str, str]]) -> Data
     plan analyses), and Spark keeps the stages apart because every staged value
     is referenced several times.
     """
-    base_cols = [c for c in df.columns]
-    names = {}
-    for agent, raw, out in specs:
-        p = f"_{out}_"
-        fields = AGENT_FIELDS[agent]
-        names[out] = {
-            "v": f"{p}v", "reason": f"{p}reason",
-            "x": {f.name: f"{p}x_{f.name}" for f in fields},
-            "t": {f.name: f"{p}t_{f.name}" for f in fields},
-            "c": {f.name: f"{p}c_{f.name}" for f in fields},
-            "val": {f.name: f"{p}val_{f.name}" for f in fields},
-            "ok": {f.name: f"{p}ok_{f.name}" for f in fields},
-        }
-
-    def stage(cols_by_spec):
-        return [F.col(c) for c in current] + [e for spec in specs for e in cols_by_spec(*spec)]
-
-    current = list(base_cols)
-    staged = df.select(*stage(lambda a, raw, out: [J.parse(F.col(raw)).alias(names[out]["v"])]))
-    current += [names[o]["v"] for _, _, o in specs]
-    staged = staged.select(*stage(lambda a, raw, out: [
-        J.field(F.col(names[out]["v"]), f.name).alias(names[out]["x"][f.name]) for f in AGENT_FIELDS[a]]))
-    current += [n for _, _, o in specs for n in names[o]["x"].values()]
-    staged = staged.select(*stage(lambda a, raw, out: [
-        J.jtype(F.col(names[out]["x"][f.name])).alias(names[out]["t"][f.name]) for f in AGENT_FIELDS[a]]))
-    current += [n for _, _, o in specs for n in names[o]["t"].values()]
-    staged = staged.select(*stage(lambda a, raw, out: [
-        J.KINDS[f.kind](F.col(names[out]["x"][f.name]), F.col(names[out]["t"][f.name]))[0]
-        .alias(names[out]["c"][f.name]) for f in AGENT_FIELDS[a]]))
-    current += [n for _, _, o in specs for n in names[o]["c"].values()]
-
-    def oks_vals(a, raw, out):
-        n = names[out]
-        cols = []
-        for f in AGENT_FIELDS[a]:
-            accepted = F.col(n["x"][f.name]).isNull() | F.col(n["c"][f.name]).isNotNull()
-            if f.kind.startswith("opt_"):
-                accepted = accepted | (F.col(n["t"][f.name]) == "VOID")
-            cols.append(F.coalesce(accepted, F.lit(False)).alias(n["ok"][f.name]))
-            cols.append(
-                F.when(F.col(n["x"][f.name]).isNull(), _default(f)).otherwise(F.col(n["c"][f.name]))
-                .cast(J.SQL_TYPES[f.kind]).alias(n["val"][f.name])
-            )
-        return cols
-
-    staged = staged.select(*stage(oks_vals))
-    current += [n for _, _, o in specs for k in ("ok", "val") for n in names[o][k].values()]
-
-    def reasons(a, raw, out):
-        n = names[out]
-        delta = F.col(n["val"]["risk_delta"])
-        checks = [(f"INVALID_{f.name.upper()}", F.col(n["ok"][f.name])) for f in AGENT_FIELDS[a]]
-        checks.append(("RISK_DELTA_OUT_OF_RANGE", F.coalesce((delta >= -1.0) & (delta <= 1.0), F.lit(False))))
-        return [_reason(F.col(n["v"]), checks).alias(n["reason"])]
-
-    staged = staged.select(*stage(reasons))
-    current += [names[o]["reason"] for _, _, o in specs]
-
-    def result(a, raw, out):
-        n = names[out]
-        accepted_all = F.col(n["reason"]).isNull()
-        cols = [F.lit(K.AGENT_DISPLAY_NAMES[a]).alias("agent_name")]
-        for f in AGENT_FIELDS[a]:
-            if f.name == "status":
-                err = F.lit("ERROR")
-            elif f.name == "findings":
-                err = F.array(F.concat(F.lit(K.ERROR_FINDING_PREFIX), F.col(n["reason"])))
-            else:
-                err = _lit(f.error_default, f.kind) if f.kind != "str_list" else F.array().cast("array<string>")
-            cols.append(F.when(accepted_all, F.col(n["val"][f.name])).otherwise(err).alias(f.name))
-        cols.append(F.when(accepted_all, F.col(raw)).alias("raw_response"))
-        cols.append(F.col(n["reason"]).alias("error_reason"))
-        return F.struct(*cols).alias(out)
-
+    base_cols = list(df.columns)
+    built = [_stages(*spec) for spec in specs]
+    current = [F.col(c) for c in base_cols]
+    staged = df
+    for stage in ("v", "x", "t", "c", "okval", "reason"):
+        new_cols = [c for b in built for c in b[stage]]
+        staged = staged.select(*current, *new_cols)
+        current = current + [F.col(name) for name in staged.columns[len(current):]]
     outs = {out for _, _, out in specs}
     keep = [F.col(c) for c in base_cols if c not in outs]
-    return staged.select(*keep, *[result(*spec) for spec in specs])
+    return staged.select(*keep, *[b["result"] for b in built])
 
 
 def reply_parse(replies: DataFrame, agent: str, claims: DataFrame | None = None) -> DataFrame:
