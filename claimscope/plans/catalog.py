@@ -106,7 +106,6 @@ def q_claims_fixture(spark, sf):
 from pyspark.sql import functions as F  # noqa: E402
 
 from claimscope import constants as K  # noqa: E402
-from claimscope.functions import scoring as SC  # noqa: E402
 from claimscope.operators import answers as A  # noqa: E402
 from claimscope.operators import bronze as B  # noqa: E402
 from claimscope.operators import measures as M  # noqa: E402
@@ -751,7 +750,6 @@ def q_dq_summary(spark, sf):
 # ---------------------------------------------------------------------------
 
 from claimscope.checks import oracle_replies as OR  # noqa: E402
-from claimscope.operators import decide as D  # noqa: E402
 from claimscope.operators import queue as QU  # noqa: E402
 from claimscope.operators import replies as RE  # noqa: E402
 from claimscope.operators import report as RP  # noqa: E402
