@@ -42,19 +42,38 @@ def claim_velocity(
         return claims.withColumn(out, F.count("claim_id").over(w))
     if strategy != "daily":
         raise ValueError(f"unknown velocity strategy {strategy!r}")
-    daily = claims.groupBy("claimant_id", "filed_date").agg(F.count("claim_id").alias("_n"))
-    w = Window.partitionBy("claimant_id").orderBy(order).rangeBetween(-days, 0)
-    velocity = daily.select(
-        F.col("claimant_id").alias("_v_claimant"),
-        F.col("filed_date").alias("_v_date"),
-        F.sum("_n").over(w).cast("bigint").alias(out),
-    )
+    velocity = daily_velocity(claims, days=days, out=out)
     cond = claims["claimant_id"].eqNullSafe(velocity["_v_claimant"]) & claims["filed_date"].eqNullSafe(
         velocity["_v_date"]
     )
     return claims.join(velocity, cond, "left").drop("_v_claimant", "_v_date")
 
 
+def daily_velocity(
+    claims: DataFrame,
+    days: int = K.VELOCITY_WINDOW_DAYS,
+    out: str = VELOCITY_COLUMN,
+    extra_keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """The velocity per (claimant, day): ``(_v_claimant, _v_date, out, *extra_keys)``.
+
+    Claims are counted per (claimant, day) with map-side partial aggregation
+    and the RANGE window runs over those daily counts -- at most one row per
+    claimant and calendar day.  ``extra_keys`` are attributes determined by the
+    claimant (e.g. a source key) carried along for later joins.
+    """
+    daily = claims.groupBy("claimant_id", "filed_date").agg(
+        F.count("claim_id").alias("_n"), *[F.first(k).alias(k) for k in extra_keys]
+    )
+    w = Window.partitionBy("claimant_id").orderBy(F.unix_date("filed_date")).rangeBetween(-days, 0)
+    return daily.select(
+        F.col("claimant_id").alias("_v_claimant"),
+        F.col("filed_date").alias("_v_date"),
+        F.sum("_n").over(w).cast("bigint").alias(out),
+        *extra_keys,
+    )
+
+
 def claim_velocity_as_written(claims: DataFrame, out: str = VELOCITY_COLUMN) -> DataFrame:
     """Parity mode: what the original window degenerates to (every row of a
     claimant is a peer), i.e. the total claims of the claimant.  Computed as a

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.constants import AGENT_FLAG_STATUS, AGENTS, ORCHESTRATOR_AGENT, STATES
+from claimscope.constants import AGENT_FLAG_STATUS, AGENTS, ORCHESTRATOR_AGENT, STATES, VELOCITY_WINDOW_DAYS
 from claimscope.sources.tables import read_table, spread
 
 
@@ -161,6 +161,29 @@ def attach_dimensions(spark: SparkSession, sf_dir: str, base: DataFrame) -> Data
     return base.join(pr, base.pk == pr.p_partkey, "left").join(cl, base.o_custkey == cl.c_custkey, "left")
 
 
+def attach_dimensions_via_velocity(
+    spark: SparkSession, sf_dir: str, base: DataFrame, days: int = VELOCITY_WINDOW_DAYS
+) -> DataFrame:
+    """``base`` claims with the trailing velocity and the claimant/property
+    attributes, with the claimant attributes travelling on the velocity table.
+
+    Daily counts per (claimant, day) -> RANGE window -> left join of the
+    claimant attributes (one row per key) -> one null-safe join back to the
+    claims on (claimant, day) -> property attributes on the part key.
+    """
+    from claimscope.operators.silver import daily_velocity
+
+    cl = claimants_keyed(read_table(spark, sf_dir, "customer")).select(
+        "c_custkey", "state", "id_verified", "account_age_days"
+    )
+    vel = daily_velocity(base, days=days, extra_keys=("o_custkey",))
+    vel = vel.join(cl, vel["o_custkey"] == cl["c_custkey"], "left").drop("c_custkey", "o_custkey")
+    cond = base["claimant_id"].eqNullSafe(vel["_v_claimant"]) & base["filed_date"].eqNullSafe(vel["_v_date"])
+    with_v = base.join(vel, cond, "left").drop("_v_claimant", "_v_date")
+    pr = properties_keyed(read_table(spark, sf_dir, "part")).select("p_partkey", "value_pct_change", "has_lien")
+    return with_v.join(pr, with_v.pk == pr.p_partkey, "left")
+
+
 def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze claims (16 columns): orders + their property key, denormalised
     with claimant and property attributes (left joins on the integer keys)."""
