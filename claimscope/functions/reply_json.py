@@ -45,6 +45,13 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
 
 
+def is_object_text(raw: Column, v: Column) -> Column:
+    """True when ``raw`` parsed (``v`` not NULL) and is a JSON object: valid
+    JSON whose first non-blank character is ``{`` (cheaper than typing the
+    whole value)."""
+    return F.coalesce(v.isNotNull() & raw.rlike(r"^\s*\{"), F.lit(False))
+
+
 def field(v: Column, name: str) -> Column:
     """The field as VARIANT: SQL NULL when missing, variant null when JSON null."""
     return F.variant_get(v, f"$.{name}", "variant")

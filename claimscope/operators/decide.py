@@ -78,7 +78,7 @@ def synthesis_parse(decided: DataFrame, raw: str = "synthesis_raw") -> DataFrame
         F.when(fallback & ~((F.col("fallback_probability") >= 0) & (F.col("fallback_probability") <= 1)),
                F.lit("PROBABILITY_OUT_OF_RANGE"))
         .when(fallback, F.lit(None).cast("string"))
-        .when(~J.is_object(v), F.lit("SYNTHESIS_NOT_AN_OBJECT"))
+        .when(~J.is_object_text(F.col(raw), v), F.lit("SYNTHESIS_NOT_AN_OBJECT"))
         .when(~prob_ok, F.lit("INVALID_COMPOSITE_FRAUD_PROBABILITY"))
         .when(~action_ok | ~F.coalesce(action_val.isin(*K.DECISIONS), F.lit(False)), F.lit("INVALID_RECOMMENDED_ACTION"))
         .when(~rationale_ok, F.lit("INVALID_ACTION_RATIONALE"))

@@ -99,9 +99,10 @@ def _default(f: Field) -> Column:
     return f.default() if callable(f.default) else _lit(f.default, f.kind)
 
 
-def _reason(v: Column, checks: list[tuple[str, Column]]) -> Column:
+def _reason(v: Column, checks: list[tuple[str, Column]], raw: Column | None = None) -> Column:
     """First failing reason code, NULL when the reply is acceptable."""
-    expr = F.when(v.isNull(), F.lit("MALFORMED_JSON")).when(~J.is_object(v), F.lit("NOT_AN_OBJECT"))
+    obj = J.is_object(v) if raw is None else J.is_object_text(raw, v)
+    expr = F.when(v.isNull(), F.lit("MALFORMED_JSON")).when(~obj, F.lit("NOT_AN_OBJECT"))
     for code, ok in checks:
         expr = expr.when(~ok, F.lit(code))
     return expr
@@ -196,7 +197,7 @@ def _stages(agent: str, raw: str, out: str) -> dict:
     delta = F.col(n["val"]["risk_delta"])
     checks = [(f"INVALID_{f.name.upper()}", F.col(n["ok"][f.name])) for f in fields]
     checks.append(("RISK_DELTA_OUT_OF_RANGE", F.coalesce((delta >= -1.0) & (delta <= 1.0), F.lit(False))))
-    stages["reason"] = [_reason(F.col(n["v"]), checks).alias(n["reason"])]
+    stages["reason"] = [_reason(F.col(n["v"]), checks, F.col(raw)).alias(n["reason"])]
     accepted_all = F.col(n["reason"]).isNull()
     cols = [F.lit(K.AGENT_DISPLAY_NAMES[agent]).alias("agent_name")]
     for f in fields:
