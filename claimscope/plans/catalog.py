@@ -650,7 +650,10 @@ def q_dq_row_count_range(spark, sf):
     return Q.dq_row_count_range(_layer_tables(spark, sf))
 
 
-@register("dq_required_columns", None)
+@register(
+    "dq_required_columns",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS present" for c in K.DQ_REQUIRED_GOLD_COLUMNS),
+)
 def q_dq_required_columns(spark, sf):
     return Q.dq_required_columns(L.gold(spark, sf))
 
@@ -1333,3 +1336,14 @@ def q_alert_throttle_stream(spark, sf):
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@register(
+    "dq_tables_exist",
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, true AS \"exists\"" for n in K.DQ_ROW_RANGES),
+)
+def q_dq_tables_exist(spark, sf):
+    # the five layers, derived from the test tables, published as session views
+    for name, df in _layer_tables(spark, sf).items():
+        df.createOrReplaceTempView(name)
+    return Q.dq_tables_exist(spark, list(K.DQ_ROW_RANGES))
