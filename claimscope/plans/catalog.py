@@ -1070,9 +1070,29 @@ def q_synthesis_request(spark, sf):
     )
 
 
-@register("investigation_report", None)
+_REPORT_SQL = OR.claims_with_replies(
+    f"SELECT claim_id, risk_tier, fraud_risk_score AS original_fraud_score, identity_ssn_discrepancies, "
+    "identity_watchlist_match, property_value_change_pct, property_lien_count, claims_pattern_pattern_cohort, "
+    "compliance_state_disclosure_days, compliance_findings, action_rationale, true AS human_review_required "
+    f"FROM ({OR.decision_sql(OR.parsed_all_sql(f'({OR.queue_sql()}) q'))}) d WHERE quarantine_reason IS NULL"
+)
+
+
+@register("investigation_report", _REPORT_SQL)
 def q_investigation_report(spark, sf):
-    return _investigation(spark, sf).report
+    # the nested report, checked through a projection of its nested fields
+    r = _investigation(spark, sf).report
+    return r.select(
+        "claim_id", "risk_tier", "original_fraud_score",
+        F.col("identity_result.ssn_discrepancies").alias("identity_ssn_discrepancies"),
+        F.col("identity_result.watchlist_match").alias("identity_watchlist_match"),
+        F.col("property_result.value_change_pct").alias("property_value_change_pct"),
+        F.col("property_result.lien_count").alias("property_lien_count"),
+        F.col("claims_pattern_result.pattern_cohort").alias("claims_pattern_pattern_cohort"),
+        F.col("compliance_result.state_disclosure_days").alias("compliance_state_disclosure_days"),
+        F.array_join("compliance_result.findings", "|").alias("compliance_findings"),
+        "action_rationale", "human_review_required",
+    )
 
 
 @register("audit_row", OR.audit_sql("SELECT * FROM audit"))
@@ -1257,11 +1277,22 @@ def q_sink_append_evolving(spark, sf):
     return SK.read_evolving(spark, path)
 
 
-@register("sink_report_json", None)
+@register(
+    "sink_report_json",
+    OR.audit_sql("SELECT claim_id, recommended_action, composite_fraud_probability, identity_status, "
+                 "compliance_status, sar_required FROM audit"),
+)
 def q_sink_report_json(spark, sf):
+    # the JSON documents read back: one per report, nested fields intact
     path = _scratch(spark, "reports")
     SK.sink_report_json(_investigation(spark, sf).report, path)
-    return spark.read.json(path)
+    back = spark.read.json(path)
+    return back.select(
+        "claim_id", "recommended_action", "composite_fraud_probability",
+        F.col("identity_result.status").alias("identity_status"),
+        F.col("compliance_result.status").alias("compliance_status"),
+        F.col("compliance_result.sar_required").alias("sar_required"),
+    )
 
 
 @register("rows_after_write", O.gold_sql("SELECT count(*) AS row_count FROM gold"))
