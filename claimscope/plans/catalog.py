@@ -1356,10 +1356,25 @@ def q_alert_throttle(spark, sf):
     return M.alert_throttle(ev, threshold=50)
 
 
-@register("alert_throttle_stream", None)
+@register(
+    "alert_throttle_stream",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR "
+    "AS window_end, min(ts) AS alert_ts, arg_min(value, ts) AS alert_value FROM events WHERE value > 50 GROUP BY 1 "
+    "HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+)
 def q_alert_throttle_stream(spark, sf):
+    # evaluations arrive in time order (eight consecutive time slices, one file
+    # each); every hour the final watermark has passed is emitted exactly once
     base = _scratch(spark, "alert-stream")
-    read_table(spark, sf, "events").select("ts", "value").repartition(4).write.parquet(f"{base}/in")
+    ev = read_table(spark, sf, "events").select("ts", "value")
+    b = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (b["hi"] - b["lo"]) / 8
+    for i in range(8):
+        lo = b["lo"] + step * i
+        part = ev.filter(F.col("ts") >= F.lit(lo))
+        part = part.filter(F.col("ts") < F.lit(lo + step)) if i < 7 else part
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    # event time must be TIMESTAMP for a watermark (the files hold TIMESTAMP_NTZ; UTC session)
     stream = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(
         f"{base}/in")
     out = ST.alert_throttle_stream(stream, threshold=50)
