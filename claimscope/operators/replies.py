@@ -41,6 +41,19 @@ def reply_select(
     return picked.select(key, F.coalesce(F.col("_t"), F.lit(default)).alias("raw_response"))
 
 
+def replies_from_threads(threads: DataFrame, thread_index: DataFrame, **select_kw) -> DataFrame:
+    """The replies table ``(claim_id, agent, raw_response)`` from agent threads:
+    the selected message of each thread (``reply_select``) joined to an index
+    ``(thread_id, claim_id, agent)``; an indexed thread without an assistant
+    message yields ``{}``, an unindexed thread is ignored."""
+    key = select_kw.get("key", "thread_id")
+    picked = reply_select(threads, **select_kw)
+    index = thread_index.select(F.col(key), "claim_id", "agent")
+    joined = index.join(picked, key, "left")
+    return joined.select("claim_id", "agent", F.coalesce("raw_response", F.lit(select_kw.get("default", "{}")))
+                         .alias("raw_response"))
+
+
 # ---------------------------------------------------------------------------
 # agent result specs
 # ---------------------------------------------------------------------------

@@ -132,6 +132,19 @@ def test_reply_select_first_assistant(spark):
     assert got == {1: "first", 2: "{}"}
 
 
+def test_replies_from_threads(spark):
+    threads = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 1, "assistant", '{"status": "FLAGGED"}'), (2, 0, "user", "q"),
+         (3, 1, "assistant", "ignored")],
+        "thread_id long, turn long, role string, text string")
+    index = spark.createDataFrame([(1, "CLM-2024-1", "identity"), (2, "CLM-2024-1", "property"),
+                                   (4, "CLM-2024-1", "compliance")],
+                                  "thread_id long, claim_id string, agent string")
+    got = sorted(tuple(r) for r in R.replies_from_threads(threads, index).collect())
+    assert got == [("CLM-2024-1", "compliance", "{}"), ("CLM-2024-1", "identity", '{"status": "FLAGGED"}'),
+                   ("CLM-2024-1", "property", "{}")]
+
+
 @pytest.mark.parametrize("flags,action", [(0, "STANDARD_REVIEW"), (1, "REQUEST_DOCUMENTATION"),
                                           (2, "ESCALATE_TO_SIU"), (3, "PLACE_PAYOUT_HOLD"),
                                           (4, "PLACE_PAYOUT_HOLD")])
