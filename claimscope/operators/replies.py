@@ -281,16 +281,16 @@ RESULT_COLUMNS = {
 def reply_texts(replies: DataFrame, include_synthesis: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per claim with the reply text of each agent (``identity_result``
     ... as text) and ``synthesis_raw``: a pivot over the fixed agent list in
-    one aggregation keyed by claim_id (no claim columns carried along)."""
+    one aggregation keyed by claim_id.  Expects at most one reply per claim
+    and agent (``reply_select`` / ``replies_from_threads`` produce that)."""
+    # min, not first: the same value for the expected single reply, and a
+    # deterministic pick (also on task retries) if a table holds duplicates
     aggs = [
-        F.first(F.when(F.col("agent") == agent, F.col("raw_response")), ignorenulls=True).alias(out)
+        F.min(F.when(F.col("agent") == agent, F.col("raw_response"))).alias(out)
         for agent, out in RESULT_COLUMNS.items()
     ]
     if include_synthesis:
-        aggs.append(
-            F.first(F.when(F.col("agent") == K.ORCHESTRATOR_AGENT, F.col("raw_response")), ignorenulls=True)
-            .alias("synthesis_raw")
-        )
+        aggs.append(F.min(F.when(F.col("agent") == K.ORCHESTRATOR_AGENT, F.col("raw_response"))).alias("synthesis_raw"))
     aggs += [F.first(c).alias(c) for c in carry]
     return replies.groupBy("claim_id").agg(*aggs)
 
