@@ -36,7 +36,8 @@ def reply_select(
     reduced before the shuffle and never held in one task.
     """
     text = F.when(F.col("role") == role, F.col("text"))
-    pos = F.when(F.col("role") == role, F.col(order))
+    # (position, text) orders ties on the position deterministically
+    pos = F.when(F.col("role") == role, F.struct(F.col(order), F.col("text")))
     picked = threads.groupBy(key).agg(F.min_by(text, pos).alias("_t"))
     return picked.select(key, F.coalesce(F.col("_t"), F.lit(default)).alias("raw_response"))
 
