@@ -110,6 +110,11 @@ def dq_tables_exist(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, exists boolean")
 
 
+def _check(check: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(check).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"),
+                    detail.alias("detail"))
+
+
 def dq_report(
     tables: Mapping[str, DataFrame | None],
     gold_name: str = "gold_claims_fraud_scored",
@@ -120,68 +125,78 @@ def dq_report(
 ) -> DataFrame:
     """All checks as rows (section, check, passed, detail).
 
-    Sections: row_counts, schema, score_distribution, nulls, velocity.  Use
-    ``dq_summary`` for the failed total.
+    Sections: row_counts, schema, score_distribution, nulls, velocity.  Every
+    check of the gold table comes from ONE aggregate (row count, score range,
+    tier counts, NULLs per column, velocity maximum); each other table is read
+    once for its row count.  Use ``dq_summary`` for the failed total.
     """
-    counts = dq_row_count_range(tables, ranges).select(
-        F.lit("row_counts").alias("section"),
-        F.col("table_name").alias("check"),
-        "passed",
-        F.when(F.col("row_count").isNull(), F.lit("table missing"))
-        .otherwise(F.concat(F.format_number(F.col("row_count"), 0), F.lit(" rows")))
-        .alias("detail"),
-    )
     gold = tables.get(gold_name)
-    parts = [counts]
+    others = {n: df for n, df in tables.items() if n != gold_name or gold is None}
+    counts = dq_row_count_range(others, {n: r for n, r in ranges.items() if n in others or tables.get(n) is None})
+    parts = [
+        counts.select(
+            F.lit("row_counts").alias("section"),
+            F.col("table_name").alias("check"),
+            "passed",
+            F.when(F.col("row_count").isNull(), F.lit("table missing"))
+            .otherwise(F.concat(F.format_number(F.col("row_count"), 0), F.lit(" rows")))
+            .alias("detail"),
+        )
+    ]
     if gold is None:
-        spark = counts.sparkSession
-        parts.append(spark.createDataFrame([("schema", "gold schema readable", False, "table missing")], CHECK_SCHEMA))
+        parts.append(counts.sparkSession.createDataFrame(
+            [("schema", "gold schema readable", False, "table missing")], CHECK_SCHEMA))
     else:
         present = set(gold.columns)
-        schema_rows = [("schema", f"column {c}", c in present, None) for c in required]
-        parts.append(gold.sparkSession.createDataFrame(schema_rows, CHECK_SCHEMA))
-        sc = dq_score_checks(gold, min_high_share)
+        parts.append(gold.sparkSession.createDataFrame(
+            [("schema", f"column {c}", c in present, None) for c in required], CHECK_SCHEMA))
+        nulls = [c for c in not_null if c in present]
+        has_score = "fraud_risk_score" in present and "risk_tier" in present
+        has_vel = "claim_velocity_24mo" in present
+        aggs = [F.count(F.lit(1)).alias("total")]
+        if has_score:
+            aggs += [
+                F.min("fraud_risk_score").alias("min_score"), F.max("fraud_risk_score").alias("max_score"),
+                count_if(F.col("risk_tier") == "HIGH").alias("high_count"),
+                count_if(F.col("risk_tier") == "MEDIUM").alias("med_count"),
+            ]
+        aggs += [count_if(F.col(c).isNull()).alias(f"null_{c}") for c in nulls]
+        if has_vel:
+            aggs.append(F.max("claim_velocity_24mo").alias("max_velocity"))
+        stats = gold.agg(*aggs)  # one pass over gold for every gold check
+        total = F.col("total")
+        checks = []
+        if gold_name in ranges:
+            lo, hi = ranges[gold_name]
+            checks.append(("row_counts", _check(gold_name, (total >= lo) & (total <= hi),
+                                                F.concat(F.format_number(total, 0), F.lit(" rows")))))
+        if has_score:
+            share_ok = (F.col("high_count") >= F.lit(min_high_share) * total) & (total > 0)
+            checks += [
+                ("score_distribution", _check(
+                    "score range 0-1", (F.col("min_score") >= 0) & (F.col("max_score") <= 1),
+                    F.concat(F.lit("min="), _fmt3(F.col("min_score")), F.lit(" max="), _fmt3(F.col("max_score"))))),
+                ("score_distribution", _check(
+                    "HIGH tier share", share_ok,
+                    F.concat(F.col("high_count").cast("string"), F.lit("/"), total.cast("string")))),
+                ("score_distribution", _check(
+                    "MEDIUM tier populated", F.col("med_count") > 0,
+                    F.concat(F.col("med_count").cast("string"), F.lit(" claims")))),
+            ]
+        checks += [
+            ("nulls", _check(f"no NULLs in {c}", F.col(f"null_{c}") == 0,
+                             F.concat(F.col(f"null_{c}").cast("string"), F.lit(" NULLs"))))
+            for c in nulls
+        ]
+        if has_vel:
+            checks.append(("velocity", _check(
+                "velocity above 1 exists", F.col("max_velocity") > 1,
+                F.concat(F.lit("max velocity = "), F.col("max_velocity").cast("string")))))
+        rows = F.array(*[F.struct(F.lit(sec).alias("section"), c.alias("c")) for sec, c in checks])
         parts.append(
-            sc.select(
-                F.explode(
-                    F.array(
-                        F.struct(
-                            F.lit("score range 0-1").alias("check"), F.col("score_range_ok").alias("passed"),
-                            F.concat(F.lit("min="), _fmt3(F.col("min_score")), F.lit(" max="),
-                                     _fmt3(F.col("max_score"))).alias("detail"),
-                        ),
-                        F.struct(
-                            F.lit("HIGH tier share").alias("check"), F.col("high_share_ok").alias("passed"),
-                            F.concat(F.col("high_count").cast("string"), F.lit("/"),
-                                     F.col("total").cast("string")).alias("detail"),
-                        ),
-                        F.struct(
-                            F.lit("MEDIUM tier populated").alias("check"), F.col("medium_populated").alias("passed"),
-                            F.concat(F.col("med_count").cast("string"), F.lit(" claims")).alias("detail"),
-                        ),
-                    )
-                ).alias("c")
-            ).select(F.lit("score_distribution").alias("section"), "c.check", "c.passed", "c.detail")
+            stats.select(F.explode(rows).alias("r"))
+            .select(F.col("r.section").alias("section"), "r.c.check", "r.c.passed", "r.c.detail")
         )
-        cols = [c for c in not_null if c in present]
-        if cols:
-            parts.append(
-                dq_null_counts(gold, cols).select(
-                    F.lit("nulls").alias("section"),
-                    F.concat(F.lit("no NULLs in "), F.col("column_name")).alias("check"),
-                    (F.col("null_count") == 0).alias("passed"),
-                    F.concat(F.col("null_count").cast("string"), F.lit(" NULLs")).alias("detail"),
-                )
-            )
-        if "claim_velocity_24mo" in present:
-            parts.append(
-                dq_velocity_max(gold).select(
-                    F.lit("velocity").alias("section"),
-                    F.lit("velocity above 1 exists").alias("check"),
-                    "passed",
-                    F.concat(F.lit("max velocity = "), F.col("max_velocity").cast("string")).alias("detail"),
-                )
-            )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
