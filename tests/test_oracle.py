@@ -34,3 +34,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["risk_tier", "claims", "avg_score", "exposure_M"]
     assert df.count() >= 1
+
+
+def test_oracle_contract(con):
+    # every oracle belongs to a registered query, and every oracle plans in DuckDB
+    assert set(SQLS) <= set(QUERIES)
+    for key, sql in SQLS.items():
+        con.execute("EXPLAIN " + sql)
