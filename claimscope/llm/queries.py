@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from claimscope.llm import bpe
+from claimscope.llm import bpe, chat, fingerprints, line_dedup, secrets, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_chat": chat.op8_chat,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
+    "op10_secrets": secrets.op10_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
+    "op5_url_filter": url_filter.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+}
