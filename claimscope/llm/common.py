@@ -25,6 +25,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])  # word breaks of punctuation-free words
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -115,11 +116,12 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each document + total) of all words of a chunk."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each document + total) of all words of a chunk; ``breaks``
+    marks the byte values between words."""
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~breaks[data]
     begins = inside[1:-1] & ~inside[:-2]
     stops = inside[1:-1] & ~inside[2:]
     edge = offsets[1:-1]
