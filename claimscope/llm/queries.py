@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from claimscope.llm import bpe, chat, decontaminate, fingerprints, line_dedup, secrets, toxicity, url_filter, warc
+from claimscope.llm import bpe, chat, decontaminate, fingerprints, line_dedup, near, secrets, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_near": near.op4_near,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
