@@ -68,7 +68,9 @@ def _agent_text(agent: str) -> str:
         f"when {cls} = 2 then '{{\"status\": \"MAYBE\", \"risk_delta\": 0.1}}' "
         f"when {cls} = 3 then '{{\"status\": \"{flag}\", \"risk_delta\": 5}}' "
         f"when {cls} = 4 then '{{\"status\": \"{flag}\", \"risk_delta\": null}}' "
-        f"when {cls} = 5 then '{{\"status\": \"{flag}\", \"risk_delta\": \"0.1\"}}' "
+        f"when {cls} = 5 then concat('{{\"status\": \"{flag}\", \"risk_delta\": \"', case (k // 10) % 8 when 0 then '0.1' "
+        "when 1 then '0.1d' when 2 then '0.1f' when 3 then '0x1p-1' when 4 then '1_0e-2' when 5 then ' 0.1 ' "
+        "when 6 then '1__0e-2' else '-.25' end, '\"}') "
         f"when {cls} = 6 then '[1, 2, 3]' "
         f"when {cls} <= 8 then {_valid_text(agent, flag)} "
         f"else {_valid_text(agent, 'CLEAR')} end"
@@ -93,15 +95,22 @@ REPLIES = (
     "cast(7000 + o_orderkey AS varchar)) AS claim_id, o_orderkey AS k FROM orders),\n"
     "replies AS ("
     + " UNION ALL ".join(
-        f"SELECT claim_id, '{a}' AS agent, {_agent_text(a)} AS raw_response FROM reply_keys" for a in AGENTS
+        f"SELECT claim_id, '{a}' AS agent, case when (k + {5 * i}) % 17 <> 1 then {text} end AS raw_response, 1 AS turn "
+        f"FROM reply_keys WHERE (k + {5 * i}) % 17 <> 0 "
+        f"UNION ALL SELECT claim_id, '{a}' AS agent, '{{}}' AS raw_response, 2 AS turn FROM reply_keys WHERE (k + {5 * i}) % 17 = 2"
+        for i, (a, text) in enumerate([*((a, _agent_text(a)) for a in AGENTS), ("orchestrator", SYNTH_TEXT)])
     )
-    + f" UNION ALL SELECT claim_id, 'orchestrator' AS agent, {SYNTH_TEXT} AS raw_response FROM reply_keys)"
+    + ")"
 )
 
 # ---------------------------------------------------------------------------
 # typed field extraction (r = the reply when it is a JSON object, else NULL)
 # ---------------------------------------------------------------------------
 
+_DIGITS = "[0-9]+(_[0-9]+)*"
+FLOAT_TEXT = rf"[+-]?({_DIGITS}[.]?({_DIGITS})?|[.]{_DIGITS})([eE][+-]?{_DIGITS})?"
+INT_TEXT = f"[+-]?{_DIGITS}"
+
 TRUE_WORDS = "('1', 'true', 't', 'yes', 'y', 'on')"
 FALSE_WORDS = "('0', 'false', 'f', 'no', 'n', 'off')"
 
@@ -118,14 +127,15 @@ def field_sql(r: str, name: str, kind: str) -> tuple[str, str, str]:
     missing = f"({t} IS NULL)"
     num = f"{t} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
     if kind == "float":
-        val = (f"(case when {num} or {t} = 'VARCHAR' then try_cast(trim({s}) AS double) "
+        val = (f"(case when {num} then try_cast({s} AS double) when {t} = 'VARCHAR' then case when "
+               f"regexp_full_match(trim({s}), '{FLOAT_TEXT}') then try_cast(replace(trim({s}), '_', '') AS double) end "
                f"when {t} = 'BOOLEAN' then case when {s} = 'true' then 1.0 else 0.0 end end)")
         ok = f"({val} IS NOT NULL)"
     elif kind in ("int", "opt_int"):
         val = (f"(case when {t} IN ('BIGINT', 'UBIGINT') then try_cast({s} AS bigint) "
                f"when {t} = 'DOUBLE' and {d} = floor({d}) then cast({d} AS bigint) "
                f"when {t} = 'BOOLEAN' then case when {s} = 'true' then 1 else 0 end "
-               f"when {t} = 'VARCHAR' and regexp_full_match(trim({s}), '[+-]?[0-9]+') then try_cast(trim({s}) AS bigint) end)")
+               f"when {t} = 'VARCHAR' and regexp_full_match(trim({s}), '{INT_TEXT}') then try_cast(replace(trim({s}), '_', '') AS bigint) end)")
         ok = f"({val} IS NOT NULL)" if kind == "int" else f"({t} = 'NULL' or {val} IS NOT NULL)"
     elif kind == "bool":
         val = (f"(case when {t} = 'BOOLEAN' then {s} = 'true' "
@@ -186,7 +196,7 @@ def parsed_columns(agent: str, raw: str, prefix: str) -> list[str]:
         oks.append((f"INVALID_{name.upper()}", f"({missing} or {ok})"))
     delta = vals["risk_delta"]
     oks.append(("RISK_DELTA_OUT_OF_RANGE", f"coalesce({delta} >= -1.0 and {delta} <= 1.0, false)"))
-    reason = (f"(case when not json_valid({raw}) then 'MALFORMED_JSON' "
+    reason = (f"(case when {raw} IS NULL then 'NO_REPLY' when not json_valid({raw}) then 'MALFORMED_JSON' "
               f"when {r} IS NULL then 'NOT_AN_OBJECT' "
               + " ".join(f"when not coalesce({ok}, false) then '{code}'" for code, ok in oks)
               + " end)")
@@ -205,10 +215,11 @@ def claims_with_replies(body: str, queue_only: bool = False, min_amount: float =
     pivot = (
         "\nclaim_replies AS (SELECT claim_id, "
         + ", ".join(
-            f"coalesce(max(case when agent = '{a}' then raw_response end), '{{}}') AS raw_{a}" for a in AGENTS
+            f"arg_min(raw_response, turn) FILTER (WHERE agent = '{a}' AND raw_response IS NOT NULL) AS raw_{a}"
+            for a in AGENTS
         )
-        + ", coalesce(max(case when agent = 'orchestrator' then raw_response end), '{}') AS raw_synthesis "
-        "FROM replies GROUP BY claim_id)"
+        + ", arg_min(raw_response, turn) FILTER (WHERE agent = 'orchestrator' AND raw_response IS NOT NULL) "
+        "AS raw_synthesis FROM replies GROUP BY claim_id)"
     )
     base = O.with_ctes(*O.BASE, O.silver_cte(), O.scored_cte(), REPLIES, pivot)
     return base + "\n" + body
@@ -241,7 +252,7 @@ def decision_sql(parsed: str) -> str:
     prob = f"(case when {p_missing} then fraud_risk_score else {p_val} end)"
     action = f"(case when {a_missing} then 'STANDARD_REVIEW' else {a_val} end)"
     text = f"(case when {t_missing} then '' else {t_val} end)"
-    fallback = "(not json_valid(raw_synthesis))"
+    fallback = "(raw_synthesis IS NULL or not json_valid(raw_synthesis))"
     reason = (
         f"(case when {fallback} and not ({fb_prob} >= 0 and {fb_prob} <= 1) then 'PROBABILITY_OUT_OF_RANGE' "
         f"when {fallback} then NULL "

@@ -10,7 +10,10 @@ Accepted JSON per kind (the lax coercions of the typed reply models):
 
 ========== ================================================================
 float      number, boolean (1.0/0.0), or a string holding a decimal number
-int        integral number (3 or 3.0), boolean, or a string of digits
+           (blanks around it and single ``_`` between digits allowed; no
+           ``d``/``f`` suffix, no hexadecimal, no inf/nan)
+int        integral number (3 or 3.0), boolean, or a string of digits (blanks
+           and ``_`` as for float)
 bool       boolean, number 0/1, or one of the strings 0 1 true false t f
            yes no y n on off (any case, surrounding blanks ignored)
 str        string
@@ -67,15 +70,29 @@ def _is_number(t: Column) -> Column:
     return t.isin("BIGINT", "DOUBLE") | t.startswith("DECIMAL")
 
 
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+#: Decimal texts; checked before a cast, whose own grammar is wider ("0.1d", "0x1p-1").
+FLOAT_TEXT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
+INT_TEXT = rf"^[+-]?{_DIGITS}\z"
+
+
+def _stripped(x: Column) -> Column:
+    return F.btrim(F.try_variant_get(x, "$", "string"), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def _float(x: Column, t: Column | None = None) -> tuple[Column, Column]:
     t = jtype(x) if t is None else t
-    val = F.when(_is_number(t) | t.isin("BOOLEAN", "STRING"), F.try_variant_get(x, "$", "double"))
+    s = _stripped(x)
+    val = (
+        F.when(_is_number(t) | (t == "BOOLEAN"), F.try_variant_get(x, "$", "double"))
+        .when((t == "STRING") & s.rlike(FLOAT_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    )
     return val, val.isNotNull()
 
 
 def _int(x: Column, t: Column | None = None) -> tuple[Column, Column]:
     t = jtype(x) if t is None else t
-    s = F.trim(F.try_variant_get(x, "$", "string"))
+    s = _stripped(x)
     num = F.try_variant_get(x, "$", "decimal(38,10)")
     # cheap cases first; CASE branches are evaluated lazily
     val = (
@@ -83,7 +100,7 @@ def _int(x: Column, t: Column | None = None) -> tuple[Column, Column]:
         .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("bigint"))
         .when(t.startswith("DECIMAL") & t.endswith(",0)"), F.try_variant_get(x, "$", "bigint"))
         .when(_is_number(t) & (num == F.floor(num)), num.cast("bigint"))
-        .when((t == "STRING") & s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
+        .when((t == "STRING") & s.rlike(INT_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
     )
     return val, val.isNotNull()
 

@@ -1,6 +1,6 @@
 """Decision: deterministic fallback and parsing of the synthesis reply.
 
-The fallback (used when the synthesis reply is not valid JSON) counts the
+The fallback (used when the synthesis reply is absent or not valid JSON) counts the
 agents whose status is neither CLEAR nor ERROR and maps 3+/2/1/0 flags to
 hold / escalate / documentation / standard review.  A synthesis that is
 valid JSON but unusable (not an object, unknown action, probability outside

@@ -1,17 +1,22 @@
 """Agent replies: selection from threads, typed parsing, error rows, pivot.
 
-A replies table is ``(claim_id, agent, raw_response)``.  Parsing is a
-row-wise projection (no UDF): the reply is parsed once into a VARIANT, every
-field is extracted with its type rule, and a reply that is not valid JSON, not
-an object, or has an unacceptable field becomes an ERROR result with a fixed
-reason code.
+A replies table is ``(claim_id, agent, raw_response)``, with an optional
+``turn`` that orders several replies of one agent to one claim: the first one
+counts, ``repeated_replies`` lists the others.  Parsing is a row-wise
+projection (no UDF): the reply is parsed once into a VARIANT, every field is
+extracted with its type rule, and a reply that is not valid JSON, not an
+object, or has an unacceptable field becomes an ERROR result with a fixed
+reason code.  A claim without a reply of an agent (no row, or a NULL text) is
+an ERROR result too, with reason ``NO_REPLY``: a call that failed is never
+read as "all clear".  (``{}`` stands for a thread without an assistant
+message, see ``reply_select``.)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
@@ -116,7 +121,11 @@ def _default(f: Field) -> Column:
 def _reason(v: Column, checks: list[tuple[str, Column]], raw: Column | None = None) -> Column:
     """First failing reason code, NULL when the reply is acceptable."""
     obj = J.is_object(v) if raw is None else J.is_object_text(raw, v)
-    expr = F.when(v.isNull(), F.lit("MALFORMED_JSON")).when(~obj, F.lit("NOT_AN_OBJECT"))
+    if raw is None:
+        expr = F.when(v.isNull(), F.lit("MALFORMED_JSON"))
+    else:
+        expr = F.when(raw.isNull(), F.lit("NO_REPLY")).when(v.isNull(), F.lit("MALFORMED_JSON"))
+    expr = expr.when(~obj, F.lit("NOT_AN_OBJECT"))
     for code, ok in checks:
         expr = expr.when(~ok, F.lit(code))
     return expr
@@ -143,7 +152,7 @@ def _result_struct(agent: str, v: Column, raw: Column, field_of, type_of) -> Col
         checks.append((f"INVALID_{f.name.upper()}", ok))
     delta = values["risk_delta"]
     checks.append(("RISK_DELTA_OUT_OF_RANGE", F.coalesce((delta >= -1.0) & (delta <= 1.0), F.lit(False))))
-    reason = _reason(v, checks)
+    reason = _reason(v, checks, raw)
     ok_all = reason.isNull()
 
     cols = [F.lit(K.AGENT_DISPLAY_NAMES[agent]).alias("agent_name")]
@@ -256,12 +265,14 @@ def reply_parse(replies: DataFrame, agent: str, claims: DataFrame | None = None)
     """Parse the replies of one agent: ``(claim_id, result)``.
 
     ``claims`` (claim_id, value_pct_change, has_lien, state) supplies the
-    claim-dependent defaults; it is joined on claim_id when given.
+    claim-dependent defaults.  When given, the result has one row per claim: a
+    claim without a reply is an ERROR (``NO_REPLY``); replies without a claim
+    are listed by ``unclaimed_replies``.
     """
-    rows = replies.filter(F.col("agent") == agent)
+    rows = first_replies(replies.filter(F.col("agent") == agent))
     if claims is not None:
-        rows = rows.hint("merge").join(
-            claims.select("claim_id", "value_pct_change", "has_lien", "state"), "claim_id", "inner"
+        rows = claims.select("claim_id", "value_pct_change", "has_lien", "state").join(
+            rows.select("claim_id", "raw_response"), "claim_id", "left"
         )
     else:
         rows = rows.withColumns(
@@ -279,30 +290,55 @@ RESULT_COLUMNS = {
 }
 
 
+def reply_columns(replies: DataFrame) -> list[str]:
+    return [c for c in ("claim_id", "agent", "raw_response", "turn") if c in replies.columns]
+
+
+def _arrival(replies: DataFrame) -> Column:
+    """Order of several replies of one agent to one claim: turn if known, then text."""
+    return F.struct(*[F.col(c) for c in ("turn", "raw_response") if c in replies.columns])
+
+
+def first_replies(replies: DataFrame) -> DataFrame:
+    """(claim_id, agent, raw_response): the first reply with a text of each claim and agent."""
+    order = F.when(F.col("raw_response").isNotNull(), _arrival(replies))
+    return replies.groupBy("claim_id", "agent").agg(F.min_by("raw_response", order).alias("raw_response"))
+
+
+def repeated_replies(replies: DataFrame) -> DataFrame:
+    """The quarantine of replies: texts of a claim and agent beyond the first (nothing is dropped silently)."""
+    w = Window.partitionBy("claim_id", "agent").orderBy(_arrival(replies))
+    nth = replies.filter(F.col("raw_response").isNotNull()).withColumn("reply_number", F.row_number().over(w))
+    return nth.filter(F.col("reply_number") > 1)
+
+
+def unclaimed_replies(replies: DataFrame, claims: DataFrame) -> DataFrame:
+    """Replies whose claim is not in ``claims``."""
+    return replies.join(claims.select("claim_id"), "claim_id", "left_anti")
+
+
 def reply_texts(replies: DataFrame, include_synthesis: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per claim with the reply text of each agent (``identity_result``
     ... as text) and ``synthesis_raw``: a pivot over the fixed agent list in
-    one aggregation keyed by claim_id.  Expects at most one reply per claim
-    and agent (``reply_select`` / ``replies_from_threads`` produce that)."""
-    # min, not first: the same value for the expected single reply, and a
-    # deterministic pick (also on task retries) if a table holds duplicates
-    aggs = [
-        F.min(F.when(F.col("agent") == agent, F.col("raw_response"))).alias(out)
-        for agent, out in RESULT_COLUMNS.items()
-    ]
+    one aggregation keyed by claim_id.  Of several replies of one agent the
+    first counts (``repeated_replies`` lists the others); NULL where there is none."""
+    has_text = F.col("raw_response").isNotNull()
+
+    def first_of(agent: str) -> Column:
+        return F.min_by("raw_response", F.when((F.col("agent") == agent) & has_text, _arrival(replies)))
+
+    aggs = [first_of(agent).alias(out) for agent, out in RESULT_COLUMNS.items()]
     if include_synthesis:
-        aggs.append(F.min(F.when(F.col("agent") == K.ORCHESTRATOR_AGENT, F.col("raw_response"))).alias("synthesis_raw"))
+        aggs.append(first_of(K.ORCHESTRATOR_AGENT).alias("synthesis_raw"))
     aggs += [F.first(c).alias(c) for c in carry]
     return replies.groupBy("claim_id").agg(*aggs)
 
 
 def parse_texts(df: DataFrame, include_synthesis: bool = True) -> DataFrame:
     """Replace each agent text column by its typed result struct; a missing
-    reply is a thread without an assistant message (``{}``)."""
-    texts = {out: F.coalesce(F.col(out), F.lit("{}")) for out in RESULT_COLUMNS.values()}
-    if include_synthesis:
-        texts["synthesis_raw"] = F.coalesce(F.col("synthesis_raw"), F.lit("{}"))
-    return with_agent_results(df.withColumns(texts), [(a, out, out) for a, out in RESULT_COLUMNS.items()])
+    reply is an ERROR result (``NO_REPLY``), a missing synthesis stays NULL and
+    gets the fallback decision."""
+    return with_agent_results(df, [(a, out, out) for a, out in RESULT_COLUMNS.items()])
 
 
 def agents_pivot(replies_with_claims: DataFrame, include_synthesis: bool = True) -> DataFrame:
@@ -313,7 +349,7 @@ def agents_pivot(replies_with_claims: DataFrame, include_synthesis: bool = True)
     for defaults (value_pct_change, has_lien, state ...), which are carried
     through the per-claim aggregation.
     """
-    claim_cols = tuple(c for c in replies_with_claims.columns if c not in ("claim_id", "agent", "raw_response"))
+    claim_cols = tuple(c for c in replies_with_claims.columns if c not in ("claim_id", "agent", "raw_response", "turn"))
     return parse_texts(reply_texts(replies_with_claims, include_synthesis, carry=claim_cols), include_synthesis)
 
 

@@ -950,7 +950,8 @@ for _agent in K.AGENTS:
 
     _cols = ", ".join(OR.parsed_columns(_agent, "raw_response", ""))
     _sql = OR.claims_with_replies(
-        f"SELECT r.claim_id, {_cols} FROM replies r JOIN gold g ON r.claim_id = g.claim_id WHERE r.agent = '{_agent}'"
+        f"SELECT g.claim_id, {_cols} FROM gold g LEFT JOIN (SELECT claim_id, arg_min(raw_response, turn) AS raw_response "
+        f"FROM replies WHERE agent = '{_agent}' AND raw_response IS NOT NULL GROUP BY claim_id) r ON r.claim_id = g.claim_id"
     )
     _key = "reply_parse_pattern" if _agent == "claims_pattern" else f"reply_parse_{_agent}"
     register(_key, _sql)(_mk_parse(_agent))
@@ -960,7 +961,18 @@ def _parsed_all(spark, sf):
     return INV.parse_all_claims(L.gold(spark, sf), _replies(spark, sf))
 
 
-_ALL_SRC = "(SELECT g.*, cr.* EXCLUDE (claim_id) FROM gold g JOIN claim_replies cr ON g.claim_id = cr.claim_id) s"
+_ALL_SRC = "(SELECT g.*, cr.* EXCLUDE (claim_id) FROM gold g LEFT JOIN claim_replies cr ON g.claim_id = cr.claim_id) s"
+
+
+@register(
+    "repeated_replies",
+    OR.claims_with_replies(
+        "SELECT claim_id, agent, raw_response, reply_number FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, agent "
+        "ORDER BY turn, raw_response) AS reply_number FROM replies WHERE raw_response IS NOT NULL) n WHERE reply_number > 1"
+    ),
+)
+def q_repeated_replies(spark, sf):
+    return RE.repeated_replies(_replies(spark, sf)).select("claim_id", "agent", "raw_response", "reply_number")
 
 
 def _decided_sql(select: str) -> str:

@@ -39,6 +39,7 @@ class Investigation:
     report: DataFrame
     audit: DataFrame
     quarantine: DataFrame
+    repeated_replies: DataFrame
 
 
 def investigate(
@@ -68,7 +69,7 @@ def investigate(
     # replies of the queued claims only: a semi join can only build its right
     # side (the queue ids), so AQE may broadcast the queue when it is small,
     # and the replies table is never broadcast
-    wanted = replies.select("claim_id", "agent", "raw_response").join(valid.select("claim_id"), "claim_id", "left_semi")
+    wanted = replies.select(*R.reply_columns(replies)).join(valid.select("claim_id"), "claim_id", "left_semi")
     texts = R.reply_texts(wanted)
     parsed = R.parse_texts(valid.join(texts, "claim_id", "left"))
     decided = D.synthesis_parse(D.decide_fallback(parsed))
@@ -87,18 +88,20 @@ def investigate(
         report=report,
         audit=Rp.audit_row(report),
         quarantine=Rp.quarantine(decided),
+        repeated_replies=R.repeated_replies(wanted),
     )
 
 
 def parse_all_claims(gold: DataFrame, replies: DataFrame) -> DataFrame:
-    """Parsed agent results and the fallback decision for every claim that
-    has replies (no queue filter): the bulk re-parse of a replies table."""
+    """Parsed agent results and the decision of every claim (no queue filter):
+    the bulk re-parse of a replies table.  Claims without replies are kept, as
+    ERROR results with the fallback decision."""
     claims = gold.select("claim_id", "fraud_risk_score", "claim_amount", "risk_tier", "value_pct_change",
                          "has_lien", "state")
     # pivot the texts first (one shuffle of the replies by claim_id), then a
     # sort-merge join with the claims: both sides grow with the whole claims
     # table, so neither may be broadcast (the texts side is already
     # partitioned and sorted by claim_id)
-    texts = R.reply_texts(replies.select("claim_id", "agent", "raw_response"))
-    joined = claims.join(unbounded(texts), "claim_id", "inner")
+    texts = R.reply_texts(replies.select(*R.reply_columns(replies)))
+    joined = claims.join(unbounded(texts), "claim_id", "left")
     return D.synthesis_parse(D.decide_fallback(R.parse_texts(joined)))

@@ -252,13 +252,18 @@ def _valid_reply(agent: str, k: Column, status: Column) -> Column:
     return F.concat(*common, *extra)
 
 
+#: String deltas: a decimal, texts that only Java's or C's grammar takes, underscores, blanks, a bad underscore.
+DELTA_TEXTS = ("0.1", "0.1d", "0.1f", "0x1p-1", "1_0e-2", " 0.1 ", "1__0e-2", "-.25")
+
+
 def agent_reply_text(agent: str, k: Column) -> Column:
     """Reply text of ``agent`` for order key ``k``; its class is
     ``(k + 3 * agent_index) % 10``:
 
     0 malformed text, 1 ``{}``, 2 unknown status, 3 risk_delta 5, 4 explicit
-    null delta, 5 numeric-string delta "0.1", 6 a JSON array, 7-8 valid and
-    flagged, 9 valid and CLEAR (7-9 carry three findings and a delta 0.05..0.35).
+    null delta, 5 a string delta ("0.1" and texts that only some number
+    grammars take), 6 a JSON array, 7-8 valid and flagged, 9 valid and CLEAR
+    (7-9 carry three findings and a delta 0.05..0.35).
     """
     flag = AGENT_FLAG_STATUS[agent]
     cls = (k + 3 * AGENTS.index(agent)) % 10
@@ -268,7 +273,8 @@ def agent_reply_text(agent: str, k: Column) -> Column:
         .when(cls == 2, F.lit('{"status": "MAYBE", "risk_delta": 0.1}'))
         .when(cls == 3, F.lit(f'{{"status": "{flag}", "risk_delta": 5}}'))
         .when(cls == 4, F.lit(f'{{"status": "{flag}", "risk_delta": null}}'))
-        .when(cls == 5, F.lit(f'{{"status": "{flag}", "risk_delta": "0.1"}}'))
+        .when(cls == 5, F.concat(F.lit(f'{{"status": "{flag}", "risk_delta": "'),
+                                 _pick(DELTA_TEXTS, F.floor(k / 10) % len(DELTA_TEXTS)), F.lit('"}')))
         .when(cls == 6, F.lit("[1, 2, 3]"))
         .when(cls <= 8, _valid_reply(agent, k, F.lit(flag)))
         .otherwise(_valid_reply(agent, k, F.lit("CLEAR")))
@@ -297,17 +303,28 @@ def synthesis_reply_text(k: Column) -> Column:
 
 
 def agent_replies(spark: SparkSession, sf_dir: str, include_synthesis: bool = True) -> DataFrame:
-    """Replies table ``(claim_id, agent, raw_response)``: one row per claim and
-    agent (four specialists, plus the orchestrator when ``include_synthesis``)."""
+    """Replies table ``(claim_id, agent, raw_response, turn)``: one row per claim
+    and agent (four specialists, plus the orchestrator when
+    ``include_synthesis``), but of every 17 one is absent, one has a NULL text
+    and one is followed by a second reply ``{}``."""
     orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
     k = F.col("o_orderkey")
     claim_id = F.concat(F.lit("CLM-"), _str(F.year("o_orderdate")), F.lit("-"), _str(F.lit(7000) + k))
-    pairs = [F.struct(F.lit(a).alias("agent"), agent_reply_text(a, k).alias("raw_response")) for a in AGENTS]
+    texts = [(a, agent_reply_text(a, k)) for a in AGENTS]
     if include_synthesis:
-        pairs.append(F.struct(F.lit(ORCHESTRATOR_AGENT).alias("agent"), synthesis_reply_text(k).alias("raw_response")))
+        texts.append((ORCHESTRATOR_AGENT, synthesis_reply_text(k)))
+    pairs = []
+    for i, (agent, text) in enumerate(texts):
+        slot = (k + 5 * i) % 17
+
+        def reply(turn: int, shown: Column, name: str = agent) -> Column:
+            return F.struct(F.lit(name).alias("agent"), shown.alias("raw_response"), F.lit(turn).alias("turn"))
+
+        pairs.append(F.when(slot != 0, reply(1, F.when(slot != 1, text))))
+        pairs.append(F.when(slot == 2, reply(2, F.lit("{}"))))
     return (
-        orders.select(claim_id.alias("claim_id"), F.explode(F.array(*pairs)).alias("r"))
-        .select("claim_id", "r.agent", "r.raw_response")
+        orders.select(claim_id.alias("claim_id"), F.explode(F.array_compact(F.array(*pairs))).alias("r"))
+        .select("claim_id", "r.agent", "r.raw_response", "r.turn")
     )
 
 

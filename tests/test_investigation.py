@@ -80,6 +80,14 @@ CASES = [
     ('{"status": "FLAGGED", "risk_delta": null}', "ERROR", 0.0, "INVALID_RISK_DELTA"),
     ('{"status": "FLAGGED", "risk_delta": "0.1"}', "FLAGGED", 0.1, None),
     ('{"status": "FLAGGED", "risk_delta": true}', "FLAGGED", 1.0, None),
+    (None, "ERROR", 0.0, "NO_REPLY"),
+    ('{"status": "FLAGGED", "risk_delta": "0.1d"}', "ERROR", 0.0, "INVALID_RISK_DELTA"),
+    ('{"status": "FLAGGED", "risk_delta": "0.1f"}', "ERROR", 0.0, "INVALID_RISK_DELTA"),
+    ('{"status": "FLAGGED", "risk_delta": "0x1p-1"}', "ERROR", 0.0, "INVALID_RISK_DELTA"),
+    ('{"status": "FLAGGED", "risk_delta": "nan"}', "ERROR", 0.0, "INVALID_RISK_DELTA"),
+    ('{"status": "FLAGGED", "risk_delta": " 1_0e-2\\t"}', "FLAGGED", 0.1, None),
+    ('{"status": "FLAGGED", "risk_delta": "1__0"}', "ERROR", 0.0, "INVALID_RISK_DELTA"),
+    ('{"status": "FLAGGED", "ssn_discrepancies": "1_0"}', "FLAGGED", 0.0, None),
     ("[1, 2, 3]", "ERROR", 0.0, "NOT_AN_OBJECT"),
     ('"text"', "ERROR", 0.0, "NOT_AN_OBJECT"),
     ('{"status": "FLAGGED", "ssn_discrepancies": 3.0}', "FLAGGED", 0.0, None),
@@ -200,9 +208,27 @@ def test_end_to_end_investigation(spark):
     assert len(audit) == 1 and inv.invalid_claims.count() == 1
     a = audit[0]
     assert (a.identity_status, a.property_status, a.pattern_status, a.compliance_status) == (
-        "FLAGGED", "ANOMALY_DETECTED", "MATCH_FOUND", "CLEAR")
+        "FLAGGED", "ANOMALY_DETECTED", "MATCH_FOUND", "ERROR")  # no compliance reply: never "all clear"
     assert a.recommended_action == "PLACE_PAYOUT_HOLD" and a.composite_fraud_probability == 0.99
     assert a.investigated_at == "2024-01-02T03:04:05" and a.human_review_required
     assert tuple(inv.audit.columns) == Rp.AUDIT_COLUMNS
     top = Rp.report_top_findings(inv.report).filter(F.col("agent_name") == "IdentityVerificationAgent").collect()
     assert [t.finding for t in sorted(top, key=lambda t: t.finding_rank)] == ["a", "b"]
+
+
+def test_absent_and_repeated_replies(spark):
+    gold = queue_df(spark, GOLDEN).withColumn("claim_status", F.lit("OPEN"))
+    none = spark.createDataFrame([], "claim_id string, agent string, raw_response string")
+    inv = investigate(gold, none, investigated_at=dt.datetime(2024, 1, 2))
+    a = inv.audit.collect()[0]
+    assert {a.identity_status, a.property_status, a.pattern_status, a.compliance_status} == {"ERROR"}
+    d = inv.decided.collect()[0]
+    assert d.used_fallback and d.recommended_action == "STANDARD_REVIEW"  # the fallback of no flags
+    assert d.identity_result.recommendation == "MANUAL_REVIEW_REQUIRED" and d.identity_result.error_reason == "NO_REPLY"
+    rows = [(GOLDEN["claim_id"], "identity", '{"status": "FLAGGED"}', 2), (GOLDEN["claim_id"], "identity", None, 0),
+            (GOLDEN["claim_id"], "identity", '{"status": "CLEAR"}', 5), ("CLM-1999-1", "identity", "{}", 1)]
+    replies = spark.createDataFrame(rows, "claim_id string, agent string, raw_response string, turn int")
+    inv = investigate(gold, replies, investigated_at=dt.datetime(2024, 1, 2))
+    assert inv.audit.collect()[0].identity_status == "FLAGGED"
+    assert [(r.raw_response, r.reply_number) for r in inv.repeated_replies.collect()] == [('{"status": "CLEAR"}', 2)]
+    assert [r.claim_id for r in R.unclaimed_replies(replies, gold).collect()] == ["CLM-1999-1"]
