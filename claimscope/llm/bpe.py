@@ -174,8 +174,8 @@ class Vocabulary:
             sizes.append(len(parts[-1]))
         return pa.concat_arrays(parts), np.cumsum([0, *sizes])
 
-    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """(number of tokens, decimal ids joined by one blank, token names joined by one blank) of each text."""
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+        """(number of tokens, decimal ids joined by one blank, token names joined by one blank, ids) of each text."""
         pieces, bounds = self.pieces(texts)
         distinct = pc.dictionary_encode(pieces)
         which = distinct.indices.to_numpy()
@@ -203,11 +203,13 @@ class Vocabulary:
         before = np.r_[0, np.cumsum(used)][bounds]
         total = np.r_[0, np.cumsum(tokens[which])][bounds]
         out = []
+        of_pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32)))
+        whole = pa.ListArray.from_arrays(pa.array(total, pa.int32()), of_pieces.take(pa.array(which)).flatten())
         for names in (self.number_array, self.name_array):
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), names.take(pa.array(ids)))
             joined = pc.binary_join(lists, " ").take(pa.array(which[used]))
             out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(before, pa.int32()), joined), " "))
-        return np.diff(total), *out
+        return np.diff(total), *out, whole
 
 
 @lru_cache(maxsize=4)
@@ -215,23 +217,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", values: bool = False) -> DataFrame:
-    """Per row: the id column, n_tokens, ids_sha256, decoded_sha256; with ``values`` also the
-    ids (array<int>) and the decoded text.  The decoded text is the tokens' names joined by one
+def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", values: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: the id column, n_tokens, ids_sha256, decoded_sha256, and of ``values`` those named:
+    ids (array<int>), decoded (text).  The decoded text is the tokens' names joined by one
     blank, as a vocabulary without a decoder gives it."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * values
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {v} {kinds[v]}" for v in values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
         for part in chunks(batches, "text", STEP_BYTES):
-            n, ids, decoded = vocab.encode_texts([t or "" for t in part.column(1).to_pylist()])
+            n, ids, decoded, whole = vocab.encode_texts([t or "" for t in part.column(1).to_pylist()])
             digest = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts], pa.string()) for texts in (ids, decoded)]
             cols = [part.column(0), pa.array(n, pa.int64()), *digest]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if values:
-                cols += [pa.array([[int(i) for i in x.split()] for x in ids.to_pylist()], pa.list_(pa.int32())), decoded]
-                names += ["ids", "decoded"]
+            for v in values:
+                cols.append({"ids": whole, "decoded": decoded}[v])
+                names.append(v)
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
