@@ -6,7 +6,7 @@ number of links is a hot key that the join can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import written
@@ -17,11 +17,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(_directed(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     before = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # what the edges are is observed while they are written
+        seen = Observation()
+        stepped = _small_star(_large_star(edges)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        edges = written(stepped, "links")
+        if seen.get == before:
             break
-        before = state
+        before = seen.get
     # every edge now leads from a node to its component's smallest node
     roots = edges.select(F.col("v").alias("node")).distinct()
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node"))), "components")
@@ -42,6 +44,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are led to the smallest of them."""
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u")
     return _directed(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))

@@ -36,8 +36,8 @@ from claimscope.llm.components import components
 HOT = 64  # documents whose prefixes hold a shingle, beyond which it counts as frequent
 LARGE = 64  # rows of a bucket beyond which its pairs are sieved by bitmaps inside the join
 FILTER_BITS = 23  # the mark filters have 2**23 bits (1 MB), whatever the input
-BITMAP = 1024
-WORDS = BITMAP // 64
+LEAST_BITS = 1024  # bits of a parity bitmap at least; more for more than 2048 shingles
+WORDS = LEAST_BITS // 64
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -82,6 +82,36 @@ def _digest(values: np.ndarray, n: int) -> bytes:
     return mix(sums ^ np.uint64(n)).tobytes()
 
 
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle flips one bit, so that two bitmaps differ in no more bits than their sets in
+    shingles.  Half a bit per shingle at least: bitmaps of unlike sets then differ in more bits than
+    those of linked sets may.  A longer bitmap folds into a shorter one by XOR of its parts."""
+    bits = max(LEAST_BITS, 1 << max(0, (len(shingles) - 1) // 2).bit_length())
+    flips = np.bincount((mix(shingles ^ _SALT) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    return bitmap if len(bitmap) == words else np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
+def _near_pairs(num: int, den: int):
+    """Pairs whose bitmaps leave it open whether they link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            most = sizes - 2 * -(-num * sizes // (num + den))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                words = min(len(x), len(y))
+                keep[k] = int(np.bitwise_count((folded(x, words) ^ folded(y, words)).view(np.uint64)).sum()) <= most[k]
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def _describe(size: int, num: int, den: int, hot: MarkFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -93,9 +123,9 @@ def _describe(size: int, num: int, den: int, hot: MarkFilter):
                 prefix = np.concatenate([s[~marked], s[marked]])[: prefix_size(len(s), num, den)] if len(s) else s
                 groups.append(_digest(prefix, len(s)))
                 prefixes.append(prefix.view(np.int64))
-                parity = np.bincount((mix(s ^ _SALT) & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                bitmaps.append(np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64))
+                bitmaps.append(parity_bitmap(s))
             ends = np.cumsum([0, *map(len, prefixes)])
+            bit_ends = np.cumsum([0, *map(len, bitmaps)])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -103,7 +133,7 @@ def _describe(size: int, num: int, den: int, hot: MarkFilter):
                     pa.array(sets, pa.binary()),
                     pa.array(groups, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WORDS, pa.int32()), pa.array(np.concatenate(bitmaps))),
+                    pa.ListArray.from_arrays(pa.array(bit_ends, pa.int32()), pa.array(np.concatenate(bitmaps))),
                 ],
                 ["doc_id", "n", "s", "g", "prefix", "bits"],
             )
@@ -140,6 +170,12 @@ def _similar_size(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _folded_word(bits: str, k: int) -> Column:
+    """Word k of the bitmap folded to the least length."""
+    parts = F.filter(bits, lambda _, i: i % WORDS == k)
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda t, x: t.bitwiseXOR(x))
+
+
 def _most_apart(a: Column, b: Column, num: int, den: int) -> Column:
     """Largest symmetric difference that two sets of these sizes may have when they link."""
     return a + b - 2 * F.ceil((a + b) * num / F.lit(float(num + den)) - 1e-9)
@@ -216,7 +252,7 @@ class Join:
         for large in (False, True):
             rows = open_.filter(F.col("total") > LARGE if large else F.col("total") <= LARGE)
             if large:
-                bits = self.nodes.select("node", *[F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)])
+                bits = self.nodes.select("node", *[_folded_word("bits", k).alias(f"w{k}") for k in range(WORDS)])
                 rows = written(rows.join(bits, "node"), "open-large")
             columns = ("node", "gid", "n", "component", *([f"w{k}" for k in range(WORDS)] if large else []))
             outside = written(rows.filter("component <> largest"), "outside").select("inside", "token", *[F.col(c).alias(f"x_{c}") for c in columns])
@@ -236,9 +272,8 @@ class Join:
         bits = self.nodes.select("node", "n", "bits")
         a = bits.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
         b = bits.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
-        differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        near = written(pairs, "pairs").join(a, "a").join(b, "b").filter(differ <= _most_apart(F.col("a_n"), F.col("b_n"), self.num, self.den))
-        near = written(near.select("a", "b"), "near-pairs")
+        described = written(pairs, "pairs").join(a, "a").join(b, "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
+        near = written(described.mapInArrow(_near_pairs(self.num, self.den), "a bigint, b bigint"), "near-pairs")
         ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         wanted = MarkFilter.of(ids.select(F.xxhash64("node").alias("h")), "h")
         texts = self.docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), F.xxhash64("doc_id").alias("h"), "text")
