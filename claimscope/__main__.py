@@ -1,25 +1,29 @@
 """Command line: batch refresh, data-quality report, investigation queue and run.
 
-    python -m claimscope refresh --sf-dir DIR --out DIR [--as-of YYYY-MM-DD]
+    python -m claimscope refresh --out DIR (--sf-dir DIR | --claims PATH --claimants PATH --properties PATH [--format csv])
+                                 [--as-of YYYY-MM-DD] [--high X] [--medium X] [--replies PATH]
     python -m claimscope quality --out DIR
-    python -m claimscope queue --out DIR [--dry-run] [--claim-id ID]
-    python -m claimscope investigate --out DIR --replies PATH
-
-``--out`` is the folder of the written layers (a refresh writes
-``bronze_*``, ``silver_claims_enriched``, ``gold_claims_fraud_scored`` there;
-an investigation appends ``gold_investigation_audit_log`` and writes JSON
-reports to ``investigation_reports``).  Replies are a parquet table
-``(claim_id, agent, raw_response)``.
+    python -m claimscope queue --out DIR [--dry-run] [--claim-id ID] [--high X] [--min-amount X]
+    python -m claimscope investigate --out DIR --replies PATH [--high X] [--min-amount X]
+
+``--out`` is the folder of the written layers (a refresh writes ``bronze_*``,
+``silver_claims_enriched``, ``gold_claims_fraud_scored`` there).  A refresh with
+``--replies`` goes on with the investigation.  An investigation appends
+``gold_investigation_audit_log``, writes JSON reports to
+``investigation_reports``, and appends what it could not use, whole, to
+``investigation_quarantine``, ``investigation_invalid_claims`` and
+``investigation_repeated_replies``.  ``queue`` and ``quality`` write their whole
+result to ``investigation_queue`` and ``quality_report``.  Replies are a parquet
+table ``(claim_id, agent, raw_response[, turn])``.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
-import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _session() -> SparkSession:
@@ -36,64 +40,119 @@ def _session() -> SparkSession:
 def _layers(out: str) -> dict[str, str]:
     from claimscope.plans.refresh import LAYERS
 
-    return {name: os.path.join(out, name) for name in LAYERS}
+    return {name: f"{out.rstrip('/')}/{name}" for name in LAYERS}
 
 
-def main(argv: list[str] | None = None) -> int:
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    from claimscope.sources.sinks import read_evolving
+    from claimscope.sources.tables import table_exists
+
+    return read_evolving(spark, path) if table_exists(spark, "", path) else None
+
+
+def _parser() -> argparse.ArgumentParser:
+    from claimscope import constants as K
+
     parser = argparse.ArgumentParser(prog="claimscope")
     sub = parser.add_subparsers(dest="cmd", required=True)
-    p = sub.add_parser("refresh", help="bronze -> silver -> gold from the claims fixtures of a table folder")
-    p.add_argument("--sf-dir", required=True)
-    p.add_argument("--out", required=True)
+
+    def command(name: str, text: str, *, thresholds: bool = False) -> argparse.ArgumentParser:
+        p = sub.add_parser(name, help=text)
+        p.add_argument("--out", required=True)
+        if thresholds:
+            p.add_argument("--high", type=float, default=K.HIGH_THRESHOLD)
+            p.add_argument("--min-amount", type=float, default=K.ALERT_AMOUNT_MIN)
+        return p
+
+    p = command("refresh", "bronze -> silver -> gold, and on to the investigation with --replies", thresholds=True)
+    p.add_argument("--sf-dir", help="claims derived from a folder of test tables")
+    for name in ("claims", "claimants", "properties"):
+        p.add_argument(f"--{name}", help=f"landing folder of {name}")
+    p.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     p.add_argument("--as-of", type=dt.date.fromisoformat, default=None)
-    p = sub.add_parser("quality", help="data-quality report over written layers")
-    p.add_argument("--out", required=True)
-    p = sub.add_parser("queue", help="the pending investigation queue")
-    p.add_argument("--out", required=True)
+    p.add_argument("--medium", type=float, default=K.MEDIUM_THRESHOLD)
+    p.add_argument("--replies")
+    command("quality", "data-quality report over written layers")
+    p = command("queue", "the pending investigation queue", thresholds=True)
     p.add_argument("--dry-run", action="store_true", help="only the claim ids")
     p.add_argument("--claim-id", default=None)
-    p = sub.add_parser("investigate", help="parse replies, decide, append audit rows and reports")
-    p.add_argument("--out", required=True)
+    p = command("investigate", "parse replies, decide, append audit rows and reports", thresholds=True)
     p.add_argument("--replies", required=True)
-    args = parser.parse_args(argv)
+    return parser
+
+
+def _sources(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from claimscope.sources import fixtures as FX
+    from claimscope.sources import landing as LD
+
+    if args.sf_dir:
+        return FX.bronze_claims(spark, args.sf_dir), FX.claimants(spark, args.sf_dir), FX.properties(spark, args.sf_dir)
+    if not (args.claims and args.claimants and args.properties):
+        raise SystemExit("refresh needs --sf-dir, or --claims, --claimants and --properties")
+    return tuple(
+        LD.read_landing(spark, path, schema, fmt=args.format)
+        for path, schema in (
+            (args.claims, LD.BRONZE_CLAIMS_SCHEMA), (args.claimants, LD.CLAIMANTS_SCHEMA),
+            (args.properties, LD.PROPERTIES_SCHEMA),
+        )
+    )
+
 
+def _investigate(spark: SparkSession, args: argparse.Namespace) -> None:
+    from claimscope.plans.investigate import investigate
+    from claimscope.sources.sinks import sink_append_evolving, sink_report_json
+
+    out = args.out.rstrip("/")
+    gold = spark.read.parquet(_layers(out)["gold_claims_fraud_scored"])
+    inv = investigate(
+        gold, spark.read.parquet(args.replies), min_score=args.high, min_amount=args.min_amount,
+        audit_log=_read_if_there(spark, f"{out}/gold_investigation_audit_log"),
+        investigated_at=dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0),  # one clock for the run
+    )
+    for name, rows in (
+        ("investigation_quarantine", inv.quarantine), ("investigation_invalid_claims", inv.invalid_claims),
+        ("investigation_repeated_replies", inv.repeated_replies),
+    ):
+        sink_append_evolving(rows, f"{out}/{name}")
+    sink_report_json(inv.report, f"{out}/investigation_reports")
+    sink_append_evolving(inv.audit, f"{out}/gold_investigation_audit_log")  # last: what is audited isn't queued again
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
     spark = _session()
     from claimscope.operators import quality as Q
     from claimscope.operators import queue as QU
+    from claimscope.sources.sinks import sink_overwrite
 
+    out = args.out.rstrip("/")
+    paths = _layers(out)
     if args.cmd == "refresh":
         from claimscope.plans.refresh import refresh
-        from claimscope.sources import fixtures as FX
 
-        res = refresh(spark, FX.bronze_claims(spark, args.sf_dir), FX.claimants(spark, args.sf_dir),
-                      FX.properties(spark, args.sf_dir), base=args.out, as_of=args.as_of)
+        res = refresh(spark, *_sources(spark, args), base=out, as_of=args.as_of, high=args.high, medium=args.medium)
         for name, n in res.rows.items():
             print(f"{name}: {n:,} rows")
-        return 0
-    paths = _layers(args.out)
-    gold = spark.read.parquet(paths["gold_claims_fraud_scored"])
-    if args.cmd == "quality":
-        tables = {name: spark.read.parquet(path) for name, path in paths.items() if os.path.exists(path)}
+        if args.replies:
+            _investigate(spark, args)
+    elif args.cmd == "investigate":
+        _investigate(spark, args)
+    elif args.cmd == "quality":
+        tables = {name: _read_if_there(spark, path) for name, path in paths.items()}
         report = Q.dq_report(tables)
-        report.show(100, truncate=False)
-        failed = Q.dq_summary(report).first()["failed_checks"]
+        sink_overwrite(report, f"{out}/quality_report")
+        failed = Q.dq_summary(spark.read.parquet(f"{out}/quality_report")).first()["failed_checks"]
+        print(f"{failed} failed checks; all checks are in {out}/quality_report")
         return 1 if failed else 0
-    audit_path = os.path.join(args.out, "gold_investigation_audit_log")
-    audit = spark.read.option("mergeSchema", "true").parquet(audit_path) if os.path.exists(audit_path) else None
-    if args.cmd == "queue":
+    else:
+        gold = spark.read.parquet(paths["gold_claims_fraud_scored"])
         if args.claim_id:
-            QU.claim_lookup(gold, args.claim_id).show(truncate=False)
+            QU.claim_lookup(gold, args.claim_id).show(truncate=False)  # one claim
             return 0
-        q = QU.pending_queue(gold, audit=audit)
-        (QU.queue_dry_run(q) if args.dry_run else q).show(50, truncate=False)
-        return 0
-    from claimscope.plans.investigate import investigate
-    from claimscope.sources.sinks import sink_append_evolving, sink_report_json
-
-    inv = investigate(gold, spark.read.parquet(args.replies), audit_log=audit)
-    sink_append_evolving(inv.audit, audit_path)
-    sink_report_json(inv.report, os.path.join(args.out, "investigation_reports"))
-    inv.quarantine.show(20, truncate=False)
+        audit = _read_if_there(spark, f"{out}/gold_investigation_audit_log")
+        queue = QU.pending_queue(gold, args.high, args.min_amount, audit=audit)
+        n = sink_overwrite(QU.queue_dry_run(queue) if args.dry_run else queue, f"{out}/investigation_queue")
+        print(f"{n:,} claims in {out}/investigation_queue")
     return 0
 
 

@@ -173,7 +173,9 @@ def answer_policy(
 ) -> DataFrame:
     """Apply the answer rules to a risk query: default status filter,
     mandatory columns first, scores rounded to 3 decimals, score descending."""
-    if statuses is not None and "claim_status" in df.columns:
+    if statuses is not None:
+        if "claim_status" not in df.columns:
+            raise ValueError("answer_policy filters on claim_status, which is absent; pass statuses=None for no filter")
         df = df.filter(F.col("claim_status").isin(*statuses))
     cols = list(MANDATORY_COLUMNS) + [c for c in columns if c not in MANDATORY_COLUMNS]
     out = df.select(*cols).withColumn("fraud_risk_score", F.round("fraud_risk_score", 3))

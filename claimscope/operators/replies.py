@@ -193,7 +193,7 @@ def _names(agent: str, out: str) -> dict:
 def _stages(agent: str, raw: str, out: str) -> dict:
     """The staged column lists of one agent's parse.  They reference columns
     by name only, so they are built once per session and reused."""
-    key = (id(SparkSession.getActiveSession()._jsparkSession), agent, raw, out)
+    key = (SparkSession.getActiveSession()._jsparkSession.sessionUUID(), agent, raw, out)
     cached = _STAGE_CACHE.get(key)
     if cached is not None:
         return cached

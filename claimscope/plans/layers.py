@@ -1,9 +1,8 @@
 """The medallion layers over a scale-factor folder, as lazy DataFrames.
 
 ``bronze -> silver -> gold`` with pinned reference dates, used by the query
-catalogue, the bench and the tests.  Nothing is materialised here; the batch
-refresh plan (``plans.refresh``) writes each layer.  The lazy plans are
-reused within a session (analysis happens once); ``forget`` drops them.
+catalogue, the bench and the tests.  Nothing is materialised or reused here;
+the batch refresh plan (``plans.refresh``) writes each layer.
 """
 
 from __future__ import annotations
@@ -16,24 +15,8 @@ from claimscope.operators.silver import cast_filed_date, claim_velocity, claim_v
 from claimscope.sources import fixtures
 from claimscope.sources.fixtures import CLAIM_COLUMNS
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    k = (id(spark._jsparkSession),) + key
-    df = _PLANS.get(k)
-    if df is None or df.sparkSession is not spark:
-        df = build()
-        _PLANS[k] = df
-    return df
-
-
-def forget() -> None:
-    _PLANS.clear()
-
-
 def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, ("bronze", sf_dir), lambda: fixtures.bronze_claims(spark, sf_dir))
+    return fixtures.bronze_claims(spark, sf_dir)
 
 
 def silver(spark: SparkSession, sf_dir: str, velocity_mode: str = "trailing", strategy: str = "daily") -> DataFrame:
@@ -48,19 +31,13 @@ def silver(spark: SparkSession, sf_dir: str, velocity_mode: str = "trailing", st
     three times (order key, property key, claimant+day) instead of four.
     """
 
-    def build():
-        base = cast_filed_date(fixtures.claim_base(spark, sf_dir))
-        if velocity_mode != "trailing" or strategy != "daily":
-            if velocity_mode == "trailing":
-                with_v = claim_velocity(base, strategy=strategy)
-            else:
-                with_v = claim_velocity_as_written(base)
-            full = fixtures.attach_dimensions(spark, sf_dir, with_v)
-        else:
-            full = fixtures.attach_dimensions_via_velocity(spark, sf_dir, base)
-        return full.select(*CLAIM_COLUMNS, "claim_velocity_24mo").withColumns(silver_columns(K.FIXTURE_AS_OF))
-
-    return _memo(spark, ("silver", sf_dir, velocity_mode, strategy), build)
+    base = cast_filed_date(fixtures.claim_base(spark, sf_dir))
+    if velocity_mode == "trailing" and strategy == "daily":
+        full = fixtures.attach_dimensions_via_velocity(spark, sf_dir, base)
+    else:
+        with_v = claim_velocity(base, strategy=strategy) if velocity_mode == "trailing" else claim_velocity_as_written(base)
+        full = fixtures.attach_dimensions(spark, sf_dir, with_v)
+    return full.select(*CLAIM_COLUMNS, "claim_velocity_24mo").withColumns(silver_columns(K.FIXTURE_AS_OF))
 
 
 def scored(
@@ -71,10 +48,7 @@ def scored(
     strategy: str = "daily",
 ) -> DataFrame:
     """Silver + signals + score + tier + alert (all columns)."""
-    return _memo(
-        spark, ("scored", sf_dir, high, medium, strategy),
-        lambda: score_claims(silver(spark, sf_dir, strategy=strategy), high, medium, scored_at=K.FIXTURE_SCORED_AT),
-    )
+    return score_claims(silver(spark, sf_dir, strategy=strategy), high, medium, scored_at=K.FIXTURE_SCORED_AT)
 
 
 def gold(
@@ -85,7 +59,4 @@ def gold(
     strategy: str = "daily",
 ) -> DataFrame:
     """The 28-column gold table at pinned dates."""
-    return _memo(
-        spark, ("gold", sf_dir, high, medium, strategy),
-        lambda: gold_select(scored(spark, sf_dir, high, medium, strategy)),
-    )
+    return gold_select(scored(spark, sf_dir, high, medium, strategy))

@@ -1,91 +1,29 @@
-"""Z-order clustering of a table on parquet (no Delta ``OPTIMIZE`` available).
-
-Each clustering column is mapped to an integer bucket in ``[0, 2**bits)``
-(ordinal for a listed domain, else min/max scaling computed in one small
-aggregate), the buckets are bit-interleaved into a z-value with built-in
-bitwise expressions, and the rows are range-partitioned and sorted by it.
-Parquet row groups then carry tight min/max ranges on all clustering columns,
-so filters on any of them skip row groups.
-"""
+"""Clustered layout of a table: range partitions, sorted inside."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TIER_ORDER = ("LOW", "MEDIUM", "HIGH")
-
-
-def _numeric(df: DataFrame, col: str) -> Column:
-    dtype = dict(df.dtypes)[col]
-    if dtype == "date":
-        return F.unix_date(F.col(col)).cast("double")
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(F.col(col)).cast("double")
-    return F.col(col).cast("double")
-
-
-def z_value(df: DataFrame, columns: Sequence[str], bits: int = 10,
-            domains: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """The z-order value of each row over ``columns``."""
-    domains = dict(domains or {})
-    top = (1 << bits) - 1
-    numeric = [c for c in columns if c not in domains]
-    bounds = {}
-    if numeric:
-        aggs = []
-        for c in numeric:
-            aggs += [F.min(_numeric(df, c)).alias(f"lo_{c}"), F.max(_numeric(df, c)).alias(f"hi_{c}")]
-        row = df.agg(*aggs).first()  # one row of 2 numbers per column
-        bounds = {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in numeric}
-    buckets = []
-    for c in columns:
-        if c in domains:
-            values = list(domains[c])
-            idx = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c))
-            scale = top // max(len(values), 1)
-            buckets.append((F.coalesce(idx, F.lit(0)) * scale).cast("bigint"))
-        else:
-            lo, hi = bounds[c]
-            if lo is None or hi is None or hi == lo:
-                buckets.append(F.lit(0).cast("bigint"))
-            else:
-                x = (_numeric(df, c) - F.lit(lo)) / F.lit(hi - lo) * top
-                buckets.append(F.coalesce(F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(top)), F.lit(0))
-                               .cast("bigint"))
-    z = F.lit(0).cast("bigint")
-    n = len(columns)
-    for b in range(bits):
-        for i, bucket in enumerate(buckets):
-            bit = F.shiftright(bucket, b).bitwiseAND(F.lit(1))
-            z = z.bitwiseOR(F.shiftleft(bit, b * n + i))
-    return z
-
 
 def layout_cluster(
     df: DataFrame,
     columns: Sequence[str] = ("risk_tier", "filed_date", "fraud_risk_score"),
     partitions: int | None = None,
-    bits: int = 10,
-    domains: Mapping[str, Sequence[str]] | None = None,
     tiebreak: str | None = "claim_id",
 ) -> DataFrame:
-    """Rows range-partitioned and sorted by the z-value of ``columns``
-    (``z_order`` column kept for inspection).
+    """Rows range-partitioned and sorted by ``columns``, so that row groups
+    carry tight min/max ranges and filters skip most of them.
 
-    A deterministic hash of ``tiebreak`` (when present) is the second range
-    key, so a z-value shared by a large share of the rows is split over
-    several partitions instead of landing in one.
+    ``partitions`` is the number of output files (default: the session's
+    ``spark.sql.shuffle.partitions``; choose about table size / 256 MB).  A hash
+    of ``tiebreak`` is the last range key, so one value shared by a large share
+    of the rows is split over several partitions.
     """
-    if domains is None:
-        domains = {"risk_tier": TIER_ORDER} if "risk_tier" in columns else {}
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    z = z_value(df, columns, bits, domains)
-    out = df.withColumn("z_order", z)
-    keys = ["z_order"]
+    keys = [F.col(c) for c in columns]
     if tiebreak and tiebreak in df.columns:
-        out = out.withColumn("_z_tie", F.xxhash64(F.col(tiebreak)))
-        keys.append("_z_tie")
-    return out.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_z_tie")
+        keys.append(F.xxhash64(tiebreak))
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)

@@ -61,7 +61,7 @@ def refresh(
     res.rows["silver_claims_enriched"] = sink_overwrite(silver, paths["silver_claims_enriched"])
     gold = gold_score(res.read(spark, "silver_claims_enriched"), high, medium, scored_at=scored_at)
     if cluster:
-        gold = layout_cluster(gold).drop("z_order")
+        gold = layout_cluster(gold)
     res.rows["gold_claims_fraud_scored"] = sink_overwrite(gold, paths["gold_claims_fraud_scored"])
     return res
 

@@ -54,6 +54,19 @@ PROPERTIES_SCHEMA = T.StructType(
 )
 
 
+def _by_header(reader):
+    """A file whose header differs from the schema's names or order fails the read."""
+    return reader.option("header", "true").option("enforceSchema", "false")
+
+
+def _in_header_order(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """The schema's fields in the order of the files' header: columns are bound by name."""
+    header = spark.read.option("header", "true").csv(path).columns
+    if sorted(header) != sorted(schema.names):
+        raise ValueError(f"the header of {path} has columns {header}, not {schema.names}")
+    return T.StructType([schema[name] for name in header])
+
+
 def read_landing(
     spark: SparkSession,
     path: str,
@@ -68,6 +81,9 @@ def read_landing(
     job.  Parquet files are read with the schema, so only its columns are
     scanned.
     """
+    wanted = schema
+    if fmt == "csv":
+        schema = _in_header_order(spark, path, schema)
     reader = spark.read.schema(schema)
     if fmt in ("csv", "json"):
         if keep_corrupt:
@@ -75,16 +91,22 @@ def read_landing(
             reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
         reader = reader.option("mode", "PERMISSIVE")
         if fmt == "csv":
-            reader = reader.option("header", "true")
-    return reader.format(fmt).load(path)
+            reader = _by_header(reader)
+    rows = reader.format(fmt).load(path)
+    return rows.select(*wanted.names, *([CORRUPT] if CORRUPT in rows.columns else []))
 
 
 def read_landing_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                         max_files_per_trigger: int | None = None) -> DataFrame:
-    """The same landing folder as a file stream (new files become micro-batches)."""
+    """The same landing folder as a file stream (new files become
+    micro-batches); malformed CSV and JSON lines are kept as in ``read_landing``."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if fmt in ("csv", "json"):
+        kept = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+        reader = spark.readStream.schema(kept).format(fmt)
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = _by_header(reader)
     return reader.load(path)

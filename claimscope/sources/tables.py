@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TEST_TABLES = (
@@ -12,39 +13,11 @@ TEST_TABLES = (
 )
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale-factor folder (lazy; column pruning and
-    filter pushdown reach the scan through Catalyst).
-
-    The scan DataFrame is reused within a session (the file listing and
-    schema resolution happen once); ``forget_scans`` drops the reuse.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark._jsparkSession), path)
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when it has fewer input
-    partitions than cores (e.g. a single-row-group file), so per-row work after
-    it runs in parallel.  A scan of many splits -- the normal case at scale --
-    is returned unchanged, so no shuffle is added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
-def forget_scans() -> None:
-    """Forget reused scans (e.g. after the files of a folder changed)."""
-    _SCANS.clear()
+    filter pushdown reach the scan through Catalyst).  The folder is listed
+    anew by every call."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def scan_table(spark: SparkSession, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -61,5 +34,7 @@ def table_exists(spark: SparkSession, name: str, path: str | None = None) -> boo
     try:
         spark.read.parquet(path).schema
         return True
-    except Exception:  # noqa: BLE001 - a missing table is a failed check, not a crash
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False

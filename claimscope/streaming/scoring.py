@@ -37,7 +37,9 @@ def _latest_state(spark: SparkSession, state_dir: str, before: int) -> DataFrame
     shared filesystem works)."""
     try:
         state = spark.read.parquet(state_dir)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     older = state.filter(F.col("batch") < before)
     latest = older.agg(F.max("batch").alias("b")).first()["b"]
@@ -55,8 +57,9 @@ def velocity_batches(
     medium: float = K.MEDIUM_THRESHOLD,
     scored_at=None,
 ):
-    """A ``foreachBatch`` function: bronze claims micro-batch -> gold rows
-    appended to ``sink_path``; daily counts kept under ``state_dir``."""
+    """A ``foreachBatch`` function: bronze claims micro-batch -> gold rows in
+    ``sink_path/batch=<id>`` (a retried batch replaces its own rows); daily
+    counts kept under ``state_dir``."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -76,7 +79,8 @@ def velocity_batches(
         )
         cond = claims["claimant_id"].eqNullSafe(vel["_c"]) & claims["filed_date"].eqNullSafe(vel["_d"])
         silver = claims.join(vel, cond, "left").drop("_c", "_d").withColumns(silver_columns(as_of))
-        gold_score(silver, high, medium, scored_at=scored_at).write.mode("append").parquet(sink_path)
+        gold = gold_score(silver, high, medium, scored_at=scored_at)
+        gold.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch={batch_id}")  # as the state
 
     return process
 

@@ -28,7 +28,7 @@ def test_hot_claimant_velocity_matches_window(spark):
     assert per_day.filter(F.col("claimant_id") == "HOT").count() <= 1500
 
 
-def test_hot_z_value_is_split(spark):
+def test_hot_layout_value_is_split(spark):
     df = spark.range(30000).select(
         F.concat(F.lit("c"), F.col("id").cast("string")).alias("claim_id"),
         F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id") / 30000.0).alias("fraud_risk_score"),

@@ -1,4 +1,4 @@
-"""Synthetic sources, landing reader, sinks, layout, refresh and streaming."""
+"""Weighted choice, landing reader, sinks, layout, refresh and streaming."""
 
 import datetime as dt
 import os
@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
+from claimscope.functions.choice import weighted_choice
 from claimscope.plans import layers as L
 from claimscope.plans.layout import layout_cluster
 from claimscope.plans.refresh import refresh, refresh_report
 from claimscope.session import scratch_path
 from claimscope.sources import landing as LD
 from claimscope.sources import sinks as SK
-from claimscope.sources import synthetic as SY
+from claimscope.sources.tables import read_table
 from claimscope.streaming import scoring as ST
 
 SF = "/root/testdata/sf0.001"
@@ -23,36 +24,9 @@ def scratch(spark, name):
     return scratch_path(spark, f"test-{name}-{uuid.uuid4().hex[:8]}")
 
 
-def test_synthetic_is_partitioning_independent(spark):
-    a = SY.synthetic_claimants(spark.range(0, 400, 1, 1), seed=7).collect()
-    b = SY.synthetic_claimants(spark.range(0, 400, 1, 7), seed=7).collect()
-    assert sorted(a) == sorted(b)
-    c = SY.synthetic_claimants(spark.range(0, 400, 1, 1), seed=8).collect()
-    assert sorted(a) != sorted(c)
-
-
-def test_synthetic_distributions(spark):
-    claims, claimants, props = SY.synthetic_bronze(spark, 20000, 400, 800, seed=42, as_of=dt.date(2024, 6, 30))
-    stats = claims.agg(
-        F.avg(F.col("fraud_label").eqNullSafe("NONE").cast("int")).alias("none"),
-        F.avg((F.col("claim_status") == "OPEN").cast("int")).alias("open"),
-        F.avg(F.col("resolved_date").isNull().cast("int")).alias("unresolved"),
-        F.min("filed_date").alias("lo"), F.max("filed_date").alias("hi"), F.count("*").alias("n"),
-    ).collect()[0]
-    assert stats.n == 20000
-    assert abs(stats.none - 0.67) < 0.02
-    assert abs(stats.open - (0.35 + 0.65 / 5)) < 0.02
-    assert abs(stats.unresolved - 0.35) < 0.02
-    assert stats.lo >= dt.date(2024, 6, 30) - dt.timedelta(days=730) and stats.hi <= dt.date(2024, 6, 30)
-    p = props.agg(F.avg(F.col("has_lien").cast("int")).alias("lien"), F.min("value_pct_change").alias("lo"),
-                  F.max("value_pct_change").alias("hi")).collect()[0]
-    assert -5.0 <= p.lo and p.hi <= 65.0
-    assert claims.filter(F.col("state").isNull()).count() == 0  # every claimant id exists
-
-
 def test_weighted_choice_thresholds(spark):
     df = spark.createDataFrame([(0.0,), (0.0799,), (0.08,), (0.9999,)], "u double")
-    got = [r.v for r in df.select(SY.weighted_choice(K.FRAUD_LABELS, K.FRAUD_LABEL_WEIGHTS, F.col("u")).alias("v")).collect()]
+    got = [r.v for r in df.select(weighted_choice(K.FRAUD_LABELS, K.FRAUD_LABEL_WEIGHTS, F.col("u")).alias("v")).collect()]
     assert got == ["WIRE_FRAUD", "WIRE_FRAUD", "ID_MISMATCH", "NONE"]
 
 
@@ -68,6 +42,34 @@ def test_landing_csv_keeps_corrupt_rows(spark):
     assert rows[0]._corrupt_record is None and rows[1]._corrupt_record is not None
 
 
+def test_landing_csv_binds_columns_by_header(spark):
+    path = scratch(spark, "landing-order")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "claimants.csv"), "w") as f:
+        f.write("last_name,claimant_id,first_name,state,ssn_last4,id_verified,account_age_days\n")
+        f.write("Smith,CLM-ID-1,Ann,TX,1234,true,100\n")
+    row = LD.read_landing(spark, path, LD.CLAIMANTS_SCHEMA, fmt="csv", keep_corrupt=False).collect()[0]
+    assert (row.claimant_id, row.last_name) == ("CLM-ID-1", "Smith")
+
+
+def test_read_table_sees_a_folder_grow(spark):
+    base = scratch(spark, "growing")
+    spark.range(10).write.parquet(f"{base}/t.parquet")
+    assert read_table(spark, base, "t").count() == 10
+    spark.range(10).write.mode("append").parquet(f"{base}/t.parquet")
+    assert read_table(spark, base, "t").count() == 20
+
+
+def test_retried_micro_batch_replaces_its_rows(spark):
+    base = scratch(spark, "retry")
+    bronze = L.bronze_claims(spark, SF).limit(50)
+    batch = spark.createDataFrame(bronze.collect(), bronze.schema)
+    process = ST.velocity_batches(f"{base}/state", f"{base}/gold", as_of=K.FIXTURE_AS_OF, scored_at=K.FIXTURE_SCORED_AT)
+    process(batch, 0)
+    process(batch, 0)
+    assert spark.read.parquet(f"{base}/gold").count() == 50
+
+
 def test_overwrite_counts_and_append_evolution(spark):
     path = scratch(spark, "sink")
     n = SK.sink_overwrite(spark.range(10), path)
@@ -82,7 +84,7 @@ def test_layout_cluster_keeps_rows(spark):
     clustered = layout_cluster(gold, partitions=4)
     assert clustered.count() == gold.count()
     assert clustered.rdd.getNumPartitions() <= 4
-    assert sorted(clustered.drop("z_order").collect()) == sorted(gold.collect())
+    assert sorted(clustered.collect()) == sorted(gold.collect())
 
 
 def test_refresh_writes_layers(spark):
