@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 2 << 20  # text bytes that one vectorised step holds; a longer document is a step of its own
+CHUNK_BYTES = 1 << 20  # text bytes that one vectorised step holds; a longer document is a step of its own
 
 _MULT = 0x9E3779B97F4A7C15  # odd: a unit modulo 2**64
 _INV = pow(_MULT, -1, 1 << 64)
@@ -29,7 +29,18 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+BATCH_ROWS = 1_000  # rows of an Arrow batch, where the session has Spark's default of 10,000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for tasks that hold whole texts; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost
     executors, and gives the planner the measured size."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -107,7 +119,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """64-bit hash of each byte span: equal bytes give equal hashes wherever they lie."""
     up, down = _powers(len(data) + 1, seed)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    value = total[1:]
+    value[:] = data
+    value += np.uint64(1)
+    value *= up[: len(data)]
+    np.cumsum(value, out=value)
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h ^ mix((ends - starts).astype(np.uint64) + np.uint64(seed + 1)))
 

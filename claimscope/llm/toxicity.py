@@ -12,7 +12,7 @@ Words are runs without blanks, lower-cased, without punctuation; runs of three o
 characters ("i d i o t") are joined into a word as well, and words over LONG characters are read
 in overlapping windows, so whole texts of any length are scored.
 
-The fit uses at most FIT_ROWS labelled rows of each class (those of the least hash of the id);
+The fit uses at most FIT_TOXIC and FIT_CLEAN labelled rows (those of the least hash of the id);
 everything else is one pass over all documents without a shuffle.
 
 Edge cases: null and empty texts have no word and get the lowest score; labels without a
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.common import chunks, table, written
 
-FIT_ROWS = 2_000  # labelled rows of each class that the fit reads at most
+FIT_TOXIC, FIT_CLEAN = 2_000, 6_000  # labelled rows of each class that the fit reads at most
+MINING = 3  # rounds of training; each adds the clean words that the last one got wrong
 LANDMARKS = 320
 DECAY = 0.6
 SPAN = 5  # characters that one subsequence may span
@@ -205,7 +206,9 @@ def _words(sentence: str) -> set[str]:
 def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDMARKS) -> Model:
     """Train on labelled documents; three quarters train, one quarter calibrates for the ``prior``."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, constant=prior)
-    y = np.array(toxic)
+    # copies are no evidence of their own
+    once = dict(zip(texts, toxic, strict=True))
+    texts, y = list(once), np.array(list(once.values()))
     if not len(y) or y.min() == y.max():
         return none
     for_training = np.arange(len(y)) % 4 != 3
@@ -216,45 +219,47 @@ def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDM
     for d, label, use in zip(docs, y, for_training, strict=True):
         if use:
             (in_pos if label else in_neg).update(d)
-    # smoothed share of toxic among the (class-balanced) documents that hold the word
-    share = {w: (c / n_pos) / (c / n_pos + (in_neg[w] + 0.5) / n_neg) * min(1.0, c / 2) for w, c in in_pos.items()}
-    if not share:
-        return none
-    # the witness of each toxic sentence's bag: its most telling word, if the document has a telling one
+    telling = _telling_words(in_pos, in_neg, n_pos, n_neg)
+    # of each sentence of a toxic document that holds telling words, the most telling one is its witness
     witness: Counter = Counter()
-    for b, d, label, use in zip(bags, docs, y, for_training, strict=True):
-        if use and label and d:
-            best = max(share[w] for w in d)
-            if best >= 0.6:
-                for s in b:
-                    top = max(s, key=lambda w: (share[w], w), default=None)
-                    if top is not None and share[top] >= max(0.6, best - 0.1):
-                        witness[top] += 1
+    for b, label, use in zip(bags, y, for_training, strict=True):
+        if use and label:
+            for s in b:
+                top = max((w for w in s if w in telling), key=lambda w: (telling[w], w), default=None)
+                if top is not None:
+                    witness[top] += 1
     if not witness:
         return none
     clean = sorted(in_neg, key=lambda w: (-in_neg[w], w))
     positive = sorted(witness, key=lambda w: (-witness[w], w))
+    chosen = set(positive)
+    clean = [w for w in clean if w not in chosen]
+    heads = positive[: landmarks // 2]
     # clean words most like the witnesses are the hard ones
-    probe = kernel_matrix(clean[:60_000], positive[: landmarks // 2])
-    hard = [clean[i] for i in np.argsort(-probe.max(axis=1), kind="stable")[:6_000].tolist()]
-    common = clean[:6_000]
-    negative = list(dict.fromkeys([*hard, *common]))
-    marks = [*positive[: landmarks // 2], *hard[: landmarks // 4], *common[: landmarks // 4]]
-    marks = list(dict.fromkeys(marks))
+    like = kernel_matrix(clean[:20_000], heads).max(axis=1)
+    hard = [clean[i] for i in np.argsort(-like, kind="stable")[:4_000].tolist()]
+    marks = list(dict.fromkeys([*heads, *hard[: landmarks // 3], *clean[: landmarks // 6]]))
     gram = kernel_matrix(marks, marks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # the Nystroem map: kernel row @ root
-    sample = [*positive, *negative]
-    x = kernel_matrix(sample, marks) @ root
-    label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    cost = np.r_[[20.0 * (1 + np.log(witness[w])) / len(positive) * len(negative) / 20 for w in positive], np.ones(len(negative))]
-    w = squared_hinge(x, label, cost, ridge=0.2)
-    beta = root @ w[:-1]
     lo, lk, lw = summed(*subsequences(marks))
-    lw = lw / np.sqrt(np.bincount(lo, lw**2, len(marks)))[lo] * beta[lo]
+    lw = lw / np.sqrt(np.bincount(lo, lw**2, len(marks)))[lo]
     keys, at = np.unique(lk, return_inverse=True)
-    model = Model(keys, np.bincount(at, lw, len(keys)), float(w[-1]))
+    negative = list(dict.fromkeys([*hard, *clean[:4_000]]))
+    for _ in range(MINING):
+        sample = [*positive, *negative]
+        x = kernel_matrix(sample, marks) @ root
+        label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        weight = np.array([1 + np.log(witness[w]) for w in positive])
+        cost = np.r_[weight / weight.mean() * max(1.0, 0.2 * len(negative) / len(positive)), np.ones(len(negative))]
+        w = squared_hinge(x, label, cost, ridge=0.1)
+        beta = root @ w[:-1]
+        model = Model(keys, np.bincount(at, lw * beta[lo], len(keys)), float(w[-1]))
+        # clean words that the machine gets wrong join the next round
+        margin = model.margins(clean)
+        wrong = np.argsort(-margin, kind="stable")[:3_000]
+        negative = list(dict.fromkeys([*negative, *[clean[i] for i in wrong[margin[wrong] > -0.9].tolist()]]))
     worst = worst_margins(model, pa.array(texts))
     rest = ~for_training
     if (y[rest] == 1).sum() < 5 or (y[rest] == 0).sum() < 5:
@@ -280,23 +285,37 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, prior: float) -> tuple[float,
     return float(max(w[0], 0.0)), float(w[1])
 
 
+def _telling_words(in_pos: Counter, in_neg: Counter, n_pos: int, n_neg: int) -> dict[str, float]:
+    """Words that toxic documents hold more often than chance allows for that many words (log-likelihood
+    ratio, Bonferroni); with few labels, when none is, the five most telling."""
+    total, score = n_pos + n_neg, {}
+    for w, a in in_pos.items():
+        b = in_neg[w]
+        if a > 1 and a * n_neg > 3 * b * n_pos:
+            g = a * np.log(a * total / ((a + b) * n_pos)) + (b * np.log(b * total / ((a + b) * n_neg)) if b else 0.0)
+            score[w] = 2 * float(g)
+    least = 2 * np.log(max(2, len(in_pos)))
+    found = {w: g for w, g in score.items() if g >= least}
+    return found or dict(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``fit_rows`` labelled rows of each class that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: tuple[int, int] = (FIT_CLEAN, FIT_TOXIC)) -> Model:
+    """Fit on at most ``fit_rows`` labelled rows (clean, toxic) that aren't held out."""
     known = labels.filter(~held_out(id_col) & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).cast("bigint").alias("fit_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     chosen = None
     for label in (0, 1):
-        part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("fit_id"), "fit_id").limit(fit_rows)
+        part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("fit_id"), "fit_id").limit(fit_rows[label])
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = F.broadcast(written(chosen, "fit-rows"))  # 2 * fit_rows small rows at most
+    chosen = F.broadcast(written(chosen, "fit-rows"))  # two small columns, sum(fit_rows) rows at most
     rows = docs.select(F.col(id_col).cast("bigint").alias("fit_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "fit_id")
-    sample = rows.orderBy(F.xxhash64("fit_id"), "fit_id", F.xxhash64("text")).limit(2 * fit_rows).collect()
+    sample = rows.orderBy(F.xxhash64("fit_id"), "fit_id", F.xxhash64("text")).limit(sum(fit_rows)).collect()
     return fit([r["text"] for r in sample], [r["toxic"] for r in sample], prior)
 
 
