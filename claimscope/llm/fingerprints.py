@@ -89,7 +89,7 @@ def merged(sketches: DataFrame, key: str, fingerprint: str = "fingerprint", k: i
     """One sketch per key, of all its parts: the k smallest distinct hashes.  Each task keeps k per key
     before the shuffle, so a key with a third of all rows sends k hashes per task."""
     raw = F.unbase64(F.col(fingerprint))
-    at = F.explode(F.sequence(F.lit(0), F.length(raw) / 8 - 1))
+    at = F.explode(F.sequence(F.lit(0), (F.length(raw) / 8).cast("int") - 1))
     parts = sketches.filter(F.length(fingerprint) > 0).select(F.col(key), raw.alias("raw"), at.alias("at"))
     hashes = parts.select(key, F.hex(F.substring("raw", (F.col("at") * 8 + 1).cast("int"), F.lit(8))).alias("h")).distinct()
     nth = F.row_number().over(Window.partitionBy(key).orderBy("h"))
