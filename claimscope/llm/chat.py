@@ -62,7 +62,7 @@ _KINDS = {
 
 def json_text(value: Column) -> Column:
     """A JSON string literal of a text."""
-    return F.expr_json(value) if hasattr(F, "expr_json") else F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
 def tool_messages(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -178,3 +178,38 @@ def derived_messages(conversations: DataFrame) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(derived_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+SQL = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role = 'user' AS u, text, length(text) AS n FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL),
+calls0 AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, CASE n % 4 WHEN 0 THEN 'lookup' WHEN 1 THEN 'note' WHEN 2 THEN 'search' ELSE 'guess' END AS name,
+    CASE WHEN turn // 2 < turn THEN 'c' || (turn // 2) END AS after, to_json(text)::VARCHAR AS quoted, n FROM m WHERE u),
+calls AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, quoted) AS nth,
+    CASE name WHEN 'lookup' THEN '{"key":' || quoted || ',"strict":true}'
+      WHEN 'note' THEN '{"body":' || quoted || ',"size":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || '}'
+      WHEN 'search' THEN CASE WHEN n % 5 = 0 THEN '{"page":1,"query":' || quoted || '}' ELSE '{"limit":' || n || ',"query":' || quoted || '}' END
+      ELSE '{}' END AS arguments,
+    CASE WHEN name = 'note' AND n % 3 = 0 THEN 'type:size' WHEN name = 'search' AND n % 5 = 0 THEN 'extra:page,missing:limit'
+      WHEN name = 'guess' THEN 'unknown_tool' ELSE '' END AS errors
+  FROM calls0),
+up(conv_id, call_id, cur, steps) AS (
+  SELECT conv_id, call_id, after, 0::BIGINT FROM calls WHERE nth = 1
+  UNION ALL
+  SELECT up.conv_id, up.call_id, c.after, steps + 1 FROM up JOIN calls c ON c.nth = 1 AND c.conv_id = up.conv_id AND c.call_id = up.cur),
+levels AS (SELECT conv_id, call_id, arg_max(cur IS NULL, steps) AS whole, max(steps) AS steps FROM up GROUP BY ALL),
+results AS (
+  SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, count(*) AS n_results, min_by(to_json(text)::VARCHAR, turn) AS content
+  FROM m WHERE NOT u GROUP BY ALL)
+SELECT c.conv_id, c.call_id, c.turn, c.name, CASE WHEN c.nth = 1 AND whole THEN l.steps END AS level,
+  CASE WHEN c.nth > 1 THEN 'repeated_id' WHEN NOT whole THEN 'no_dependency' WHEN c.errors <> '' THEN 'invalid'
+    WHEN r.call_id IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+  c.errors, r.result_turn, coalesce(r.n_results, 0) AS n_results,
+  '{"arguments":' || c.arguments || ',"id":"' || c.call_id || '","name":"' || c.name || '","result":' || coalesce(r.content, 'null') || '}' AS canonical
+FROM calls c JOIN levels l USING (conv_id, call_id) LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+UNION ALL
+SELECT r.conv_id, r.call_id, NULL, NULL, NULL, 'orphan_result', '', r.result_turn, r.n_results, '{"id":"' || r.call_id || '","result":' || r.content || '}'
+FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+"""

@@ -21,4 +21,5 @@ SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op5_url_filter": url_filter.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op8_chat": chat.SQL,
 }
