@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.common import chunks, table, written
 
-FIT_TOXIC, FIT_CLEAN = 2_000, 6_000  # labelled rows of each class that the fit reads at most
+FIT_TOXIC, FIT_CLEAN = 1_500, 4_500  # labelled rows of each class that the fit reads at most
 MINING = 3  # rounds of training; each adds the clean words that the last one got wrong
 LANDMARKS = 320
 DECAY = 0.6
 SPAN = 5  # characters that one subsequence may span
+BLOCK = 8_000  # words whose subsequences are held at a time
 LONG = 32  # characters of a window of a longer word
 FLOOR = -1.0  # margins below this count as this
 THRESHOLD = 0.3
@@ -80,17 +81,17 @@ def kernel_matrix(words: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((len(names), len(landmarks)), dtype=np.float64)
     dense[col, lo] = lw
     out = np.zeros((len(words), len(landmarks)))
-    for first in range(0, len(words), 20_000):
-        part = words[first : first + 20_000]
+    for first in range(0, len(words), BLOCK):
+        part = words[first : first + BLOCK]
         o, k, w = summed(*subsequences(part))
         w = w / np.sqrt(np.bincount(o, w**2, len(part)))[o]
         at = np.minimum(np.searchsorted(names, k), len(names) - 1)
         hit = names[at] == k
         o, at, w = o[hit], at[hit], w[hit]
         begins = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, np.int64)
-        for a in range(0, len(begins), 2_000):
-            b = begins[a : a + 2_000]
-            end = begins[a + 2_000] if a + 2_000 < len(begins) else len(o)
+        for a in range(0, len(begins), 200):
+            b = begins[a : a + 200]
+            end = begins[a + 200] if a + 200 < len(begins) else len(o)
             rows = dense[at[b[0] : end]] * w[b[0] : end, None]
             out[first + o[b]] = np.add.reduceat(rows, b - b[0], axis=0)
     return out
@@ -133,9 +134,13 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word, FLOOR at least."""
+        if not len(self.keys):
+            return np.full(len(words), FLOOR)
+        parts = [self._margins(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), FLOOR)
-        if not words or not len(self.keys):
-            return out
         owner, key, weight = subsequences(words)
         maybe = np.flatnonzero(self.sieve[self._cell(key)])
         at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
@@ -212,20 +217,18 @@ def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDM
     if not len(y) or y.min() == y.max():
         return none
     for_training = np.arange(len(y)) % 4 != 3
-    bags = [[_words(s) for s in _SENTENCE.split(t)] for t in texts]
-    docs = [set().union(*b) if b else set() for b in bags]
     n_pos, n_neg = max(1, int((y[for_training] == 1).sum())), max(1, int((y[for_training] == 0).sum()))
     in_pos, in_neg = Counter(), Counter()
-    for d, label, use in zip(docs, y, for_training, strict=True):
+    for text, label, use in zip(texts, y, for_training, strict=True):
         if use:
-            (in_pos if label else in_neg).update(d)
+            (in_pos if label else in_neg).update(_words(text))
     telling = _telling_words(in_pos, in_neg, n_pos, n_neg)
     # of each sentence of a toxic document that holds telling words, the most telling one is its witness
     witness: Counter = Counter()
-    for b, label, use in zip(bags, y, for_training, strict=True):
+    for text, label, use in zip(texts, y, for_training, strict=True):
         if use and label:
-            for s in b:
-                top = max((w for w in s if w in telling), key=lambda w: (telling[w], w), default=None)
+            for sentence in _SENTENCE.split(text):
+                top = max((w for w in _words(sentence) if w in telling), key=lambda w: (telling[w], w), default=None)
                 if top is not None:
                     witness[top] += 1
     if not witness:
@@ -247,7 +250,7 @@ def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDM
     lw = lw / np.sqrt(np.bincount(lo, lw**2, len(marks)))[lo]
     keys, at = np.unique(lk, return_inverse=True)
     negative = list(dict.fromkeys([*hard, *clean[:4_000]]))
-    for _ in range(MINING):
+    for turn in range(MINING):
         sample = [*positive, *negative]
         x = kernel_matrix(sample, marks) @ root
         label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
@@ -256,15 +259,17 @@ def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDM
         w = squared_hinge(x, label, cost, ridge=0.1)
         beta = root @ w[:-1]
         model = Model(keys, np.bincount(at, lw * beta[lo], len(keys)), float(w[-1]))
+        if turn == MINING - 1:
+            break
         # clean words that the machine gets wrong join the next round
         margin = model.margins(clean)
         wrong = np.argsort(-margin, kind="stable")[:3_000]
         negative = list(dict.fromkeys([*negative, *[clean[i] for i in wrong[margin[wrong] > -0.9].tolist()]]))
-    worst = worst_margins(model, pa.array(texts))
     rest = ~for_training
     if (y[rest] == 1).sum() < 5 or (y[rest] == 0).sum() < 5:
         rest = np.ones(len(y), dtype=bool)
-    model.slope, model.offset = _calibrate(worst[rest], y[rest], prior)
+    worst = worst_margins(model, pa.array([texts[i] for i in np.flatnonzero(rest).tolist()]))
+    model.slope, model.offset = _calibrate(worst, y[rest], prior)
     return model
 
 
