@@ -253,14 +253,17 @@ class Join:
             rows = open_.filter(F.col("total") > LARGE if large else F.col("total") <= LARGE)
             if large:
                 bits = self.nodes.select("node", *[_folded_word("bits", k).alias(f"w{k}") for k in range(WORDS)])
-                rows = written(rows.join(bits, "node"), "open-large")
-            columns = ("node", "gid", "n", "component", *([f"w{k}" for k in range(WORDS)] if large else []))
+                # a pair meets in every large bucket that both share: it is listed in the smallest one only
+                own = written(rows.filter(~F.col("inside")).groupBy("node").agg(F.collect_set("token").alias("tokens")), "bucket-lists")
+                rows = written(rows.join(bits, "node").join(own, "node", "left"), "open-large")
+            columns = ("node", "gid", "n", "component", *([f"w{k}" for k in range(WORDS)] + ["tokens"] if large else []))
             outside = written(rows.filter("component <> largest"), "outside").select("inside", "token", *[F.col(c).alias(f"x_{c}") for c in columns])
             ok = (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("largest")) | (F.col("x_node") < F.col("node")))
             ok &= (F.col("r_inside") | (F.col("gid") != F.col("x_gid"))) & _similar_size(F.col("n"), F.col("x_n"), self.num, self.den)
             if large:
                 differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"x_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("x_w0"))))
                 ok &= differ <= _most_apart(F.col("n"), F.col("x_n"), self.num, self.den)
+                ok &= F.col("r_inside") | (F.col("r_token") == F.array_min(F.array_intersect("tokens", "x_tokens")))
             rest = rows.select(F.col("inside").alias("r_inside"), F.col("token").alias("r_token"), "largest", *columns)
             met = rest.join(outside, (F.col("inside") == F.col("r_inside")) & (F.col("token") == F.col("r_token")) & ok)
             part = _ordered(met, F.col("node"), F.col("x_node"))

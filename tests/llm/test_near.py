@@ -52,6 +52,21 @@ def test_families_of_edited_copies(spark, size, num, den):
     assert got == brute(rows, size, num, den)
 
 
+def test_large_buckets_list_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr("claimscope.llm.near.LARGE", 8)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
+    rows = []
+    for i in range(240):
+        w = rng.choice(base).split()
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice([*words, f"n{i}"])
+        rows.append((i, " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4, num=85, den=100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e f")]
     got = sorted([tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4, num=85, den=100).collect()], key=repr)
