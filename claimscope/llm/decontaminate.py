@@ -1,12 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Every test item's three-word grams are counted in the whole corpus (documents that hold them).
-2. Each item is cut into short runs of grams and the rarest gram of each run becomes a seed, so
-   that an edited copy keeps some seed whatever part of it was edited, and a common phrase is
-   only a seed where a run has nothing rarer.
+2. Every gram that some document holds is a seed, so that an edited copy is found by any three
+   words that it kept.  A seed of at most RARE documents is enough alone.  A commoner one is
+   enough where its run of RUN grams has nothing rarer; elsewhere it takes a second seed of
+   another run nearby (a common phrase comes alone, a passage that many documents copy doesn't).
 3. Passages of documents around a seed are aligned with the item, word by word (match 2,
    mismatch and gap -1); the score is the best local alignment over that of the whole item.  A
-   score of MIN_SCORE or more is a leak.
+   score of MIN_SCORE or more is a leak.  Passages whose words can't reach it in any order are
+   not aligned.  A copy without three words in a row of the item has no seed and isn't found.
 
 Test items are taken in blocks of bounded size that travel to the tasks, so documents are read
 in place: no shuffle, no join key that can be hot, and memory bounded by a block and a chunk.
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from claimscope.llm.common import PUNCTUATION, chunks, flat, lowered, mix, span_hashes, table, word_spans
 
 GRAM = 3
-RUN = 5  # grams of an item among which the rarest is a seed
+RUN = 5  # grams of an item in a run
+RARE = 1000  # documents that a gram is in at most to be enough alone
 MIN_SCORE = 0.4
 BLOCK_WORDS = 500_000  # words of the test items that are matched at a time
+STEP_SEEDS = 1_000_000  # seeds found that one step holds; one text's are never parted
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,20 +112,23 @@ class Items:
         self.grams, self.gram_at = gram_hashes(self.words, self.bounds)
         self.distinct = np.unique(self.grams)
         self.seeds: Lookup | None = None
+        self.has: np.ndarray | None = None  # made where it is used
 
     def choose(self, counts: np.ndarray) -> None:
         """``counts``: documents that hold each of ``distinct``."""
         rare = counts[np.searchsorted(self.distinct, self.grams)]
         item = np.searchsorted(self.bounds, self.gram_at, side="right") - 1
         run = (self.gram_at - self.bounds[item]) // RUN
-        order = np.lexsort((self.gram_at, rare, run, item))
-        first = np.r_[True, (item[order][1:] != item[order][:-1]) | (run[order][1:] != run[order][:-1])] if len(order) else np.zeros(0, bool)
-        chosen = order[first]
+        first = np.r_[True, (item[1:] != item[:-1]) | (run[1:] != run[:-1])] if len(run) else np.zeros(0, bool)
+        held = (rare > 0) & (rare <= RARE)
+        has_rare = np.bincount(np.cumsum(first) - 1, held)[np.cumsum(first) - 1] > 0 if len(run) else held
+        chosen = np.flatnonzero(rare > 0)  # a gram that no document holds finds nothing
         chosen = chosen[np.argsort(self.grams[chosen], kind="stable")]
         hashes = self.grams[chosen]
         new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
         self.seeds = Lookup(hashes[new])
         self.seed_item, self.seed_place = item[chosen], self.gram_at[chosen] - self.bounds[item[chosen]]
+        self.seed_run, self.seed_alone = run[chosen], (held | ~has_rare)[chosen]
         self.seed_from = np.r_[np.flatnonzero(new), len(hashes)]
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +137,10 @@ class Items:
         grams, at = gram_hashes(words, bounds)
         hit, seed = self.seeds.find(grams)
         many = self.seed_from[seed + 1] - self.seed_from[seed]
+        if many.sum() > STEP_SEEDS and len(bounds) > 2:
+            half = len(bounds) // 2
+            parts = [self.candidates(words[: bounds[half]], bounds[: half + 1]), self.candidates(words[bounds[half] :], bounds[half:] - bounds[half])]
+            return tuple(np.concatenate(x) for x in zip(parts[0], (parts[1][0] + half, parts[1][1], parts[1][2] + bounds[half]), strict=True))
         which = np.repeat(self.seed_from[seed] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(many) else np.zeros(0, np.int64)
         place = np.repeat(at[hit], many)
         item = self.seed_item[which]
@@ -137,8 +148,12 @@ class Items:
         text = np.searchsorted(bounds, place, side="right") - 1
         slack = self._slack(item)
         cell = (begin - bounds[text] + (1 << 20) * slack) // slack
-        order = np.lexsort((begin, cell, item, text))
-        text, item, begin, cell = text[order], item[order], begin[order], cell[order]
+        run, alone = self.seed_run[which], self.seed_alone[which]
+        order = np.lexsort((run, begin, item, text))
+        text, item, begin, cell, slack, run, alone = (x[order] for x in (text, item, begin, cell, slack, run, alone))
+        pair = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (run[1:] != run[:-1]) & (begin[1:] - begin[:-1] <= slack[1:])
+        enough = alone | np.r_[False, pair] | np.r_[pair, False] if len(text) else alone
+        text, item, begin, cell = text[enough], item[enough], begin[enough], cell[enough]
         new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])] if len(text) else np.zeros(0, bool)
         return text[new], item[new], begin[new]
 
@@ -162,6 +177,9 @@ class Items:
             rows = order[at : at + n]
             rows = rows[size[rows] <= 2 * width + 8]
             at += len(rows)
+            rows = rows[self._bound(words, item[rows], first[rows], last[rows]) / (2.0 * size[rows]) >= min_score]
+            if not len(rows):
+                continue
             score, end = self._score(words, item[rows], first[rows], last[rows])
             share = score / (2.0 * size[rows])
             for k in np.flatnonzero(share >= min_score).tolist():
@@ -175,6 +193,23 @@ class Items:
                     best[key] = found
         return sorted(best.values())
 
+    def _bound(self, words: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """What the alignment of each window reaches at most: its best stretch at 2 for a word that the
+        item has (by a bit table, that may have others too) and -1 for any other."""
+        if self.has is None:
+            size = np.diff(self.bounds)
+            self.cells = 1 << np.ceil(np.log2(np.maximum(2, 8 * size))).astype(np.int64)
+            self.cells_from = np.r_[0, np.cumsum(self.cells)]
+            owner = np.repeat(np.arange(len(size)), size)
+            self.has = np.zeros(self.cells_from[-1], dtype=bool)
+            self.has[self.cells_from[owner] + (self.words & (self.cells[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+        at = first[:, None] + np.arange(int((last - first).max()))
+        word = words[np.minimum(at, len(words) - 1)]
+        cell = self.cells_from[item][:, None] + (word & (self.cells[item] - 1).astype(np.uint64)[:, None]).astype(np.int64)
+        total = np.cumsum(np.where(self.has[cell] & (at < last[:, None]), 2, -1), axis=1, dtype=np.int32)
+        before = np.minimum.accumulate(np.minimum(np.c_[np.zeros(len(item), np.int32), total[:, :-1]], 0), axis=1)
+        return (total - before).max(axis=1)
+
     def _score(self, words: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.bounds[item + 1] - self.bounds[item]
         own = np.zeros((len(item), int(size.max())), dtype=np.uint64)

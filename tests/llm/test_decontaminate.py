@@ -82,3 +82,66 @@ def test_empty_tables(spark):
     assert dc.matches(none_d, none_b).collect() == []
     assert dc.matches(d, none_b).collect() == []
     assert [r["doc_id"] for r in dc.without_leaks(d, none_b).collect()] == [1]
+
+
+def _edited(rng, words, every, how):
+    out = list(words)
+    for k in range(every - 1, len(words), every):
+        out[k] = {"replace": f"new{rng.random()}", "insert": f"{words[k]} new{rng.random()}", "delete": ""}[how]
+    return " ".join(w for w in out if w)
+
+
+def _scores(docs, items):
+    """Score of every document and item by plain alignment."""
+    code = {}
+    split = lambda t: [code.setdefault(w, len(code)) for w in t.lower().replace(".", " ").split()]
+    return {(d, i): plain_alignment(split(item), split(text)) / (2 * len(split(item))) for d, text in docs for i, item in items}
+
+
+def _edit_case(copies):
+    """Copies with an edit at every 4th to 10th word; ``copies``: exact copies elsewhere, copies of each edited one."""
+    rng = random.Random(5)
+    pool = [f"w{k}" for k in range(4_000)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items, docs = [], []
+    for every in range(4, 11):
+        for how in ("replace", "insert", "delete"):
+            item = text(rng.randrange(16, 60))
+            items.append((len(items), item))
+            docs += [(len(docs) + k, f"{text(20)} {item} {text(20)}") for k in range(copies[0])]
+            leak = _edited(rng, item.split(), every, how)
+            docs += [(len(docs) + k, f"{text(20)} {leak} {text(20)}") for k in range(copies[1])]
+    return docs, items
+
+
+def test_edited_copies_against_brute_force(spark, monkeypatch):
+    for copies, rare in (((0, 1), 1000), ((1, 1), 1000), ((3, 1), 1000), ((1, 4), 2)):
+        monkeypatch.setattr(dc, "RARE", rare)  # 2: most of the edited copies' own grams are common, the broken ones rare
+        docs, items = _edit_case(copies)
+        want = {k for k, s in _scores(docs, items).items() if s >= dc.MIN_SCORE}
+        assert len(want) >= len(docs)
+        found = dc.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == want, (copies, rare)
+
+
+def test_bound_is_never_below_the_alignment():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    block = dc.Items(list(range(20)), [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(20)])
+    text, bounds, *_ = dc.words_of(dc.pa.array([" ".join(rng.choice(words, 400))], dc.pa.large_string()))
+    item, first = np.arange(20), rng.integers(0, 300, 20)
+    last = np.minimum(400, first + rng.integers(1, 120, 20))
+    assert (block._bound(text, item, first, last) >= block._score(text, item, first, last)[0]).all()
+
+
+def test_seeds_in_steps_give_the_same(spark, monkeypatch):
+    docs, items, _ = _case()
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(dc.matches(d, b).collect())
+    block = next(dc.item_blocks(d, b, "text", "item_id", "text"))
+    words, bounds, *_ = dc.words_of(dc.pa.array([t for _, t in docs], dc.pa.large_string()))
+    at_once = block.aligned(words, bounds, dc.MIN_SCORE)
+    assert len(at_once) == len(whole)
+    monkeypatch.setattr(dc, "STEP_SEEDS", 50)
+    assert block.aligned(words, bounds, dc.MIN_SCORE) == at_once
