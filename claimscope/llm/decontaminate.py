@@ -7,8 +7,9 @@
    another run nearby (a common phrase comes alone, a passage that many documents copy doesn't).
 3. Passages of documents around a seed are aligned with the item, word by word (match 2,
    mismatch and gap -1); the score is the best local alignment over that of the whole item.  A
-   score of MIN_SCORE or more is a leak.  Passages whose words can't reach it in any order are
-   not aligned.  A copy without three words in a row of the item has no seed and isn't found.
+   score of MIN_SCORE or more is a leak; so is, whatever the item's length, an alignment that
+   counts as much as MIN_WORDS words copied in a row.  Passages whose words can't reach either in
+   any order are not aligned.  A copy without three words in a row of the item has no seed and isn't found.
 
 Test items are taken in blocks of bounded size that travel to the tasks, so documents are read
 in place: no shuffle, no join key that can be hot, and memory bounded by a block and a chunk.
@@ -36,6 +37,7 @@ GRAM = 3
 RUN = 5  # grams of an item in a run
 RARE = 1000  # documents that a gram is in at most to be enough alone
 MIN_SCORE = 0.4
+MIN_WORDS = 25  # copied words in a row that are a leak of any item; decides for items of more than 62 words
 BLOCK_WORDS = 500_000  # words of the test items that are matched at a time
 STEP_SEEDS = 1_000_000  # seeds found that one step holds; one text's are never parted
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +163,7 @@ class Items:
         """Words by which an edited copy may be longer or shorter before a place, about."""
         return np.maximum(4, (self.bounds[item + 1] - self.bounds[item]) // 3)
 
-    def aligned(self, words: np.ndarray, bounds: np.ndarray, min_score: float) -> list[tuple[int, int, float, int, int]]:
+    def aligned(self, words: np.ndarray, bounds: np.ndarray, min_score: float, min_words: int = MIN_WORDS) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word + 1) of the best leak of each text and item."""
         text, item, begin = self.candidates(words, bounds)
         best: dict[tuple[int, int], tuple[int, int, float, int, int]] = {}
@@ -177,12 +179,13 @@ class Items:
             rows = order[at : at + n]
             rows = rows[size[rows] <= 2 * width + 8]
             at += len(rows)
-            rows = rows[self._bound(words, item[rows], first[rows], last[rows]) / (2.0 * size[rows]) >= min_score]
+            most = self._bound(words, item[rows], first[rows], last[rows])
+            rows = rows[(most / (2.0 * size[rows]) >= min_score) | (most >= 2 * min_words)]
             if not len(rows):
                 continue
             score, end = self._score(words, item[rows], first[rows], last[rows])
             share = score / (2.0 * size[rows])
-            for k in np.flatnonzero(share >= min_score).tolist():
+            for k in np.flatnonzero((share >= min_score) | (score >= 2 * min_words)).tolist():
                 r = rows[k]
                 stop = int(first[r] + end[k])
                 own = self.words[self.bounds[item[r]] : self.bounds[item[r] + 1]]
@@ -255,7 +258,7 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col:
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document row and test item that leaks into it: the ids, score, and the passage
     (start, stop in code points)."""
     kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}"
@@ -265,7 +268,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches, "text"):
                 words, bounds, starts, ends, data = words_of(part.column(1))
-                found = block.aligned(words, bounds, min_score)
+                found = block.aligned(words, bounds, min_score, min_words)
                 if not found:
                     continue
                 _, offsets = flat(part.column(1))
@@ -292,7 +295,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, without those that a test item leaks into."""
 
     def keeper(block: Items):
@@ -300,7 +303,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for part in chunks(batches, text_col):
                 words, bounds, *_ = words_of(part.column(part.schema.get_field_index(text_col)))
                 leaky = np.zeros(part.num_rows, dtype=bool)
-                leaky[[f[0] for f in block.aligned(words, bounds, min_score)]] = True
+                leaky[[f[0] for f in block.aligned(words, bounds, min_score, min_words)]] = True
                 yield part.filter(pa.array(~leaky))
 
         return run

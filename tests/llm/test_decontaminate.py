@@ -145,3 +145,18 @@ def test_seeds_in_steps_give_the_same(spark, monkeypatch):
     assert len(at_once) == len(whole)
     monkeypatch.setattr(dc, "STEP_SEEDS", 50)
     assert block.aligned(words, bounds, dc.MIN_SCORE) == at_once
+
+
+def test_long_passages_of_long_items_are_leaks(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(4_000)}" for _ in range(n))
+    item = text(300)
+    w = item.split()
+    docs = [(0, f"{text(80)} {' '.join(w[120:220])} {text(80)}"), (1, f"{text(80)} {' '.join(w[-25:])}"), (2, f"{' '.join(w[:24])} {text(200)}"), (3, text(600))]
+    edited = w[40:100]
+    edited[9::10] = ["new"] * 6
+    docs.append((4, f"{text(50)} {' '.join(edited)} {text(50)}"))
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert {r["doc_id"]: round(r["score"], 4) for r in dc.matches(d, b).collect()} == {0: 0.3333, 1: 0.0833, 4: 0.1717}
+    assert sorted(r["doc_id"] for r in dc.without_leaks(d, b).collect()) == [2, 3]
+    assert dc.matches(d, b, min_words=101).collect() == []
