@@ -5,7 +5,7 @@ two such sets share a shingle among the first few of each (the prefix) in one gl
 
 1. A pass counts prefix shingles; a filter of fixed size marks those in more than HOT documents.
    The order puts marked shingles last (any order is exact; this one keeps buckets small).
-2. A second pass gives each document's size, set hash, prefix and a parity bitmap.  Documents of
+2. A second pass gives each document's size, set hash (equal sets are one node, whatever the ids), prefix and a parity bitmap.  Documents of
    one size and prefix collapse into a group (exact copies always do).
 3. Groups are dealt by prefix shingle; shingles with a single group are dropped; groups of the
    others expand to their distinct sets.  A group of several sets is a bucket of its own.
@@ -17,8 +17,8 @@ two such sets share a shingle among the first few of each (the prefix) in one gl
 5. Verification intersects whole shingle sets.
 
 Edge cases: null, empty and blank texts have no set and link with nothing; fewer words than a
-shingle make one shingle of the whole sequence; repeated rows are copies; a null id has no class
-(component_id null); an empty table gives an empty result; only the named columns are read.
+shingle make one shingle of the whole sequence; repeated rows are copies; rows that share an id
+though their texts differ are texts of their own; a null id has no class (component_id null); an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimscope.llm.common import chunks, document_shingles, mix, table, written
 from claimscope.llm.components import components
@@ -181,6 +182,18 @@ def _most_apart(a: Column, b: Column, num: int, den: int) -> Column:
     return a + b - 2 * F.ceil((a + b) * num / F.lit(float(num + den)) - 1e-9)
 
 
+def _with_set(size: int, names: list[str], text: str):
+    """The columns ``names`` and near_set, the set hash (null: no words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text):
+            found = document_shingles(part.column(part.schema.get_field_index(text)), size)
+            sets = pa.array([_digest(s, len(s)) if len(s) else None for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), sets], [*names, "near_set"])
+
+    return run
+
+
 def _sets(size: int, wanted: MarkFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +201,8 @@ def _sets(size: int, wanted: MarkFilter):
             for part in chunks(iter([batch]), "text"):
                 found = document_shingles(part.column(2), size)
                 ends = np.cumsum([0, *map(len, found)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], ["node", "shingles"]
-                )
+                names = pa.array([_digest(s, len(s)) for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], ["s", "shingles"])
 
     return run
 
@@ -209,11 +221,11 @@ class Join:
         schema = "doc_id bigint, n bigint, s binary, g binary, prefix array<bigint>, bits array<bigint>"
         self.described = written(self.docs.select("doc_id", "text").mapInArrow(_describe(self.size, self.num, self.den, hot), schema), "described")
         some = self.described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        # distinct sets; a group's name is its smallest document
-        named = some.groupBy("g").agg(F.min("doc_id").alias("gid"))
-        sets = some.groupBy("s").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits"))
-        self.nodes = written(written(sets, "sets").join(written(named, "groups"), "g").select("s", "node", "gid", "n", "bits"), "nodes")
-        groups = some.groupBy("g").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        # distinct sets and groups, numbered as they are written; a set's label is its smallest document
+        sets = some.groupBy("s").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits"))
+        sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+        groups = written(some.groupBy("g").agg(F.first("prefix").alias("prefix")).withColumn("gid", F.monotonically_increasing_id()), "groups")
+        self.nodes = written(sets.join(groups.select("g", "gid"), "g").select("s", "node", "label", "gid", "n", "bits"), "nodes")
         dealt = groups.select(F.explode("prefix").alias("token"), "gid").repartition("token").sortWithinPartitions("token")
         shared = written(dealt.mapInArrow(_shared, "token bigint, gid bigint"), "shared")
         light = self.nodes.select("gid", "node", "n")
@@ -278,9 +290,10 @@ class Join:
         described = written(pairs, "pairs").join(a, "a").join(b, "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
         near = written(described.mapInArrow(_near_pairs(self.num, self.den), "a bigint, b bigint"), "near-pairs")
         ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        wanted = MarkFilter.of(ids.select(F.xxhash64("node").alias("h")), "h")
-        texts = self.docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), F.xxhash64("doc_id").alias("h"), "text")
-        sets = written(texts.mapInArrow(_sets(self.size, wanted), "node bigint, shingles array<bigint>").join(ids, "node", "left_semi"), "candidate-sets")
+        ids = written(self.nodes.select("node", "s", "label").join(ids, "node"), "candidate-nodes")
+        wanted = MarkFilter.of(ids.select(F.xxhash64("label").alias("h")), "h")
+        texts = self.docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+        sets = written(texts.mapInArrow(_sets(self.size, wanted), "s binary, shingles array<bigint>").join(ids, "s").select("node", "shingles"), "candidate-sets")
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
         both = near.join(left, "a").join(right, "b")
@@ -288,16 +301,22 @@ class Join:
         union = F.size("a_set") + F.size("b_set") - common
         return written(both.filter(common * self.den >= union * self.num).select("a", "b").distinct(), "links")
 
-    def run(self) -> DataFrame:
-        """(doc_id, n, component) of every row."""
+    def classes(self) -> DataFrame:
+        """(s, label, class) of every distinct set; label is its smallest doc_id, class a node number."""
         self.describe()
         links = self.verified(self.pairs_with_pivots(None))
         links = links.unionByName(self.verified(self.pairs_with_pivots(components(links))))
         links = links.unionByName(self.verified(self.pairs_across(components(links))))
-        classes = components(links)
-        named = self.nodes.select("s", "node").join(classes, "node", "left").select("s", F.coalesce("component", "node").alias("component"))
+        found = self.nodes.select("s", "node", "label").join(components(links), "node", "left")
+        return written(found.select("s", "label", F.coalesce("component", "node").alias("class")), "classed-sets")
+
+    def run(self) -> DataFrame:
+        """(doc_id, n, component) of every row; component is the smallest doc_id of its class."""
+        sets = self.classes()
+        least = written(sets.groupBy("class").agg(F.min("label").alias("component")), "class-labels")
+        named = written(sets.join(least, "class").select("s", "component"), "set-classes")
         rows = self.described.select("doc_id", "n", "s")
-        return rows.join(written(named, "set-classes"), "s", "left").select(
+        return rows.join(named, "s", "left").select(
             "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))).alias("component")
         )
 
@@ -314,5 +333,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id: of each class
+    one row, that of the smallest id (of several with this id, of the smallest set hash).  Rows
+    without words or without an id all stay."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sets = Join(rows, size, num, den).classes()
+    first = written(sets.groupBy("class").agg(F.min(F.struct("label", "s")).alias("f")).select(F.col("f.label").alias("near_id"), F.col("f.s").alias("near_set")), "class-firsts")
+    schema = T.StructType([*docs.schema.fields, T.StructField("near_set", T.BinaryType())])
+    named = docs.mapInArrow(_with_set(size, docs.columns, text_col), schema).withColumn("near_id", F.col(id_col).cast("bigint"))
+    some = F.col("near_set").isNotNull() & F.col("near_id").isNotNull()
+    kept = named.filter(some).join(first, ["near_id", "near_set"], "left_semi").dropDuplicates(["near_id", "near_set"])
+    return kept.select(*docs.columns).unionByName(named.filter(~some).select(*docs.columns))
+
+
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)

@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
 ``documents`` (the last one returns token ids).  ``run`` writes every stage's result to the shared
 folder and reads it again, so a lost executor never repeats an earlier stage.
 
-Null and empty texts pass every stage (nothing is found in them); rows of one doc_id are one
-document to the near-duplicate stage, and rows without a doc_id are never duplicates; empty
+Null and empty texts pass every stage (nothing is found in them); rows that share a doc_id are
+duplicates only when their texts are near copies, and rows without a doc_id never; empty
 tables give empty results; columns beyond those of ``documents`` are dropped at the first stage.
 """
 
@@ -33,11 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, likeness 0.8) the smallest doc_id stays."""
-    classes = near.near_duplicates(docs, size=5, num=80, den=100)
-    first = written(classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "class-firsts")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    """Of each class of near copies (five-word shingles, likeness 0.8) one row of the smallest doc_id stays."""
+    return near.one_per_class(docs, size=5, num=80, den=100).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from claimscope.llm.components import components
-from claimscope.llm.near import near_duplicates
+from claimscope.llm.near import near_duplicates, one_per_class
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,3 +84,27 @@ def test_components_of_chains_stars_and_cliques(spark):
         up[max(p, q)] = min(p, q)
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
     assert got == {x: find(up, x) for x in up}
+
+
+def test_rows_that_share_an_id_are_texts_of_their_own(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(2_000)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, 0), (1, b, 1), (2, a, 2), (3, b + " more", 3), (1, c, 4), (1, c, 5), (1, c + " end", 6), (4, d, 7), (5, d, 8)]
+    rows += [(6, None, 9), (6, "", 10), (None, a, 11), (None, a, 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row int")
+    kept = [r["row"] for r in one_per_class(df).collect()]
+    assert {0, 1, 7, 9, 10, 11, 12} == {r for r in kept if r not in (4, 5, 6)}
+    assert len(kept) == 8  # and one of the copies of c
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_duplicates(df, size=5, num=80, den=100).collect()}
+    assert got[(2, 56)] == got[(3, 57)] == 1 and got[(4, 56)] == got[(5, 56)] == 4
+
+
+def test_classes_of_one_id_do_not_merge(spark):
+    """Copies of two texts that one id has: two classes, each keeps its row."""
+    rng = random.Random(10)
+    a, b = (" ".join(f"w{rng.randrange(2_000)}" for _ in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(5, a), (5, b), (6, a + " x"), (7, b + " y"), (3, b + " z")], "doc_id bigint, text string")
+    got = {(r[0], r[1]): r[2] for r in near_duplicates(df, size=4, num=85, den=100).collect()}
+    assert got == {(5, 57): got[(5, 57)], (6, 58): 5, (7, 58): 3, (3, 58): 3}
+    assert {(r["doc_id"], r["text"]) for r in one_per_class(df).collect()} == {(5, a), (3, b + " z")}
