@@ -10,7 +10,9 @@
 4. Blocks of documents meet their hits and drop the lines.
 
 Skew: a line that a third of all documents hold is pre-counted per chunk and its probes are
-spread over ``SALTS`` copies of its shard.  No array goes through the driver.
+spread over ``SALTS`` copies of its shard.  Blocks are dealt by id and text, so the texts of a
+repeated or null id lie in many blocks (only whole copies of a row share one).  No array goes
+through the driver.
 
 Edge cases: null and empty text are one empty line; a document may lose every line (its kept
 text is then empty); a line counts once per row, so repeated rows count as documents of their
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import chunks, flat, lowered, mix, span_hashes, table, written
@@ -208,6 +210,10 @@ def _drop(min_chars: int, carry: list[str]):
     return run
 
 
+def block_of(id_: Column, text: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(id_, text), F.lit(blocks))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per row: the id, the ``carry`` columns, kept (text), n_lines (before), n_dropped.
 
@@ -220,7 +226,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES + 1)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("sort_id"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block"),
+        block_of(F.col(id_col), F.col(text_col).cast("string"), blocks).alias("block"),
         F.col(text_col).cast("string").alias("text"),
         *[F.col(c).alias(f"own_{c}") for c in dict.fromkeys([id_col, *carry])],
     )

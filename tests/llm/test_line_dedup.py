@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
+from claimscope.llm import line_dedup
 from claimscope.llm.line_dedup import PerfectHash, dedup_lines
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -53,3 +55,26 @@ def test_empty_table(spark):
 
 def test_words_of_the_key():
     assert re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", "\t a b \r") == "\t a b \r".strip(BLANK)
+
+
+def test_rows_of_one_id_spread_over_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = [f"A common line number {k} that repeats" for k in range(30)]
+    text = lambda i: "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own line {i} {rng.random()}" for _ in range(5))
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, text(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted([tuple(r) for r in dedup_lines(df).select("doc_id", "n_lines", "n_dropped", "kept").collect()], key=repr)
+    assert got == brute(rows)
+
+    def rows_of_blocks(min_chars, carry):
+        def run(docs, hits):
+            n = docs.num_rows
+            cols = {c: docs.column(c) for c in carry} | {"kept": docs.column("text")}
+            return pa.table(cols | {"n_lines": pa.array([n] * n, pa.int64()), "n_dropped": pa.array([0] * n, pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(line_dedup, "_drop", rows_of_blocks)
+    per_row = [r["n_lines"] for r in dedup_lines(df).collect()]
+    blocks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert len(per_row) == 600 and max(per_row) < 1.5 * 600 / blocks  # a third of the rows and more by id alone
