@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.llm import bpe, chat, decontaminate, fingerprints, line_dedup, near, secrets, toxicity, url_filter, warc
+from claimscope.llm import audit, bpe, chat, decontaminate, exact, fingerprints, line_dedup, near, secrets, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_secrets": secrets.op10_secrets,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_exact_dedup": exact.op12_exact_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +24,6 @@ SQL: dict[str, str] = {
     "op5_url_filter": url_filter.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op8_chat": chat.SQL,
+    "op11_filter_audit": audit.SQL,
+    "op12_exact_dedup": exact.SQL,
 }
