@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.llm import audit, bpe, chat, decontaminate, exact, fingerprints, line_dedup, near, secrets, toxicity, url_filter, warc
+from claimscope.llm import audit, bpe, chat, decontaminate, exact, fingerprints, line_dedup, near, secrets, toxicity, trie, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_exact_dedup": exact.op12_exact_dedup,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ SQL: dict[str, str] = {
     "op8_chat": chat.SQL,
     "op11_filter_audit": audit.SQL,
     "op12_exact_dedup": exact.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
