@@ -12,8 +12,9 @@ Words are runs without blanks, lower-cased, without punctuation; runs of three o
 characters ("i d i o t") are joined into a word as well, and words over LONG characters are read
 in overlapping windows, so whole texts of any length are scored.
 
-The fit uses at most FIT_TOXIC and FIT_CLEAN labelled rows (those of the least hash of the id);
-everything else is one pass over all documents without a shuffle.
+The fit uses at most FIT_TOXIC and FIT_CLEAN labelled rows (those of the least hash of the id) of at
+most FIT_TEXT_BYTES each and FIT_BYTES together, in one task on an executor; only the folded weights
+reach the driver.  Everything else is one pass over all documents without a shuffle.
 
 Edge cases: null and empty texts have no word and get the lowest score; labels without a
 document, repeated or null labels are left out of the fit; without labels of both classes every
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from claimscope.llm.common import chunks, table, written
 
 FIT_TOXIC, FIT_CLEAN = 1_500, 4_500  # labelled rows of each class that the fit reads at most
+FIT_TEXT_BYTES = 1 << 16  # bytes of a labelled text, beyond which the fit doesn't use it
+FIT_BYTES = 1 << 25  # bytes of all labelled texts that the fit reads
 MINING = 3  # rounds of training; each adds the clean words that the last one got wrong
 LANDMARKS = 320
 DECAY = 0.6
@@ -128,6 +131,17 @@ class Model:
         self.sieve = np.zeros(1 << 20, dtype=bool)
         self.sieve[self._cell(self.keys)] = True
 
+    SCHEMA = "keys binary, weights binary, bias double, slope double, offset double, constant double"
+
+    def dumps(self) -> pa.RecordBatch:
+        values = (self.keys.tobytes(), self.weights.tobytes(), self.bias, self.slope, self.offset, self.constant)
+        kinds = (pa.binary(), pa.binary(), *[pa.float64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in self.SCHEMA.split(", ")])
+
+    @classmethod
+    def loads(cls, row) -> Model:
+        return cls(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["weights"], np.float64), row["bias"], row["slope"], row["offset"], row["constant"])
+
     @staticmethod
     def _cell(key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
@@ -319,9 +333,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("fit_id"), "fit_id").limit(fit_rows[label])
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(written(chosen, "fit-rows"))  # two small columns, sum(fit_rows) rows at most
-    rows = docs.select(F.col(id_col).cast("bigint").alias("fit_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "fit_id")
-    sample = rows.orderBy(F.xxhash64("fit_id"), "fit_id", F.xxhash64("text")).limit(sum(fit_rows)).collect()
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample], prior)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("fit_id"), text.alias("text")).filter(F.octet_length("text") <= FIT_TEXT_BYTES).join(chosen, "fit_id")
+    sample = rows.orderBy(F.xxhash64("fit_id"), "fit_id", F.xxhash64("text")).limit(sum(fit_rows)).select("text", "toxic")
+    found = written(sample.mapInArrow(_fitted(prior), Model.SCHEMA), "toxicity-model").collect()  # one row: the folded weights
+    return Model.loads(found[0]) if found else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, constant=prior)
+
+
+def _fitted(prior: float):
+    """One task fits on its rows, up to FIT_BYTES of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, room = [], [], FIT_BYTES
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                room -= len(text.encode())
+                if room >= 0:
+                    texts.append(text)
+                    toxic.append(label)
+        yield fit(texts, toxic, prior).dumps()
+
+    return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
