@@ -22,6 +22,14 @@ def _v(e: str) -> str:
     return f"cast({e} AS varchar)"
 
 
+def _whole(n: int) -> str:
+    return f"case when k % 11 = 5 then concat('\"', {_v(f'k % {n}')}, '.00\"') else {_v(f'k % {n}')} end"
+
+
+def _flag(true: str) -> str:
+    return f"case when k % 13 = 4 then '\" true \"' when {true} then 'true' else 'false' end"
+
+
 def _valid_text(agent: str, status: str) -> str:
     common = (
         f"'{{\"status\": \"{status}\", \"findings\": [\"finding one for ', {_v('k')}, "
@@ -30,14 +38,14 @@ def _valid_text(agent: str, status: str) -> str:
     )
     if agent == "identity":
         extra = (
-            f"', \"ssn_discrepancies\": ', {_v('k % 6')}, ', \"address_changes_18mo\": ', {_v('k % 4')}, "
-            "', \"watchlist_match\": ', case when k % 2 = 0 then 'true' else 'false' end, "
+            f"', \"ssn_discrepancies\": ', {_whole(6)}, ', \"address_changes_18mo\": ', {_v('k % 4')}, "
+            f"', \"watchlist_match\": ', {_flag('k % 2 = 0')}, "
             f"', \"id_doc_issues\": [\"doc issue ', {_v('k % 3')}, "
             "'\"], \"recommendation\": \"REQUEST_IN_PERSON_VERIFICATION\"}'"
         )
     elif agent == "property":
         extra = (
-            f"', \"value_change_pct\": ', {_v('k % 50')}, '.5, \"title_transfers_24mo\": ', {_v('k % 5')}, "
+            f"', \"value_change_pct\": ', {_v('k % 50')}, '.5, \"title_transfers_24mo\": ', {_whole(5)}, "
             f"', \"comparable_sale_gap_pct\": ', {_v('k % 30')}, ', \"lien_count\": ', {_v('k % 3')}, "
             "', \"recommendation\": \"ORDER_INDEPENDENT_APPRAISAL\"}'"
         )
@@ -46,11 +54,11 @@ def _valid_text(agent: str, status: str) -> str:
             "', \"pattern_cohort\": ', case when k % 2 = 0 then '\"WIRE_FRAUD_RING\"' else 'null' end, "
             f"', \"cohort_similarity_pct\": ', {_v('k % 100')}, "
             "', \"shared_identifiers\": [\"phone\", \"bank account\"], \"prior_denied_claims\": ', "
-            f"{_v('k % 4')}, ', \"recommendation\": \"ESCALATE_TO_SIU\"}}'"
+            f"{_whole(4)}, ', \"recommendation\": \"ESCALATE_TO_SIU\"}}'"
         )
     else:
         extra = (
-            "', \"sar_required\": ', case when k % 4 = 0 then 'false' else 'true' end, "
+            f"', \"sar_required\": ', {_flag('k % 4 <> 0')}, "
             "', \"alta_practices_triggered\": [\"7\"]', "
             f"case when k % 3 = 0 then concat(', \"state_disclosure_days\": ', {_v('5 + k % 20')}) "
             "when k % 3 = 1 then ', \"state_disclosure_days\": null' else '' end, "
@@ -135,13 +143,15 @@ def field_sql(r: str, name: str, kind: str) -> tuple[str, str, str]:
         val = (f"(case when {t} IN ('BIGINT', 'UBIGINT') then try_cast({s} AS bigint) "
                f"when {t} = 'DOUBLE' and {d} = floor({d}) then cast({d} AS bigint) "
                f"when {t} = 'BOOLEAN' then case when {s} = 'true' then 1 else 0 end "
-               f"when {t} = 'VARCHAR' and regexp_full_match(trim({s}), '{INT_TEXT}') then try_cast(replace(trim({s}), '_', '') AS bigint) end)")
+               f"when {t} = 'VARCHAR' and regexp_full_match(split_part(trim({s}), '.', 1), '{INT_TEXT}') "
+               f"and (not contains({s}, '.') or replace(split_part(trim({s}), '.', 2), '0', '') = '' and trim({s}) not like '%.') "
+               f"then try_cast(replace(split_part(trim({s}), '.', 1), '_', '') AS bigint) end)")
         ok = f"({val} IS NOT NULL)" if kind == "int" else f"({t} = 'NULL' or {val} IS NOT NULL)"
     elif kind == "bool":
         val = (f"(case when {t} = 'BOOLEAN' then {s} = 'true' "
                f"when {num} and {d} IN (0, 1) then {d} = 1 "
-               f"when {t} = 'VARCHAR' and lower(trim({s})) IN {TRUE_WORDS} then true "
-               f"when {t} = 'VARCHAR' and lower(trim({s})) IN {FALSE_WORDS} then false end)")
+               f"when {t} = 'VARCHAR' and lower({s}) IN {TRUE_WORDS} then true "
+               f"when {t} = 'VARCHAR' and lower({s}) IN {FALSE_WORDS} then false end)")
         ok = f"({val} IS NOT NULL)"
     elif kind in ("str", "opt_str"):
         val = f"(case when {t} = 'VARCHAR' then {s} end)"

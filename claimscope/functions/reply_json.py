@@ -73,7 +73,8 @@ def _is_number(t: Column) -> Column:
 _DIGITS = "[0-9]+(?:_[0-9]+)*"
 #: Decimal texts; checked before a cast, whose own grammar is wider ("0.1d", "0x1p-1").
 FLOAT_TEXT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
-INT_TEXT = rf"^[+-]?{_DIGITS}\z"
+#: Whole numbers; zeros may follow a decimal point ("3.0").
+INT_TEXT = rf"^[+-]?{_DIGITS}(?:\.0+)?\z"
 
 
 def _stripped(x: Column) -> Column:
@@ -100,7 +101,7 @@ def _int(x: Column, t: Column | None = None) -> tuple[Column, Column]:
         .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("bigint"))
         .when(t.startswith("DECIMAL") & t.endswith(",0)"), F.try_variant_get(x, "$", "bigint"))
         .when(_is_number(t) & (num == F.floor(num)), num.cast("bigint"))
-        .when((t == "STRING") & s.rlike(INT_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+        .when((t == "STRING") & s.rlike(INT_TEXT), F.regexp_replace(s, r"_|\.0+$", "").try_cast("bigint"))
     )
     return val, val.isNotNull()
 
@@ -108,7 +109,7 @@ def _int(x: Column, t: Column | None = None) -> tuple[Column, Column]:
 def _bool(x: Column, t: Column | None = None) -> tuple[Column, Column]:
     t = jtype(x) if t is None else t
     num = F.try_variant_get(x, "$", "double")
-    w = F.lower(F.trim(F.try_variant_get(x, "$", "string")))
+    w = F.lower(F.try_variant_get(x, "$", "string"))  # blanks around a word are not accepted
     val = (
         F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
         .when(_is_number(t) & num.isin(0.0, 1.0), num == 1.0)

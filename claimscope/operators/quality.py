@@ -60,13 +60,6 @@ def dq_row_count_range(
     return out.withColumn("passed", passed)
 
 
-def dq_required_columns(df: DataFrame, required: Sequence[str] = K.DQ_REQUIRED_GOLD_COLUMNS) -> DataFrame:
-    """One row per required column: (column_name, present)."""
-    present = set(df.columns)
-    rows = [(c, c in present) for c in required]
-    return df.sparkSession.createDataFrame(rows, "column_name string, present boolean")
-
-
 def dq_score_stats(gold: DataFrame) -> DataFrame:
     """min, max, average score, HIGH and MEDIUM counts, total (one pass)."""
     return gold.agg(
@@ -104,12 +97,6 @@ def dq_velocity_max(gold: DataFrame) -> DataFrame:
     )
 
 
-def dq_tables_exist(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    """(table_name, exists) per required catalog table."""
-    rows = [(n, bool(spark.catalog.tableExists(n))) for n in names]
-    return spark.createDataFrame(rows, "table_name string, exists boolean")
-
-
 def _check(check: str, passed: Column, detail: Column) -> Column:
     return F.struct(F.lit(check).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"),
                     detail.alias("detail"))

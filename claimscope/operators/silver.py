@@ -21,11 +21,17 @@ def claim_velocity(
     days: int = K.VELOCITY_WINDOW_DAYS,
     strategy: str = "daily",
     out: str = VELOCITY_COLUMN,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Claims of the same claimant filed in the ``days`` days ending at each
     claim's date, same-day claims included (``count(claim_id)`` over a RANGE
     frame of ``days`` days).
 
+    ``history`` (claim_id, claimant_id, filed_date) holds the claims that count: by
+    default ``claims`` themselves.  Where ``claims`` carry joined attributes, the
+    claims before those joins are the same history at the cost of three columns;
+    its claimant days must cover those of ``claims`` (others count 0).
+
     strategy="daily" (default, skew-safe): count claims per (claimant, day)
     with map-side partial aggregation, run the RANGE window over those daily
     counts -- at most one row per claimant and calendar day, so even a claimant
@@ -37,40 +43,36 @@ def claim_velocity(
     when no claimant is hot, but a hot claimant is a single task.
     """
     order = F.unix_date("filed_date")
-    if strategy == "window":
+    if strategy == "window" and history is None:
         w = Window.partitionBy("claimant_id").orderBy(order).rangeBetween(-days, 0)
         return claims.withColumn(out, F.count("claim_id").over(w))
     if strategy != "daily":
         raise ValueError(f"unknown velocity strategy {strategy!r}")
-    velocity = daily_velocity(claims, days=days, out=out)
+    velocity = daily_velocity(claims if history is None else cast_filed_date(history), days=days, out=out)
     cond = claims["claimant_id"].eqNullSafe(velocity["_v_claimant"]) & claims["filed_date"].eqNullSafe(
         velocity["_v_date"]
     )
-    return claims.join(velocity, cond, "left").drop("_v_claimant", "_v_date")
+    joined = claims.join(velocity, cond, "left").drop("_v_claimant", "_v_date")
+    return joined if history is None else joined.withColumn(out, F.coalesce(out, F.lit(0).cast("bigint")))
 
 
 def daily_velocity(
     claims: DataFrame,
     days: int = K.VELOCITY_WINDOW_DAYS,
     out: str = VELOCITY_COLUMN,
-    extra_keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The velocity per (claimant, day): ``(_v_claimant, _v_date, out, *extra_keys)``.
+    """The velocity per (claimant, day): ``(_v_claimant, _v_date, out)``.
 
     Claims are counted per (claimant, day) with map-side partial aggregation
     and the RANGE window runs over those daily counts -- at most one row per
-    claimant and calendar day.  ``extra_keys`` are attributes determined by the
-    claimant (e.g. a source key) carried along for later joins.
+    claimant and calendar day.
     """
-    daily = claims.groupBy("claimant_id", "filed_date").agg(
-        F.count("claim_id").alias("_n"), *[F.first(k).alias(k) for k in extra_keys]
-    )
+    daily = claims.groupBy("claimant_id", "filed_date").agg(F.count("claim_id").alias("_n"))
     w = Window.partitionBy("claimant_id").orderBy(F.unix_date("filed_date")).rangeBetween(-days, 0)
     return daily.select(
         F.col("claimant_id").alias("_v_claimant"),
         F.col("filed_date").alias("_v_date"),
         F.sum("_n").over(w).cast("bigint").alias(out),
-        *extra_keys,
     )
 
 
@@ -100,17 +102,18 @@ def silver_enrich(
     days: int = K.VELOCITY_WINDOW_DAYS,
     velocity_mode: str = "trailing",
     strategy: str = "daily",
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Bronze claims -> silver: bronze columns + claim_velocity_24mo,
     is_high_value, property_spike, days_since_filed, recency_bucket.
 
     ``as_of`` pins the reference date (default: current date);
     ``velocity_mode`` is "trailing" (the documented 720-day window) or
-    "as_written" (total claims per claimant).
+    "as_written" (total claims per claimant); ``history`` as in :func:`claim_velocity`.
     """
     claims = cast_filed_date(claims)
     if velocity_mode == "trailing":
-        out = claim_velocity(claims, days=days, strategy=strategy)
+        out = claim_velocity(claims, days=days, strategy=strategy, history=history)
     elif velocity_mode == "as_written":
         out = claim_velocity_as_written(claims)
     else:

@@ -3,6 +3,7 @@ together with its independent DuckDB oracle SQL (None = rows-only check)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -49,8 +50,8 @@ _SILVER_COLS = (
 
 @register("silver_enrich", O.silver_sql("SELECT * EXCLUDE (k) FROM silver"))
 def q_silver_enrich(spark, sf):
-    # the public function on bronze, all columns
-    return S.silver_enrich(FX.bronze_claims(spark, sf), as_of=K.FIXTURE_AS_OF)
+    # the public function on bronze, all columns; velocity counts the claims before the dimension joins
+    return S.silver_enrich(FX.bronze_claims(spark, sf), as_of=K.FIXTURE_AS_OF, history=FX.claim_history(spark, sf))
 
 
 @register("silver_layer", O.silver_sql(f"SELECT {_SILVER_COLS} FROM silver"))
@@ -118,6 +119,13 @@ from claimscope.operators import bronze as B  # noqa: E402
 from claimscope.operators import measures as M  # noqa: E402
 from claimscope.operators import quality as Q  # noqa: E402
 from claimscope.sources.tables import read_table, scan_table  # noqa: E402
+from claimscope.functions.choice import weighted_choice  # noqa: E402
+from claimscope.plans import layout as LY  # noqa: E402
+from claimscope.plans import refresh as RF  # noqa: E402
+from claimscope.session import scratch_path  # noqa: E402
+from claimscope.sources import landing as LD  # noqa: E402
+from claimscope.sources import sinks as SK  # noqa: E402
+from claimscope.streaming import scoring as ST  # noqa: E402
 
 
 @register(
@@ -797,6 +805,30 @@ def q_claim_lookup(spark, sf):
     return QU.claim_lookup(g, top)
 
 
+#: The claim of order 1, whatever its year; literal ids are what a look-up gets.
+_CLAIM_IDS = tuple(f"CLM-{y}-7001" for y in range(1992, 2003))
+
+
+def _point(fn):
+    """``fn`` of each literal id over a gold table written for look-ups (bloom filters on claim_id)."""
+
+    def q(spark, sf):
+        path = scratch_path(spark, f"q-lookup-{uuid.uuid4().hex[:10]}")
+        SK.sink_overwrite(LY.layout_cluster(L.gold(spark, sf)), path, lookup=("claim_id",))
+        gold = scan_table(spark, "gold", path)
+        out = fn(gold, _CLAIM_IDS[0])
+        for claim_id in _CLAIM_IDS[1:]:
+            out = out.unionByName(fn(gold, claim_id))
+        return out
+
+    return q
+
+
+register("claim_lookup_by_id", O.gold_sql(f"SELECT {_QCOLS} FROM gold WHERE claim_id IN {_CLAIM_IDS}"))(_point(QU.claim_lookup))
+register("v_claim_card_by_id", O.gold_sql("SELECT claim_id, claim_amount, fraud_risk_score, risk_tier, primary_alert, claim_status, "
+         f"assigned_investigator, filed_date FROM gold WHERE claim_id IN {_CLAIM_IDS}"))(_point(M.v_claim_card))
+
+
 _VIOL = (
     "concat_ws('|', "
     "case when NOT coalesce(regexp_full_match(claim_id, 'CLM-[0-9]{4}-[0-9]+'), false) then 'claim_id_pattern' end, "
@@ -1188,16 +1220,6 @@ def q_v_action_counts(spark, sf):
 # 2.1 weighted categories, landing reader, sinks, layout; refresh; streaming
 # ---------------------------------------------------------------------------
 
-import uuid  # noqa: E402
-
-from claimscope.functions.choice import weighted_choice  # noqa: E402
-from claimscope.plans import layout as LY  # noqa: E402
-from claimscope.plans import refresh as RF  # noqa: E402
-from claimscope.session import scratch_path  # noqa: E402
-from claimscope.sources import landing as LD  # noqa: E402
-from claimscope.sources import sinks as SK  # noqa: E402
-from claimscope.streaming import scoring as ST  # noqa: E402
-
 
 def _scratch(spark, name):
     return scratch_path(spark, f"q-{name}-{uuid.uuid4().hex[:10]}")
@@ -1239,6 +1261,44 @@ def q_src_landing_csv(spark, sf):
     return LD.read_landing(spark, base, orders.schema, fmt="csv", keep_corrupt=False)
 
 
+def _bad_line(k):
+    """A line of the wrong number and types of values, one for every seventh order."""
+    return F.concat(F.lit("CLM-bad-"), k.cast("string"), F.lit(",notabool,xx"))
+
+
+@register(
+    "src_landing_rejects",
+    O.claims_sql(
+        "SELECT 'good' AS outcome, * EXCLUDE (k), NULL AS record FROM claims UNION ALL SELECT 'malformed', "
+        + ", ".join(["NULL"] * len(LD.BRONZE_CLAIMS_SCHEMA))
+        + ", 'CLM-bad-' || k || ',notabool,xx' FROM claims WHERE k % 7 = 0"
+    ),
+)
+def q_src_landing_rejects(spark, sf):
+    # landing files with two orders of columns, and lines that are no claims: each line is a claim or a reject
+    base = _scratch(spark, "landing-rejects")
+    claims = FX.bronze_claims(spark, sf)
+    half = F.pmod(F.xxhash64("claim_id"), F.lit(2)) == 0
+    for name, rows in (("a", claims.filter(half)), ("b", claims.filter(~half).select(*reversed(claims.columns)))):
+        rows.write.option("header", "true").csv(f"{base}/{name}")
+    orders = read_table(spark, sf, "orders").filter("o_orderkey % 7 = 0")
+    header = spark.range(1).select(F.lit(",".join(claims.columns)).alias("value"))
+    bad = orders.select(_bad_line(F.col("o_orderkey")).alias("value"))
+    header.unionByName(bad).coalesce(1).write.text(f"{base}/c")  # one file: its header stands among its lines
+    landed = LD.split_landing(spark, f"{base}/*", LD.BRONZE_CLAIMS_SCHEMA, fmt="csv")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in LD.BRONZE_CLAIMS_SCHEMA]
+    rejects = landed.rejects.select(F.col("reason").alias("outcome"), *nulls, "record")
+    return landed.good.select(F.lit("good").alias("outcome"), "*", F.lit(None).cast("string").alias("record")).unionByName(rejects)
+
+
+@register("scan_table_named", "SELECT * FROM customer")
+def q_scan_table_named(spark, sf):
+    # a catalog table, bucketed by its key, written and read by name
+    name, path = f"customer_{uuid.uuid4().hex[:10]}", _scratch(spark, "named")
+    SK.sink_overwrite(read_table(spark, sf, "customer"), path, name, bucket_by=(4, "c_custkey"))
+    return scan_table(spark, name)
+
+
 @register("sink_overwrite", O.claims_sql("SELECT * EXCLUDE (k) FROM claims"))
 def q_sink_overwrite(spark, sf):
     path = _scratch(spark, "overwrite")
@@ -1260,6 +1320,34 @@ def q_sink_append_evolving(spark, sf):
     return SK.read_evolving(spark, path)
 
 
+@register(
+    "sink_append_rerun",
+    OR.audit_sql("SELECT run, count(*) AS audit_rows, count(note) AS noted FROM (SELECT 'r1' AS run, NULL AS note FROM audit "
+                 "UNION ALL SELECT 'r2', 'again' FROM audit) GROUP BY run"),
+)
+def q_sink_append_rerun(spark, sf):
+    # run r1 twice (a retry), and run r2, which is repeated with a new column: each run's rows are there once
+    path = _scratch(spark, "append-rerun")
+    audit = _investigation(spark, sf).audit
+    for run_id, rows in (("r1", audit), ("r2", audit), ("r1", audit), ("r2", audit.withColumn("note", F.lit("again")))):
+        SK.sink_append_evolving(rows, path, run_id=run_id)
+    return SK.read_evolving(spark, path).groupBy("run").agg(F.count(F.lit(1)).alias("audit_rows"), F.count("note").alias("noted"))
+
+
+@register(
+    "sink_append_table",
+    OR.audit_sql("SELECT claim_id, recommended_action, run, note FROM (SELECT *, 'r1' AS run, NULL AS note FROM audit "
+                 "UNION ALL SELECT *, 'r2', 'again' FROM audit)"),
+)
+def q_sink_append_table(spark, sf):
+    # the same in a catalog table, bucketed by claim_id and partitioned by run
+    name, path = f"audit_{uuid.uuid4().hex[:10]}", _scratch(spark, "append-table")
+    audit = _investigation(spark, sf).audit
+    for run_id, rows in (("r1", audit), ("r1", audit), ("r2", audit.withColumn("note", F.lit("again")))):
+        SK.sink_append_table(rows, name, run_id, bucket_by=(4, "claim_id"), path=path)
+    return scan_table(spark, name).select("claim_id", "recommended_action", "run", "note")
+
+
 @register(
     "sink_report_json",
     OR.audit_sql("SELECT claim_id, recommended_action, composite_fraud_probability, identity_status, "

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from claimscope import constants as K
-from claimscope.session import ensure_checkpoint_dir
 from claimscope.operators import decide as D
 from claimscope.operators import queue as Qu
 from claimscope.operators import replies as R
 from claimscope.operators import report as Rp
+from claimscope.sources.sinks import stored
 
 
 def unbounded(df: DataFrame) -> DataFrame:
@@ -50,22 +50,23 @@ def investigate(
     audit_log: DataFrame | None = None,
     investigated_at=None,
     model_version: str = K.MODEL_VERSION,
-    materialize_queue: bool = True,
+    store: bool = True,
 ) -> Investigation:
     """Investigate every pending claim (nothing is collected).
 
     The valid queue is used twice (to select the replies and to receive the
     parsed results) and the decisions three times (report, audit rows,
-    quarantine), so by default both are checkpointed into the shared
-    checkpoint folder: computed one time each, and a lost executor recomputes
-    from the checkpoint instead of from the source tables.
+    quarantine), so by default both are written to the shared checkpoint
+    folder and read back: computed one time each, and a lost executor recomputes
+    from there instead of from the source tables.  The written queue has a
+    measured size: the planner broadcasts its ids to the scan of the replies
+    when they are few, and else may send a bloom filter of them there.
     """
     queue = Qu.pending_queue(gold, min_score, min_amount, audit=audit_log, ordered=False)
     validated = Qu.claim_validate(queue)
     valid = Qu.valid_claims(validated)
-    if materialize_queue:
-        ensure_checkpoint_dir(valid.sparkSession)
-        valid = valid.checkpoint(eager=True)
+    if store:
+        valid = stored(valid, "queue")
     # replies of the queued claims only: a semi join can only build its right
     # side (the queue ids), so AQE may broadcast the queue when it is small,
     # and the replies table is never broadcast
@@ -73,11 +74,11 @@ def investigate(
     texts = R.reply_texts(wanted)
     parsed = R.parse_texts(valid.join(texts, "claim_id", "left"))
     decided = D.synthesis_parse(D.decide_fallback(parsed))
-    if materialize_queue:
+    if store:
         # queue-sized and read by the report, the audit rows and the
-        # quarantine; downstream joins then plan against a materialised
-        # relation instead of the large parsing expressions
-        decided = decided.checkpoint(eager=True)
+        # quarantine; downstream joins then plan against a table
+        # instead of the large parsing expressions
+        decided = stored(decided, "decided")
     report = Rp.investigation_report(decided, investigated_at, model_version)
     return Investigation(
         queue=queue,

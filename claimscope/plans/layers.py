@@ -11,33 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope import constants as K
 from claimscope.operators.gold import gold_select, score_claims
-from claimscope.operators.silver import cast_filed_date, claim_velocity, claim_velocity_as_written, silver_columns
+from claimscope.operators.silver import silver_enrich
 from claimscope.sources import fixtures
-from claimscope.sources.fixtures import CLAIM_COLUMNS
 
 def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.bronze_claims(spark, sf_dir)
 
 
 def silver(spark: SparkSession, sf_dir: str, velocity_mode: str = "trailing", strategy: str = "daily") -> DataFrame:
-    """Silver claims, equal to ``silver_enrich(bronze_claims)``.
-
-    Plan shape (what shuffles the claims at scale, where nothing broadcasts):
-    the claim-only columns come from orders + the property key; the velocity
-    is computed on them before any dimension join (dimension joins never change
-    the number of claims), and the claimant attributes are joined onto the
-    small per-(claimant, day) velocity table rather than onto every claim, so
-    one join back on (claimant, day) delivers both.  The claims are shuffled
-    three times (order key, property key, claimant+day) instead of four.
-    """
-
-    base = cast_filed_date(fixtures.claim_base(spark, sf_dir))
-    if velocity_mode == "trailing" and strategy == "daily":
-        full = fixtures.attach_dimensions_via_velocity(spark, sf_dir, base)
-    else:
-        with_v = claim_velocity(base, strategy=strategy) if velocity_mode == "trailing" else claim_velocity_as_written(base)
-        full = fixtures.attach_dimensions(spark, sf_dir, with_v)
-    return full.select(*CLAIM_COLUMNS, "claim_velocity_24mo").withColumns(silver_columns(K.FIXTURE_AS_OF))
+    """``silver_enrich`` of the bronze claims.  The velocity counts the claims before the
+    dimension joins (which never change their number), so bronze is evaluated once."""
+    history = fixtures.claim_history(spark, sf_dir) if velocity_mode == "trailing" and strategy == "daily" else None
+    return silver_enrich(bronze_claims(spark, sf_dir), K.FIXTURE_AS_OF, velocity_mode=velocity_mode, strategy=strategy, history=history)
 
 
 def scored(

@@ -161,27 +161,10 @@ def attach_dimensions(spark: SparkSession, sf_dir: str, base: DataFrame) -> Data
     return base.join(pr, base.pk == pr.p_partkey, "left").join(cl, base.o_custkey == cl.c_custkey, "left")
 
 
-def attach_dimensions_via_velocity(
-    spark: SparkSession, sf_dir: str, base: DataFrame, days: int = VELOCITY_WINDOW_DAYS
-) -> DataFrame:
-    """``base`` claims with the trailing velocity and the claimant/property
-    attributes, with the claimant attributes travelling on the velocity table.
-
-    Daily counts per (claimant, day) -> RANGE window -> left join of the
-    claimant attributes (one row per key) -> one null-safe join back to the
-    claims on (claimant, day) -> property attributes on the part key.
-    """
-    from claimscope.operators.silver import daily_velocity
-
-    cl = claimants_keyed(read_table(spark, sf_dir, "customer")).select(
-        "c_custkey", "state", "id_verified", "account_age_days"
-    )
-    vel = daily_velocity(base, days=days, extra_keys=("o_custkey",))
-    vel = vel.join(cl, vel["o_custkey"] == cl["c_custkey"], "left").drop("c_custkey", "o_custkey")
-    cond = base["claimant_id"].eqNullSafe(vel["_v_claimant"]) & base["filed_date"].eqNullSafe(vel["_v_date"])
-    with_v = base.join(vel, cond, "left").drop("_v_claimant", "_v_date")
-    pr = properties_keyed(read_table(spark, sf_dir, "part")).select("p_partkey", "value_pct_change", "has_lien")
-    return with_v.join(pr, with_v.pk == pr.p_partkey, "left")
+def claim_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(claim_id, claimant_id, filed_date) of every claim, from the orders alone."""
+    orders = read_table(spark, sf_dir, "orders").withColumn("pk", F.lit(None).cast("bigint"))
+    return claim_columns(orders).select("claim_id", "claimant_id", "filed_date")
 
 
 def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +183,16 @@ def _q(text: Column | str) -> Column:
     return F.concat(F.lit('"'), t, F.lit('"'))
 
 
+def _whole(k: Column, n: int) -> Column:
+    """``k % n`` as a number, now and then as a text of it with decimal zeros (accepted)."""
+    return F.when(k % 11 == 5, F.concat(F.lit('"'), _str(k % n), F.lit('.00"'))).otherwise(_str(k % n))
+
+
+def _flag(k: Column, value: Column) -> Column:
+    """A boolean, now and then a text with blanks around the word (refused)."""
+    return F.when(k % 13 == 4, F.lit('" true "')).when(value, F.lit("true")).otherwise(F.lit("false"))
+
+
 def _valid_reply(agent: str, k: Column, status: Column) -> Column:
     """Text of a well-formed reply of ``agent`` for order key ``k``."""
     delta = F.concat(F.lit("0."), F.lpad(_str(F.lit(5) + (k % 7) * 5), 2, "0"))
@@ -213,16 +206,16 @@ def _valid_reply(agent: str, k: Column, status: Column) -> Column:
     ]
     if agent == "identity":
         extra = [
-            F.lit(', "ssn_discrepancies": '), _str(k % 6),
+            F.lit(', "ssn_discrepancies": '), _whole(k, 6),
             F.lit(', "address_changes_18mo": '), _str(k % 4),
-            F.lit(', "watchlist_match": '), F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
+            F.lit(', "watchlist_match": '), _flag(k, k % 2 == 0),
             F.lit(', "id_doc_issues": ["doc issue '), _str(k % 3), F.lit('"]'),
             F.lit(', "recommendation": "REQUEST_IN_PERSON_VERIFICATION"}'),
         ]
     elif agent == "property":
         extra = [
             F.lit(', "value_change_pct": '), _str(k % 50), F.lit(".5"),
-            F.lit(', "title_transfers_24mo": '), _str(k % 5),
+            F.lit(', "title_transfers_24mo": '), _whole(k, 5),
             F.lit(', "comparable_sale_gap_pct": '), _str(k % 30),
             F.lit(', "lien_count": '), _str(k % 3),
             F.lit(', "recommendation": "ORDER_INDEPENDENT_APPRAISAL"}'),
@@ -233,7 +226,7 @@ def _valid_reply(agent: str, k: Column, status: Column) -> Column:
             F.when(k % 2 == 0, F.lit('"WIRE_FRAUD_RING"')).otherwise(F.lit("null")),
             F.lit(', "cohort_similarity_pct": '), _str(k % 100),
             F.lit(', "shared_identifiers": ["phone", "bank account"]'),
-            F.lit(', "prior_denied_claims": '), _str(k % 4),
+            F.lit(', "prior_denied_claims": '), _whole(k, 4),
             F.lit(', "recommendation": "ESCALATE_TO_SIU"}'),
         ]
     else:  # compliance: disclosure days given, explicit null, or missing
@@ -243,7 +236,7 @@ def _valid_reply(agent: str, k: Column, status: Column) -> Column:
             .otherwise(F.lit(""))
         )
         extra = [
-            F.lit(', "sar_required": '), F.when(k % 4 == 0, F.lit("false")).otherwise(F.lit("true")),
+            F.lit(', "sar_required": '), _flag(k, k % 4 != 0),
             F.lit(', "alta_practices_triggered": ["7"]'),
             days,
             F.lit(', "regulatory_notes": ["notify within window"]'),
