@@ -1,20 +1,25 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two words counts the (possibly gapped) three-character subsequences that they
-share, each weighted by DECAY per skipped character, word edges included, and is normalised; an
-inserted or exchanged character leaves most of them alike.  Landmarks span a Nystroem feature
-space; the machine is trained there on the words of labelled sentences (a toxic sentence is a
-bag with a toxic word in it somewhere, a clean one a bag without).  As the machine is linear in
-the kernel, all landmarks fold into one weight per subsequence, so scoring a word costs a look-up
-per subsequence.  A document's score is the calibrated margin of its worst word.
-
-Words are runs without blanks, lower-cased, without punctuation; runs of three or more single
-characters ("i d i o t") are joined into a word as well, and words over LONG characters are read
-in overlapping windows, so whole texts of any length are scored.
+A sentence is a bag of windows: its words, and its pairs of adjacent words with the border between
+them.  The kernel of two windows counts the (possibly gapped) three-character subsequences that they
+share, borders included, each weighted by DECAY per skipped character, over the norms of the windows'
+occurrences; an inserted or exchanged character leaves most of them alike, and a pair holds those that
+cross its border.  Landmarks span a Nystroem feature space; the machine is trained there on labelled
+sentences as bags: a sentence of a toxic document stands for its worst window, once the machine finds
+one in it, a sentence of a clean document for all of its windows, the worst of which are mined.
+
+As the machine is linear in the kernel, all landmarks fold into one weight per subsequence.  A window's
+sum is that of its words and of the six characters about the border, so each distinct word and border
+of a chunk is summed once.  A document's score is the calibrated margin of its worst window.
+
+Words are runs without blanks, lower-cased, without punctuation; a sentence ends where a word ends with
+one of .!?; runs of three or more single characters ("i d i o t") are joined into a word as well, and
+words over LONG characters are read in overlapping windows, so whole texts of any length are scored.
 
 The fit uses at most FIT_TOXIC and FIT_CLEAN labelled rows (those of the least hash of the id) of at
 most FIT_TEXT_BYTES each and FIT_BYTES together, in one task on an executor; only the folded weights
-reach the driver.  Everything else is one pass over all documents without a shuffle.
+reach the driver.  FitSize bounds what of their windows takes part.  Everything else is one pass over
+all documents without a shuffle.
 
 Edge cases: null and empty texts have no word and get the lowest score; labels without a
 document, repeated or null labels are left out of the fit; without labels of both classes every
@@ -40,23 +45,36 @@ from claimscope.llm.common import chunks, table, written
 FIT_TOXIC, FIT_CLEAN = 1_500, 4_500  # labelled rows of each class that the fit reads at most
 FIT_TEXT_BYTES = 1 << 16  # bytes of a labelled text, beyond which the fit doesn't use it
 FIT_BYTES = 1 << 25  # bytes of all labelled texts that the fit reads
-MINING = 3  # rounds of training; each adds the clean words that the last one got wrong
-LANDMARKS = 320
 DECAY = 0.6
 SPAN = 5  # characters that one subsequence may span
 BLOCK = 8_000  # words whose subsequences are held at a time
 LONG = 32  # characters of a window of a longer word
 FLOOR = -1.0  # margins below this count as this
 THRESHOLD = 0.3
+BORDER = "\x02"  # before, between and after the words of a window
+REACH = SPAN - 2  # characters on either side of a border that a subsequence over it may reach
 _STEP_BYTES = 4 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+@dataclass(frozen=True)
+class FitSize:
+    """Bounds of the fit, beside its labelled rows: they don't depend on the corpus."""
+
+    landmarks: int = 320
+    common: int = 4_000  # clean words and pairs that most documents hold
+    pool: int = 20_000  # clean words among which those most like the toxic windows are sought
+    hard: int = 4_000  # of these, as many
+    mined: int = 3_000  # clean windows that a round got wrong, for the next one
+    rounds: int = 4
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, key, weight) of every subsequence occurrence; the key packs three code points."""
+    """(word, key, weight) of every subsequence occurrence of the bordered windows; the key packs three
+    code points."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-    code = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    code = np.frombuffer("".join([f"{BORDER}{w}{BORDER}" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lengths)
     out = []
     for last in range(2, SPAN):
@@ -76,18 +94,23 @@ def summed(owner: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return owner[at], key[at], np.add.reduceat(weight, at) if len(at) else weight
 
 
+def _norms(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Norm of each window's occurrences (a scaling by length: the kernel stays positive)."""
+    return np.sqrt(np.maximum(np.bincount(owner, weight**2, n), 1e-12))
+
+
 def kernel_matrix(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of every word with every landmark."""
-    lo, lk, lw = summed(*subsequences(landmarks))
-    lw = lw / np.sqrt(np.bincount(lo, lw**2, len(landmarks)))[lo]
+    """Scaled kernel of every window with every landmark."""
+    lo, lk, lw = subsequences(landmarks)
+    lw = lw / _norms(lo, lw, len(landmarks))[lo]
     names, col = np.unique(lk, return_inverse=True)
     dense = np.zeros((len(names), len(landmarks)), dtype=np.float64)
-    dense[col, lo] = lw
+    np.add.at(dense, (col, lo), lw)
     out = np.zeros((len(words), len(landmarks)))
     for first in range(0, len(words), BLOCK):
         part = words[first : first + BLOCK]
         o, k, w = summed(*subsequences(part))
-        w = w / np.sqrt(np.bincount(o, w**2, len(part)))[o]
+        w = w / _norms(*subsequences(part)[::2], len(part))[o]
         at = np.minimum(np.searchsorted(names, k), len(names) - 1)
         hit = names[at] == k
         o, at, w = o[hit], at[hit], w[hit]
@@ -146,28 +169,47 @@ class Model:
     def _cell(key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        """Margin of each word, FLOOR at least."""
-        if not len(self.keys):
-            return np.full(len(words), FLOOR)
-        parts = [self._margins(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
-        return np.concatenate(parts) if parts else np.zeros(0)
-
-    def _margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), FLOOR)
-        owner, key, weight = subsequences(words)
+    def _weighed(self, key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The machine's weight of each occurrence."""
+        out = np.zeros(len(key))
         maybe = np.flatnonzero(self.sieve[self._cell(key)])
-        at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
-        value = np.where(self.keys[at] == key[maybe], self.weights[at], 0.0) * weight[maybe]
-        dot = np.bincount(owner[maybe], value, len(words))
-        # repeats inside a word only enlarge its norm, so this bounds a positive sum from above
-        least_norm = np.sqrt(np.bincount(owner, weight**2, len(words)))
-        near = np.flatnonzero(np.maximum(dot, 0) / np.maximum(least_norm, 1e-12) + self.bias > FLOOR)
-        if len(near):
-            o, _, w = summed(*subsequences([words[i] for i in near.tolist()]))
-            out[near] = np.maximum(FLOOR, dot[near] / np.sqrt(np.bincount(o, w**2, len(near))) + self.bias)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[at] == key[maybe], self.weights[at], 0.0) * weight[maybe]
         return out
 
+    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Machine's sum and squared norm of each window."""
+        dot, square = np.zeros(len(words)), np.zeros(len(words))
+        for i in range(0, len(words), BLOCK):
+            n = len(words[i : i + BLOCK])
+            owner, key, weight = subsequences(words[i : i + BLOCK])
+            dot[i : i + n] = np.bincount(owner, self._weighed(key, weight), n)
+            square[i : i + n] = np.bincount(owner, weight**2, n)
+        return dot, square
+
+    def border_sums(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the subsequences that cross a border, given the REACH code points on either
+        side of it (rows; 0: none)."""
+        code = np.insert(around, REACH, ord(BORDER), axis=1).astype(np.uint64)
+        dot, square = np.zeros(len(code)), np.zeros(len(code))
+        for a in range(REACH):
+            for c in range(REACH + 1, min(a + SPAN, code.shape[1])):
+                there = np.flatnonzero((code[:, a] > 0) & (code[:, c] > 0))
+                for b in range(a + 1, c):
+                    key = code[there, a] | (code[there, b] << np.uint64(21)) | (code[there, c] << np.uint64(42))
+                    weight = np.full(len(there), DECAY ** (c - a - 2))
+                    dot[there] += self._weighed(key, weight)
+                    square[there] += weight**2
+        return dot, square
+
+    def margin(self, dot: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """FLOOR at least."""
+        return np.maximum(FLOOR, dot / np.sqrt(np.maximum(square, 1e-12)) + self.bias) if len(self.keys) else np.full(len(dot), FLOOR)
+
+    def margins(self, words: list[str]) -> np.ndarray:
+        return self.margin(*self.sums(words))
+
     def probability(self, worst: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(worst), self.constant)
@@ -184,45 +226,146 @@ def windows(word: str) -> list[str]:
     return [word[i : i + LONG] for i in range(0, len(word) - LONG // 2, LONG // 2)]
 
 
-def worst_margins(model: Model, texts: pa.Array) -> np.ndarray:
-    """Margin of the worst word of each text; each distinct word is scored once."""
+@dataclass
+class Scan:
+    """The words of some texts, by their distinct pieces, and the margins of all windows."""
+
+    names: list[str]  # plain form of each distinct piece
+    which: np.ndarray  # piece of each word that has one, text after text
+    owner: np.ndarray  # text of each word
+    sentence: np.ndarray  # number of each word's sentence, over all texts
+    pair: np.ndarray  # words that the next word of the same sentence follows
+    spelled: list[tuple[int, int, str]]  # (text, sentence, window) of joined single characters
+
+
+def scan(texts: pa.Array) -> Scan:
     split = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
-    pieces, bounds = split.values, split.offsets.to_numpy()
-    coded = pc.dictionary_encode(pieces)
-    which = coded.indices.to_numpy()
-    names = [plain(p) for p in coded.dictionary.to_pylist()]
-    words: list[str] = []
-    source: list[int] = []
-    for i, n in enumerate(names):
+    bounds = split.offsets.to_numpy()
+    coded = pc.dictionary_encode(split.values)
+    pieces = coded.dictionary.to_pylist()
+    names = [plain(p) for p in pieces]
+    which = coded.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    stops = np.fromiter((p[-1:] in ".!?" for p in pieces), dtype=bool, count=len(pieces))
+    said = np.fromiter(map(bool, names), dtype=bool, count=len(names))
+    if len(which):
+        new = np.r_[True, stops[which[:-1]] | (owner[1:] != owner[:-1])]
+        sentence, keep = np.cumsum(new) - 1, said[which]
+        which, owner, sentence = which[keep], owner[keep], sentence[keep]
+    else:
+        sentence = which
+    pair = np.flatnonzero(sentence[1:] == sentence[:-1])
+    single = np.fromiter((len(n) == 1 for n in names), dtype=bool, count=len(names))[which] if len(which) else np.zeros(0, bool)
+    spelled = []
+    if single.any():  # runs of three or more single characters within one text
+        begins = np.flatnonzero(single & ~np.r_[False, single[:-1] & (owner[1:] == owner[:-1])])
+        ends = np.flatnonzero(single & ~np.r_[single[1:] & (owner[1:] == owner[:-1]), False]) + 1
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            if b - a >= 3:
+                spelled += [(int(owner[a]), int(sentence[a]), w) for w in windows("".join([names[i] for i in which[a:b]]))]
+    return Scan(names, which, owner, sentence, pair, spelled)
+
+
+def _code_points(texts: list[str], width: int) -> np.ndarray:
+    """Code points of short texts, one row each, 0 behind their ends."""
+    raw = "".join([t.ljust(width, "\0") for t in texts]).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(raw, np.uint32).reshape(len(texts), width)
+
+
+def window_margins(model: Model, s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margins of all words, pairs and spelled-out words of a scan."""
+    words, source = [], []
+    for i, n in enumerate(s.names):
         if n:
             for w in windows(n):
                 words.append(w)
                 source.append(i)
-    by_name = np.full(len(names) + 1, FLOOR)
-    np.maximum.at(by_name, np.array(source, dtype=np.int64), model.margins(words))
-    value = by_name[which]
+    source = np.array(source, dtype=np.int64)
+    dot, square = model.sums(words)
+    by_name = np.full(len(s.names) + 1, FLOOR)
+    np.maximum.at(by_name, source, model.margin(dot, square))
+    # a pair: both words (of a long one all of its windows' sums), and the border between them
+    name_dot = np.bincount(source, dot, len(s.names)) if len(source) else np.zeros(len(s.names))
+    name_square = np.bincount(source, square, len(s.names)) if len(source) else np.zeros(len(s.names))
+    pair_margin = np.zeros(0)
+    if len(s.pair):
+        heads = [(n + BORDER)[:REACH] for n in s.names]
+        tails = [(BORDER + n)[-REACH:] for n in s.names]
+        head_of, head = _distinct(heads)
+        tail_of, tail = _distinct(tails)
+        left, right = s.which[s.pair], s.which[s.pair + 1]
+        borders, at = np.unique(tail_of[left] * len(head) + head_of[right], return_inverse=True)
+        ends = np.fliplr(_code_points([t[::-1] for t in tail], REACH))[borders // len(head)]  # next to the border last
+        cross, cross_square = model.border_sums(np.c_[ends, _code_points(head, REACH)[borders % len(head)]])
+        pair_margin = model.margin(name_dot[left] + name_dot[right] + cross[at], name_square[left] + name_square[right] + cross_square[at])
+    return by_name[s.which], pair_margin, model.margins([w for _, _, w in s.spelled])
+
+
+def _distinct(texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    places = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    return np.fromiter((places[t] for t in texts), dtype=np.int64, count=len(texts)), list(places)
+
+
+def worst_margins(model: Model, texts: pa.Array) -> np.ndarray:
+    """Margin of the worst window of each text."""
+    s = scan(texts)
     out = np.full(len(texts), FLOOR)
-    some = np.diff(bounds) > 0
-    if len(value):
-        out[some] = np.maximum.reduceat(value, bounds[:-1][some])
-    # spelled-out words: runs of three or more single characters within one text
-    single = np.fromiter((len(n) == 1 for n in names), dtype=bool, count=len(names))[which] if len(which) else np.zeros(0, bool)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    if single.any():
-        begins = np.flatnonzero(single & ~np.r_[False, single[:-1] & (owner[1:] == owner[:-1])])
-        ends = np.flatnonzero(single & ~np.r_[single[1:] & (owner[1:] == owner[:-1]), False]) + 1
-        runs = [(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b - a >= 3]
-        spelled = [(owner[a], w) for a, b in runs for w in windows("".join([names[i] for i in which[a:b]]))]
-        if spelled:
-            np.maximum.at(out, np.array([o for o, _ in spelled]), model.margins([w for _, w in spelled]))
+    single, pair, spelled = window_margins(model, s)
+    for owner, value in ((s.owner, single), (s.owner[s.pair], pair)):
+        begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        if len(begins):
+            out[owner[begins]] = np.maximum(out[owner[begins]], np.maximum.reduceat(value, begins))
+    if s.spelled:
+        np.maximum.at(out, np.array([t for t, _, _ in s.spelled]), spelled)
     return out
 
 
-def _words(sentence: str) -> set[str]:
-    return {w for p in sentence.split() for w in windows(plain(p)) if w}
+def _shown(s: Scan, k: int) -> str:
+    return s.names[s.which[k]]
+
+
+def worst_windows(model: Model, s: Scan) -> dict[int, tuple[float, str]]:
+    """Sentence -> (margin, window) of its worst word, pair or spelled-out word."""
+    single, pair, spelled = window_margins(model, s)
+    value = np.r_[single, pair]
+    sentence = np.r_[s.sentence, s.sentence[s.pair]]
+    order = np.lexsort((value, sentence))
+    last = order[np.flatnonzero(np.r_[sentence[order][1:] != sentence[order][:-1], True])] if len(order) else order
+    out = {}
+    for k in last.tolist():
+        if k < len(single):
+            shown = max(windows(_shown(s, k)), key=lambda w: model.margins([w])[0]) if len(_shown(s, k)) > LONG else _shown(s, k)
+        else:
+            at = int(s.pair[k - len(single)])
+            shown = f"{_shown(s, at)}{BORDER}{_shown(s, at + 1)}"
+        out[int(sentence[k])] = (float(value[k]), shown)
+    for (_, at, w), m in zip(s.spelled, spelled.tolist(), strict=True):
+        if m > out.get(at, (FLOOR, ""))[0]:
+            out[at] = (m, w)
+    return out
 
 
-def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDMARKS) -> Model:
+def window_counts(s: Scan, least: int = 1, pairs: set[str] | None = None) -> tuple[Counter, int]:
+    """Texts of the scan that hold each word and pair, in ``least`` of them at least (of pairs only those
+    of ``pairs``, if given); the number of all words and pairs."""
+    out: Counter = Counter()
+    n = len(s.names)
+    held = np.bincount(np.unique(s.owner * n + s.which) % n, minlength=n) if n else np.zeros(0, np.int64)
+    for name, k in zip(s.names, held.tolist(), strict=True):
+        if name and k:
+            for w in windows(name):
+                out[w] += k
+    both, at = np.unique(s.which[s.pair] * n + s.which[s.pair + 1], return_inverse=True)
+    held = np.bincount(np.unique(s.owner[s.pair] * len(both) + at) % len(both), minlength=len(both)) if len(both) else both
+    for k in np.flatnonzero(held >= least).tolist():
+        a, b = s.names[both[k] // n], s.names[both[k] % n]
+        shown = f"{a}{BORDER}{b}"
+        if len(shown) <= 2 * LONG and (pairs is None or shown in pairs):
+            out[shown] += int(held[k])
+    return Counter({w: k for w, k in out.items() if k >= least}), int((np.bincount(s.which, minlength=n) > 0).sum()) + len(both)
+
+
+def fit(texts: list[str], toxic: list[int], prior: float, size: FitSize = FitSize()) -> Model:
     """Train on labelled documents; three quarters train, one quarter calibrates for the ``prior``."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, constant=prior)
     # copies are no evidence of their own
@@ -230,60 +373,59 @@ def fit(texts: list[str], toxic: list[int], prior: float, landmarks: int = LANDM
     texts, y = list(once), np.array(list(once.values()))
     if not len(y) or y.min() == y.max():
         return none
-    for_training = np.arange(len(y)) % 4 != 3
-    n_pos, n_neg = max(1, int((y[for_training] == 1).sum())), max(1, int((y[for_training] == 0).sum()))
-    in_pos, in_neg = Counter(), Counter()
-    for text, label, use in zip(texts, y, for_training, strict=True):
-        if use:
-            (in_pos if label else in_neg).update(_words(text))
-    telling = _telling_words(in_pos, in_neg, n_pos, n_neg)
-    # of each sentence of a toxic document that holds telling words, the most telling one is its witness
-    witness: Counter = Counter()
-    for text, label, use in zip(texts, y, for_training, strict=True):
-        if use and label:
-            for sentence in _SENTENCE.split(text):
-                top = max((w for w in _words(sentence) if w in telling), key=lambda w: (telling[w], w), default=None)
-                if top is not None:
-                    witness[top] += 1
+    train_on = np.arange(len(y)) % 4 != 3
+    # sentences count once, however many copies of a document hold them; clean documents' ones are clean
+    clean_ones = dict.fromkeys(x for t, label, use in zip(texts, y, train_on, strict=True) if use and not label for x in _SENTENCE.split(t))
+    toxic_ones = dict.fromkeys(x for t, label, use in zip(texts, y, train_on, strict=True) if use and label for x in _SENTENCE.split(t) if x not in clean_ones)
+    bad, good = scan(pa.array(list(toxic_ones), pa.string())), scan(pa.array(list(clean_ones), pa.string()))
+    n_pos, n_neg = max(1, len(toxic_ones)), max(1, len(clean_ones))
+    # the first witnesses: windows that the toxic sentences share and the clean ones lack
+    in_pos, tried = window_counts(bad, least=2)
+    in_neg, _ = window_counts(good, pairs=set(in_pos))
+    witness = _telling(in_pos, in_neg, n_pos, n_neg, tried)
     if not witness:
         return none
-    clean = sorted(in_neg, key=lambda w: (-in_neg[w], w))
     positive = sorted(witness, key=lambda w: (-witness[w], w))
     chosen = set(positive)
-    clean = [w for w in clean if w not in chosen]
-    heads = positive[: landmarks // 2]
-    # clean words most like the witnesses are the hard ones
-    like = kernel_matrix(clean[:20_000], heads).max(axis=1)
-    hard = [clean[i] for i in np.argsort(-like, kind="stable")[:4_000].tolist()]
-    marks = list(dict.fromkeys([*heads, *hard[: landmarks // 3], *clean[: landmarks // 6]]))
+    clean = [w for w in sorted(in_neg, key=lambda w: (-in_neg[w], w)) if w not in chosen]
+    heads = positive[: size.landmarks // 2]
+    # clean windows most like the witnesses are the hard ones
+    like = kernel_matrix(clean[: size.pool], heads).max(axis=1) if clean else np.zeros(0)
+    hard = [clean[i] for i in np.argsort(-like, kind="stable")[: size.hard].tolist()]
+    marks = list(dict.fromkeys([*heads, *hard[: size.landmarks // 3], *clean[: size.landmarks // 6]]))
     gram = kernel_matrix(marks, marks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    good = values > 1e-6 * values[-1]
-    root = vectors[:, good] / np.sqrt(values[good])  # the Nystroem map: kernel row @ root
-    lo, lk, lw = summed(*subsequences(marks))
-    lw = lw / np.sqrt(np.bincount(lo, lw**2, len(marks)))[lo]
+    sound = values > 1e-6 * values[-1]
+    root = vectors[:, sound] / np.sqrt(values[sound])  # the Nystroem map: kernel row @ root
+    lo, lk, lw = subsequences(marks)
+    lw = lw / _norms(lo, lw, len(marks))[lo]
     keys, at = np.unique(lk, return_inverse=True)
-    negative = list(dict.fromkeys([*hard, *clean[:4_000]]))
-    for turn in range(MINING):
+    negative = list(dict.fromkeys([*hard, *clean[: size.common]]))
+    for turn in range(size.rounds):
         sample = [*positive, *negative]
         x = kernel_matrix(sample, marks) @ root
         label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        weight = np.array([1 + np.log(witness[w]) for w in positive])
+        weight = np.array([1 + np.log(max(1.0, witness[w])) for w in positive])
         cost = np.r_[weight / weight.mean() * max(1.0, 0.2 * len(negative) / len(positive)), np.ones(len(negative))]
         w = squared_hinge(x, label, cost, ridge=0.1)
         beta = root @ w[:-1]
         model = Model(keys, np.bincount(at, lw * beta[lo], len(keys)), float(w[-1]))
-        if turn == MINING - 1:
+        if turn == size.rounds - 1:
             break
-        # clean words that the machine gets wrong join the next round
-        margin = model.margins(clean)
-        wrong = np.argsort(-margin, kind="stable")[:3_000]
-        negative = list(dict.fromkeys([*negative, *[clean[i] for i in wrong[margin[wrong] > -0.9].tolist()]]))
-    rest = ~for_training
+        # clean sentences whose worst window the machine gets wrong; toxic ones stand for their worst
+        # windows.  One that is both goes where it is the more frequent by far: labels have errors
+        wrong = Counter(v for m, v in sorted(worst_windows(model, good).values(), reverse=True) if m > -0.9)
+        found = Counter(v for m, v in worst_windows(model, bad).values() if m > 0)
+        found = {v: n for v, n in found.items() if n * n_neg > 3 * wrong[v] * n_pos}
+        if found:
+            witness, positive = found, sorted(found, key=lambda v: (-found[v], v))
+        mined = [v for v in wrong if v not in witness][: size.mined]
+        negative = [v for v in dict.fromkeys([*negative, *mined]) if v not in witness]
+    rest = ~train_on
     if (y[rest] == 1).sum() < 5 or (y[rest] == 0).sum() < 5:
         rest = np.ones(len(y), dtype=bool)
-    worst = worst_margins(model, pa.array([texts[i] for i in np.flatnonzero(rest).tolist()]))
-    model.slope, model.offset = _calibrate(worst, y[rest], prior)
+    margin = worst_margins(model, pa.array([texts[i] for i in np.flatnonzero(rest).tolist()], pa.string()))
+    model.slope, model.offset = _calibrate(margin, y[rest], prior)
     return model
 
 
@@ -304,16 +446,17 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, prior: float) -> tuple[float,
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def _telling_words(in_pos: Counter, in_neg: Counter, n_pos: int, n_neg: int) -> dict[str, float]:
-    """Words that toxic documents hold more often than chance allows for that many words (log-likelihood
-    ratio, Bonferroni); with few labels, when none is, the five most telling."""
+def _telling(in_pos: dict[str, int], in_neg: Counter, n_pos: int, n_neg: int, tried: int) -> dict[str, float]:
+    """Windows that toxic documents hold more often than chance allows for that many windows (log-likelihood
+    ratio, Bonferroni); with few labels, when none is, the five most telling.  The training only starts
+    from them."""
     total, score = n_pos + n_neg, {}
     for w, a in in_pos.items():
         b = in_neg[w]
-        if a > 1 and a * n_neg > 3 * b * n_pos:
+        if a * n_neg > 3 * b * n_pos:
             g = a * np.log(a * total / ((a + b) * n_pos)) + (b * np.log(b * total / ((a + b) * n_neg)) if b else 0.0)
             score[w] = 2 * float(g)
-    least = 2 * np.log(max(2, len(in_pos)))
+    least = 2 * np.log(max(2, tried))
     found = {w: g for w, g in score.items() if g >= least}
     return found or dict(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])
 
