@@ -293,7 +293,9 @@ class Join:
         ids = written(self.nodes.select("node", "s", "label").join(ids, "node"), "candidate-nodes")
         wanted = MarkFilter.of(ids.select(F.xxhash64("label").alias("h")), "h")
         texts = self.docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-        sets = written(texts.mapInArrow(_sets(self.size, wanted), "s binary, shingles array<bigint>").join(ids, "s").select("node", "shingles"), "candidate-sets")
+        # one row of each set: copies that pass the filter would meet each other below
+        sets = texts.mapInArrow(_sets(self.size, wanted), "s binary, shingles array<bigint>").dropDuplicates(["s"])
+        sets = written(sets.join(ids, "s").select("node", "shingles"), "candidate-sets")
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
         both = near.join(left, "a").join(right, "b")

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from claimscope.llm import near
 from claimscope.llm.components import components
 from claimscope.llm.near import near_duplicates, one_per_class
 
@@ -108,3 +109,22 @@ def test_classes_of_one_id_do_not_merge(spark):
     got = {(r[0], r[1]): r[2] for r in near_duplicates(df, size=4, num=85, den=100).collect()}
     assert got == {(5, 57): got[(5, 57)], (6, 58): 5, (7, 58): 3, (3, 58): 3}
     assert {(r["doc_id"], r["text"]) for r in one_per_class(df).collect()} == {(5, a), (3, b + " z")}
+
+
+def test_many_identical_rows_are_one_candidate(spark, monkeypatch):
+    """Three near texts, each in 200 identical rows: every set is verified once."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (3, 30, 50)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts) for _ in range(200)], "doc_id bigint, text string")
+    seen = {}
+    write = near.written
+
+    def spy(df, name):
+        seen.setdefault(name, []).append(write(df, name))
+        return seen[name][-1]
+
+    monkeypatch.setattr(near, "written", spy)
+    rows = near.near_duplicates(docs, size=4, num=60, den=100).collect()
+    assert len(rows) == 600
+    assert {r.component_id for r in rows} == {0}
+    assert max(df.count() for df in seen["candidate-sets"]) <= 3
