@@ -53,7 +53,8 @@ FLOOR = -1.0  # margins below this count as this
 THRESHOLD = 0.3
 BORDER = "\x02"  # before, between and after the words of a window
 REACH = SPAN - 2  # characters on either side of a border that a subsequence over it may reach
-_STEP_BYTES = 4 << 20
+_STEP_BYTES = 2 << 20
+_FIT_STEP = 1 << 19  # characters of sentences that the fit scans at a time
 _NOT_WORD = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -345,24 +346,40 @@ def worst_windows(model: Model, s: Scan) -> dict[int, tuple[float, str]]:
     return out
 
 
-def window_counts(s: Scan, least: int = 1, pairs: set[str] | None = None) -> tuple[Counter, int]:
-    """Texts of the scan that hold each word and pair, in ``least`` of them at least (of pairs only those
-    of ``pairs``, if given); the number of all words and pairs."""
+def _scans(sentences: list[str]) -> Iterator[Scan]:
+    """The sentences in steps of bounded size, each scanned anew: the fit holds one step's arrays."""
+    step, held = [], 0
+    for x in sentences:
+        step.append(x)
+        held += len(x)
+        if held >= _FIT_STEP:
+            yield scan(pa.array(step, pa.string()))
+            step, held = [], 0
+    if step:
+        yield scan(pa.array(step, pa.string()))
+
+
+def window_counts(sentences: list[str], pairs: set[str] | None = None) -> Counter:
+    """Sentences that hold each word and pair (of pairs only those of ``pairs``, if given)."""
     out: Counter = Counter()
-    n = len(s.names)
-    held = np.bincount(np.unique(s.owner * n + s.which) % n, minlength=n) if n else np.zeros(0, np.int64)
-    for name, k in zip(s.names, held.tolist(), strict=True):
-        if name and k:
-            for w in windows(name):
-                out[w] += k
-    both, at = np.unique(s.which[s.pair] * n + s.which[s.pair + 1], return_inverse=True)
-    held = np.bincount(np.unique(s.owner[s.pair] * len(both) + at) % len(both), minlength=len(both)) if len(both) else both
-    for k in np.flatnonzero(held >= least).tolist():
-        a, b = s.names[both[k] // n], s.names[both[k] % n]
-        shown = f"{a}{BORDER}{b}"
-        if len(shown) <= 2 * LONG and (pairs is None or shown in pairs):
-            out[shown] += int(held[k])
-    return Counter({w: k for w, k in out.items() if k >= least}), int((np.bincount(s.which, minlength=n) > 0).sum()) + len(both)
+    for s in _scans(sentences):
+        n = len(s.names)
+        held = np.bincount(np.unique(s.owner * n + s.which) % n, minlength=n) if n else np.zeros(0, np.int64)
+        for name, k in zip(s.names, held.tolist(), strict=True):
+            if name and k:
+                for w in windows(name):
+                    out[w] += k
+        both, at = np.unique(s.which[s.pair] * n + s.which[s.pair + 1], return_inverse=True)
+        held = np.bincount(np.unique(s.owner[s.pair] * len(both) + at) % len(both), minlength=len(both)) if len(both) else both
+        for code, k in zip(both.tolist(), held.tolist(), strict=True):
+            shown = f"{s.names[code // n]}{BORDER}{s.names[code % n]}"
+            if len(shown) <= 2 * LONG and (pairs is None or shown in pairs):
+                out[shown] += k
+    return out
+
+
+def _worst_of(model: Model, sentences: list[str]) -> list[tuple[float, str]]:
+    return [x for s in _scans(sentences) for x in worst_windows(model, s).values() if x[0] > FLOOR]
 
 
 def fit(texts: list[str], toxic: list[int], prior: float, size: FitSize = FitSize()) -> Model:
@@ -377,17 +394,20 @@ def fit(texts: list[str], toxic: list[int], prior: float, size: FitSize = FitSiz
     # sentences count once, however many copies of a document hold them; clean documents' ones are clean
     clean_ones = dict.fromkeys(x for t, label, use in zip(texts, y, train_on, strict=True) if use and not label for x in _SENTENCE.split(t))
     toxic_ones = dict.fromkeys(x for t, label, use in zip(texts, y, train_on, strict=True) if use and label for x in _SENTENCE.split(t) if x not in clean_ones)
-    bad, good = scan(pa.array(list(toxic_ones), pa.string())), scan(pa.array(list(clean_ones), pa.string()))
-    n_pos, n_neg = max(1, len(toxic_ones)), max(1, len(clean_ones))
+    bad, good = list(toxic_ones), list(clean_ones)
+    n_pos, n_neg = max(1, len(bad)), max(1, len(good))
     # the first witnesses: windows that the toxic sentences share and the clean ones lack
-    in_pos, tried = window_counts(bad, least=2)
-    in_neg, _ = window_counts(good, pairs=set(in_pos))
+    in_pos = window_counts(bad)
+    tried = len(in_pos)
+    in_pos = {w: k for w, k in in_pos.items() if k > 1}
+    in_neg = window_counts(good, pairs=set(in_pos))
     witness = _telling(in_pos, in_neg, n_pos, n_neg, tried)
     if not witness:
         return none
     positive = sorted(witness, key=lambda w: (-witness[w], w))
     chosen = set(positive)
-    clean = [w for w in sorted(in_neg, key=lambda w: (-in_neg[w], w)) if w not in chosen]
+    clean = [w for w in sorted(in_neg, key=lambda w: (-in_neg[w], w)) if w not in chosen][: max(size.pool, size.common, size.landmarks)]
+    del in_neg
     heads = positive[: size.landmarks // 2]
     # clean windows most like the witnesses are the hard ones
     like = kernel_matrix(clean[: size.pool], heads).max(axis=1) if clean else np.zeros(0)
@@ -414,8 +434,8 @@ def fit(texts: list[str], toxic: list[int], prior: float, size: FitSize = FitSiz
             break
         # clean sentences whose worst window the machine gets wrong; toxic ones stand for their worst
         # windows.  One that is both goes where it is the more frequent by far: labels have errors
-        wrong = Counter(v for m, v in sorted(worst_windows(model, good).values(), reverse=True) if m > -0.9)
-        found = Counter(v for m, v in worst_windows(model, bad).values() if m > 0)
+        wrong = Counter(v for m, v in sorted(_worst_of(model, good), reverse=True) if m > -0.9)
+        found = Counter(v for m, v in _worst_of(model, bad) if m > 0)
         found = {v: n for v, n in found.items() if n * n_neg > 3 * wrong[v] * n_pos}
         if found:
             witness, positive = found, sorted(found, key=lambda v: (-found[v], v))
