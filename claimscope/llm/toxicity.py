@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +48,7 @@ FIT_BYTES = 1 << 25  # bytes of all labelled texts that the fit reads
 DECAY = 0.6
 SPAN = 5  # characters that one subsequence may span
 BLOCK = 8_000  # words whose subsequences are held at a time
+FIT_BLOCK = 1_000  # the same in the fit, whose rows are wider
 LONG = 32  # characters of a window of a longer word
 FLOOR = -1.0  # margins below this count as this
 THRESHOLD = 0.3
@@ -100,40 +101,49 @@ def _norms(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.maximum(np.bincount(owner, weight**2, n), 1e-12))
 
 
-def kernel_matrix(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Scaled kernel of every window with every landmark."""
+def kernel_matrix(words: list[str], landmarks: list[str], root: np.ndarray | None = None) -> np.ndarray:
+    """Scaled kernel of every window with every landmark, mapped by ``root`` if given."""
     lo, lk, lw = subsequences(landmarks)
     lw = lw / _norms(lo, lw, len(landmarks))[lo]
     names, col = np.unique(lk, return_inverse=True)
     dense = np.zeros((len(names), len(landmarks)), dtype=np.float64)
     np.add.at(dense, (col, lo), lw)
-    out = np.zeros((len(words), len(landmarks)))
-    for first in range(0, len(words), BLOCK):
-        part = words[first : first + BLOCK]
-        o, k, w = summed(*subsequences(part))
-        w = w / _norms(*subsequences(part)[::2], len(part))[o]
+    out = np.zeros((len(words), len(landmarks) if root is None else root.shape[1]))
+    for first in range(0, len(words), FIT_BLOCK):
+        part = words[first : first + FIT_BLOCK]
+        found = subsequences(part)
+        norms = _norms(found[0], found[2], len(part))
+        o, k, w = summed(*found)
+        w = w / norms[o]
         at = np.minimum(np.searchsorted(names, k), len(names) - 1)
         hit = names[at] == k
         o, at, w = o[hit], at[hit], w[hit]
         begins = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, np.int64)
-        for a in range(0, len(begins), 200):
-            b = begins[a : a + 200]
-            end = begins[a + 200] if a + 200 < len(begins) else len(o)
-            rows = dense[at[b[0] : end]] * w[b[0] : end, None]
-            out[first + o[b]] = np.add.reduceat(rows, b - b[0], axis=0)
+        for a in range(0, len(begins), 50):
+            b = begins[a : a + 50]
+            end = begins[a + 50] if a + 50 < len(begins) else len(o)
+            rows = dense[at[b[0] : end]]
+            rows *= w[b[0] : end, None]
+            rows = np.add.reduceat(rows, b - b[0], axis=0)
+            out[first + o[b]] = rows if root is None else rows @ root
     return out
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Primal linear support vector machine (squared hinge) by Newton steps; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    keep = ridge * np.r_[np.ones(x.shape[1] - 1), 1e-3]
+    width = x.shape[1] + 1
+    w = np.zeros(width)
+    keep = ridge * np.r_[np.ones(width - 1), 1e-3]
     active = np.ones(len(y), dtype=bool)
     for _ in range(rounds):
-        xa, ca = x[active], cost[active]
-        w = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(keep), xa.T @ (ca * y[active]))
-        now = y * (x @ w) < 1
+        square, right = np.diag(keep), np.zeros(width)
+        for first in range(0, len(x), FIT_BLOCK):  # normal equations, block by block: x isn't copied
+            rows = np.flatnonzero(active[first : first + FIT_BLOCK]) + first
+            xa = np.c_[x[rows], np.ones(len(rows))]
+            right += xa.T @ (cost[rows] * y[rows])
+            square += (xa * cost[rows, None]).T @ xa
+        w = np.linalg.solve(square, right)
+        now = y * (x @ w[:-1] + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -346,17 +356,21 @@ def worst_windows(model: Model, s: Scan) -> dict[int, tuple[float, str]]:
     return out
 
 
-def _scans(sentences: list[str]) -> Iterator[Scan]:
-    """The sentences in steps of bounded size, each scanned anew: the fit holds one step's arrays."""
+def _steps(texts: Iterable[str]) -> Iterator[pa.Array]:
+    """The texts in steps of bounded size: the fit holds one step's arrays."""
     step, held = [], 0
-    for x in sentences:
+    for x in texts:
         step.append(x)
         held += len(x)
         if held >= _FIT_STEP:
-            yield scan(pa.array(step, pa.string()))
+            yield pa.array(step, pa.string())
             step, held = [], 0
     if step:
-        yield scan(pa.array(step, pa.string()))
+        yield pa.array(step, pa.string())
+
+
+def _scans(sentences: list[str]) -> Iterator[Scan]:
+    return map(scan, _steps(sentences))
 
 
 def window_counts(sentences: list[str], pairs: set[str] | None = None) -> Counter:
@@ -423,11 +437,12 @@ def fit(texts: list[str], toxic: list[int], prior: float, size: FitSize = FitSiz
     negative = list(dict.fromkeys([*hard, *clean[: size.common]]))
     for turn in range(size.rounds):
         sample = [*positive, *negative]
-        x = kernel_matrix(sample, marks) @ root
+        x = kernel_matrix(sample, marks, root)
         label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         weight = np.array([1 + np.log(max(1.0, witness[w])) for w in positive])
         cost = np.r_[weight / weight.mean() * max(1.0, 0.2 * len(negative) / len(positive)), np.ones(len(negative))]
         w = squared_hinge(x, label, cost, ridge=0.1)
+        del x
         beta = root @ w[:-1]
         model = Model(keys, np.bincount(at, lw * beta[lo], len(keys)), float(w[-1]))
         if turn == size.rounds - 1:
@@ -444,7 +459,7 @@ def fit(texts: list[str], toxic: list[int], prior: float, size: FitSize = FitSiz
     rest = ~train_on
     if (y[rest] == 1).sum() < 5 or (y[rest] == 0).sum() < 5:
         rest = np.ones(len(y), dtype=bool)
-    margin = worst_margins(model, pa.array([texts[i] for i in np.flatnonzero(rest).tolist()], pa.string()))
+    margin = np.concatenate([worst_margins(model, a) for a in _steps(texts[i] for i in np.flatnonzero(rest).tolist())])
     model.slope, model.offset = _calibrate(margin, y[rest], prior)
     return model
 
