@@ -9,7 +9,8 @@ the empty string.
 Edge cases: null text reads as empty; fewer words than a shingle make one shingle of the whole
 sequence; equal shingle sets have equal sketches; two empty sketches have likeness 1, an empty
 and another 0.  Rows are compared with their successor in descending id (nulls last, ties by
-text), the last with the first; a single row is its own successor; an empty table gives none.
+a hash of the text), the last with the first; many rows of one id or without one lie in many ranges
+(only whole copies of a row share one); a single row is its own successor; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,6 +32,7 @@ K = 256
 SHINGLE = 5
 SPACE = float(1 << 64)
 LEAST = -(1 << 63)  # stands for a null id
+RANGE_BYTES = 16 << 20  # text bytes of a range of documents, about
 
 
 def sketch_texts(texts: list[str], k: int = K, size: int = SHINGLE) -> list[np.ndarray]:
@@ -99,42 +102,62 @@ def merged(sketches: DataFrame, key: str, fingerprint: str = "fingerprint", k: i
     return out.select(key, F.coalesce(F.regexp_replace(F.base64(F.unhex("h")), r"\s", ""), F.lit("")).alias("fingerprint"))
 
 
+def ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """Number of ranges that the text bytes ask for, at least the session's partitions."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1)
+
+
 def with_successor(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
-    """The rows dealt by ranges of descending id, sorted, each range followed by a copy of the first
-    row of the next one (``extra``): a task then meets each row's successor without a global window.
-    Columns: part, sort_id, text, extra and the id as ``own_id``.  One shuffle of the texts; what the
-    driver sees is one bound and one first id per range."""
+    """The rows dealt by ranges of descending (id, hash of the text), sorted, each range followed by a copy
+    of the first row of the next one (``extra``): a task then meets each row's successor without a global
+    window.  An id that many rows share (or null) is cut between its texts.  Columns: part, sort_id, text,
+    extra and the id as ``own_id``.  One shuffle of the texts, a range to a task; what the driver sees is
+    one cut and one first row's key per range."""
     spark = docs.sparkSession
-    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("sort_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("own_id")
     )
     base = base.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
+    parts = parts or ranges(base)
     shares = [(k + 1) / parts for k in range(parts - 1)]
-    cuts = base.agg(F.percentile_approx("sort_id", shares or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(cuts)) if parts > 1 else []
-    ranged = base.withColumn("part", _bucket(bounds))
+    cuts = base.agg(F.percentile_approx("sort_id", shares or [0.5], max(10_000, 4 * parts))).first()[0] or []
+    ranged = base.withColumn("part", _range_of(cuts if parts > 1 else [])("sort_id", "tie"))
     heads = {r["part"]: (r["head"]["sort_id"], r["head"]["tie"]) for r in ranged.groupBy("part").agg(F.max(F.struct("sort_id", "tie")).alias("head")).collect()}
     order = sorted(heads)
-    before = {p: order[k - 1] for k, p in enumerate(order)}  # the first range's head follows the last range
     if not order:
         return ranged.withColumn("extra", F.lit(False))
-    pairs = spark.createDataFrame([(p, *heads[p], before[p]) for p in order], "part int, sort_id bigint, tie bigint, before int")
+    # the first range's head follows the last range; ranges are numbered anew, without the empty ones
+    pairs = spark.createDataFrame([(p, *heads[p], (k - 1) % len(order)) for k, p in enumerate(order)], "part int, sort_id bigint, tie bigint, before int")
     copies = (
         ranged.join(F.broadcast(pairs), ["part", "sort_id", "tie"])  # one small row per range: bounded by ``parts``
         .dropDuplicates(["part"])
         .select("sort_id", "text", "own_id", "tie", F.col("before").alias("part"), F.lit(True).alias("extra"))
     )
-    both = ranged.withColumn("extra", F.lit(False)).unionByName(copies)
-    return both.repartition(max(len(order), 1), "part").sortWithinPartitions("part", "extra", F.desc("sort_id"), F.desc("tie"))
-
-
-def _bucket(bounds: list[int]) -> Column:
-    """Number of bounds above the id, so the largest ids come in part 0."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b > F.col("sort_id")))
+    numbers = spark.createDataFrame([(p, k) for k, p in enumerate(order)], "part int, number int")  # as many
+    own = ranged.join(F.broadcast(numbers), "part").select("sort_id", "text", "own_id", "tie", F.col("number").alias("part"), F.lit(False).alias("extra"))
+    return own.unionByName(copies).repartitionById(len(order), F.col("part")).sortWithinPartitions("part", "extra", F.desc("sort_id"), F.desc("tie"))
+
+
+def _range_of(cuts: list[int]):
+    """Number of cuts above a row, so the largest ids come in range 0.  An id that is m cuts holds m - 1
+    ranges or more: its rows are cut into m by the hash of the text, evenly."""
+    ids, times = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    from_here = np.r_[np.cumsum(times[::-1])[::-1], 0]  # cuts at this id and the larger ones
+
+    @F.pandas_udf("int")
+    def range_of(sort_id: pd.Series, tie: pd.Series) -> pd.Series:
+        key = sort_id.to_numpy(np.int64)
+        at = np.searchsorted(ids, key)
+        above = from_here[at]
+        same = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == key) if len(ids) else at[:0]
+        level = (tie.to_numpy(np.int64)[same].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # follows the order of ties
+        cut = (level * times[at[same]].astype(np.uint64)) >> np.uint64(32)
+        above[same] -= cut.astype(np.int64) + 1
+        return pd.Series(above.astype(np.int32))
+
+    return range_of
 
 
 def _compare(k: int, size: int, id_type: pa.DataType):

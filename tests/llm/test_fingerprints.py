@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from claimscope.llm import fingerprints as fp
 
@@ -84,3 +86,46 @@ def test_estimates():
     assert fp.containment(a, b) == pytest.approx(0.5, abs=0.12)
     assert fp.resemblance(a, a) == 1.0
     assert np.array_equal(fp.from_string(fp.to_string(a)), a)
+
+
+def test_ranges_are_even_where_ids_repeat(spark):
+    """Four fifths of the rows without an id, some with one id, one range to a task; every row meets its successor."""
+    rng = random.Random(4)
+    rows = [(None if k % 5 else (7 if k % 2 else k), " ".join(f"u{rng.randrange(500)}" for _ in range(12))) for k in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    dealt = fp.with_successor(df, "doc_id", "text", parts=48)
+    found = [(r["task"], r["part"], r["n"]) for r in dealt.filter("NOT extra").groupBy(F.spark_partition_id().alias("task"), "part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert all(task == part for task, part, _ in found)
+    sizes = [n for _, _, n in found]
+    assert sum(sizes) == len(rows)
+    assert len(found) > 40
+    assert max(sizes) < 2 * len(rows) / 48
+    order = sorted(((i if i is not None else fp.LEAST, tie, t) for i, t, tie in df.select("doc_id", "text", F.xxhash64("text")).collect()), reverse=True)
+    follows = {}
+    for k, (_, _, text) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][2]
+        cut = len(text) // 3
+        follows[text] = hashlib.sha256((text[: len(text) - cut] + nxt[:cut]).encode()).hexdigest()
+    got = fp.compare_with_successor(df).collect()
+    assert sorted(r["edited_sha256"] for r in got) == sorted(follows.values())
+
+
+def test_ranges_follow_the_bytes(spark):
+    df = spark.createDataFrame([(k, "x" * 1_000) for k in range(100)], "doc_id bigint, text string")
+    assert fp.ranges(df, range_bytes=1_000) == 101
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert fp.ranges(df) == least
+
+
+def test_cuts_of_one_id_keep_the_order():
+    """The range number never falls along descending (id, tie)."""
+    rng = np.random.default_rng(2)
+    ids = rng.integers(-3, 4, 5_000)
+    ids[:1_000] = fp.LEAST
+    ties = rng.integers(-(1 << 63), (1 << 63) - 1, 5_000, dtype=np.int64)
+    ties[:4] = [-(1 << 63), (1 << 63) - 1, 0, -1]
+    order = np.lexsort((ties, ids))[::-1]
+    part = fp._range_of([fp.LEAST] * 9 + [-1, 0, 0, 0, 2]).func(pd.Series(ids[order]), pd.Series(ties[order])).to_numpy()
+    assert (np.diff(part) >= 0).all()
+    assert part[0] == 0 and part[-1] == 13
+    assert (fp._range_of([]).func(pd.Series(ids), pd.Series(ties)) == 0).all()
