@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope import constants as K
@@ -267,6 +267,24 @@ def row_security(gold: DataFrame, user: str) -> DataFrame:
     return gold.filter(F.col("assigned_investigator") == F.lit(user))
 
 
+def row_security_session(gold: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Only the rows whose investigator ``assignments`` (user_name, investigator) gives to the user of
+    the session that reads; none for a user without an assignment.  Repeated assignments count once,
+    and claims without an investigator belong to nobody."""
+    mine = assignments.filter(F.col("user_name") == F.session_user()).select(F.col("investigator").alias("assigned_investigator"))
+    return gold.join(mine, "assigned_investigator", "left_semi").select(*gold.columns)
+
+
+def secured_view(spark: SparkSession, view: str, gold_table: str, assignments_table: str) -> None:
+    """:func:`row_security_session` as a view over two catalog tables.  The user is that of the session
+    that reads the view, not of the one that made it; filters on the view reach the scan of gold."""
+    names = [".".join(f"`{part}`" for part in name.split(".")) for name in (view, gold_table, assignments_table)]
+    spark.sql(
+        "CREATE OR REPLACE VIEW {} AS SELECT g.* FROM {} g LEFT SEMI JOIN {} a "
+        "ON g.assigned_investigator = a.investigator AND a.user_name = session_user()".format(*names)
+    )
+
+
 def threshold_alert(gold: DataFrame, threshold: int = 0, evaluated_at=None) -> DataFrame:
     """Evaluate the open-HIGH alert once: count, threshold, fired flag."""
     from claimscope.functions.scoring import as_of_timestamp

@@ -8,6 +8,8 @@ is a failed check rather than an exception.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,49 @@ CHECK_SCHEMA = T.StructType(
 )
 
 
+@dataclass
+class Measured:
+    """A written layer as its checks see it: its columns, and one row of statistics (``rows`` and
+    :func:`layer_aggregates`) that the write gathered, so that no check reads the layer again."""
+
+    columns: list[str]
+    stats: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, columns: Sequence[str], values: Mapping[str, Any]) -> Measured:
+        return cls(list(columns), spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(k) for k, v in values.items()]))
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.stats.sparkSession
+
+
+def layer_aggregates(columns: Sequence[str], not_null: Sequence[str] = K.DQ_NOT_NULL_COLUMNS) -> list[Column]:
+    """The aggregates behind every check of a scored layer, as far as it has the columns."""
+    present = set(columns)
+    aggs = []
+    if {"fraud_risk_score", "risk_tier"} <= present:
+        aggs += [
+            F.min("fraud_risk_score").alias("min_score"), F.max("fraud_risk_score").alias("max_score"),
+            count_if(F.col("risk_tier") == "HIGH").alias("high_count"),
+            count_if(F.col("risk_tier") == "MEDIUM").alias("med_count"),
+        ]
+    aggs += [count_if(F.col(c).isNull()).alias(f"null_{c}") for c in not_null if c in present]
+    if "claim_velocity_24mo" in present:
+        aggs.append(F.max("claim_velocity_24mo").alias("max_velocity"))
+    return aggs
+
+
 def _fmt3(c: Column) -> Column:
     return F.format_number(F.round(c.cast("decimal(20,6)"), 3), 3)
 
 
 def dq_row_count_range(
-    tables: Mapping[str, DataFrame | None],
+    tables: Mapping[str, DataFrame | Measured | None],
     ranges: Mapping[str, tuple[int, int]] = K.DQ_ROW_RANGES,
 ) -> DataFrame:
     """One row per table: (table_name, row_count, lo, hi, passed); a None
-    table (missing) gives row_count NULL and passed false."""
+    table (missing) gives row_count NULL and passed false, a measured one is not read."""
     parts = []
     spark = None
     for name, (lo, hi) in ranges.items():
@@ -43,9 +78,10 @@ def dq_row_count_range(
         if df is None:
             continue
         spark = df.sparkSession
+        counted = df.stats if isinstance(df, Measured) else df.agg(F.count(F.lit(1)).alias("rows"))
         parts.append(
-            df.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(name).alias("table_name"), "row_count", F.lit(lo).alias("lo"), F.lit(hi).alias("hi")
+            counted.select(
+                F.lit(name).alias("table_name"), F.col("rows").cast("bigint").alias("row_count"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")
             )
         )
     missing = [(n, None, lo, hi) for n, (lo, hi) in ranges.items() if tables.get(n) is None]
@@ -103,7 +139,7 @@ def _check(check: str, passed: Column, detail: Column) -> Column:
 
 
 def dq_report(
-    tables: Mapping[str, DataFrame | None],
+    tables: Mapping[str, DataFrame | Measured | None],
     gold_name: str = "gold_claims_fraud_scored",
     ranges: Mapping[str, tuple[int, int]] = K.DQ_ROW_RANGES,
     required: Sequence[str] = K.DQ_REQUIRED_GOLD_COLUMNS,
@@ -115,7 +151,8 @@ def dq_report(
     Sections: row_counts, schema, score_distribution, nulls, velocity.  Every
     check of the gold table comes from ONE aggregate (row count, score range,
     tier counts, NULLs per column, velocity maximum); each other table is read
-    once for its row count.  Use ``dq_summary`` for the failed total.
+    once for its row count.  Tables given as :class:`Measured` are not read at all (their NULL
+    counts must be those of ``not_null``).  Use ``dq_summary`` for the failed total.
     """
     gold = tables.get(gold_name)
     others = {n: df for n, df in tables.items() if n != gold_name or gold is None}
@@ -140,18 +177,9 @@ def dq_report(
         nulls = [c for c in not_null if c in present]
         has_score = "fraud_risk_score" in present and "risk_tier" in present
         has_vel = "claim_velocity_24mo" in present
-        aggs = [F.count(F.lit(1)).alias("total")]
-        if has_score:
-            aggs += [
-                F.min("fraud_risk_score").alias("min_score"), F.max("fraud_risk_score").alias("max_score"),
-                count_if(F.col("risk_tier") == "HIGH").alias("high_count"),
-                count_if(F.col("risk_tier") == "MEDIUM").alias("med_count"),
-            ]
-        aggs += [count_if(F.col(c).isNull()).alias(f"null_{c}") for c in nulls]
-        if has_vel:
-            aggs.append(F.max("claim_velocity_24mo").alias("max_velocity"))
-        stats = gold.agg(*aggs)  # one pass over gold for every gold check
-        total = F.col("total")
+        # one pass over gold for every gold check, or none
+        stats = gold.stats if isinstance(gold, Measured) else gold.agg(F.count(F.lit(1)).alias("rows"), *layer_aggregates(gold.columns, nulls))
+        total = F.col("rows").cast("bigint")
         checks = []
         if gold_name in ranges:
             lo, hi = ranges[gold_name]

@@ -1299,6 +1299,23 @@ def q_scan_table_named(spark, sf):
     return scan_table(spark, name)
 
 
+@register(
+    "row_security_session",
+    O.gold_sql("SELECT claim_id, assigned_investigator, risk_tier FROM gold WHERE assigned_investigator < 'L'"),
+)
+def q_row_security_session(spark, sf):
+    # gold as a catalog table, read through the view of the session's user, who has the
+    # investigators before L; the others are other users'
+    run = uuid.uuid4().hex[:10]
+    gold, assigned, view = f"gold_{run}", f"investigator_users_{run}", f"my_claims_{run}"
+    SK.sink_overwrite(L.gold(spark, sf), _scratch(spark, "secured"), gold)
+    investigators = spark.table(gold).select(F.col("assigned_investigator").alias("investigator")).distinct()
+    user = F.when(F.col("investigator") < "L", F.session_user()).otherwise(F.concat(F.lit("user of "), "investigator"))
+    SK.sink_overwrite(investigators.withColumn("user_name", user), _scratch(spark, "assigned"), assigned)
+    M.secured_view(spark, view, gold, assigned)
+    return spark.table(view).select("claim_id", "assigned_investigator", "risk_tier")
+
+
 @register("sink_overwrite", O.claims_sql("SELECT * EXCLUDE (k) FROM claims"))
 def q_sink_overwrite(spark, sf):
     path = _scratch(spark, "overwrite")

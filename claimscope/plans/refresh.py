@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope import constants as K
 from claimscope.operators.gold import gold_score
-from claimscope.operators.quality import dq_report
+from claimscope.operators.quality import Measured, dq_report, layer_aggregates
 from claimscope.operators.silver import silver_enrich
 from claimscope.plans.layout import layout_cluster
 from claimscope.session import scratch_path
 from claimscope.sources.landing import Landed
-from claimscope.sources.sinks import sink_overwrite
+from claimscope.sources.sinks import sink_measured
 from claimscope.sources.tables import scan_table
 
 BUCKETS = 8  # of catalog tables with a claim per row; about table size / 256 MB
-BY_CLAIM = ("bronze_claims_raw", "silver_claims_enriched", "gold_claims_fraud_scored")
+SCORED = "gold_claims_fraud_scored"
+BY_CLAIM = ("bronze_claims_raw", "silver_claims_enriched", SCORED)
 LAYERS = (
     "bronze_claims_raw", "bronze_claimants", "bronze_properties", "silver_claims_enriched",
     "gold_claims_fraud_scored",
@@ -41,17 +42,23 @@ class RefreshResult:
     rows: dict[str, int] = field(default_factory=dict)
     database: str | None = None
     buckets: int = BUCKETS
+    measured: dict[str, Measured] = field(default_factory=dict)  # by the writes, for the report
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return scan_table(spark, f"{self.database}.{name}", None if self.database else self.paths[name])
 
     def write(self, df: DataFrame, name: str, bucket_by: str | None = "claim_id") -> None:
         """One layer: a folder, or a catalog table stored in that folder."""
-        if self.database:
-            bucketed = (self.buckets, bucket_by) if bucket_by else None
-            self.rows[name] = sink_overwrite(df, self.paths[name], f"{self.database}.{name}", bucket_by=bucketed, lookup=(bucket_by,) if bucket_by else ())
-        else:
-            self.rows[name] = sink_overwrite(df, self.paths[name], lookup=(bucket_by,) if bucket_by else ())
+        found = sink_measured(
+            df,
+            self.paths[name],
+            f"{self.database}.{name}" if self.database else None,
+            bucket_by=(self.buckets, bucket_by) if self.database and bucket_by else None,
+            lookup=(bucket_by,) if bucket_by else (),
+            measures=layer_aggregates(df.columns) if name == SCORED else (),
+        )
+        self.rows[name] = int(found["rows"])
+        self.measured[name] = Measured.of(df.sparkSession, df.columns, found)
 
 
 def refresh(
@@ -90,5 +97,6 @@ def refresh(
 
 
 def refresh_report(spark: SparkSession, res: RefreshResult) -> DataFrame:
-    """The data-quality report over the written layers."""
-    return dq_report({name: res.read(spark, name) for name in LAYERS})
+    """The data-quality report of the refresh, from what its writes measured: no layer is read
+    (but one that this result has only the path of)."""
+    return dq_report({name: res.measured.get(name) or res.read(spark, name) for name in LAYERS})

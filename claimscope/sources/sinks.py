@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.session import scratch_path
@@ -30,7 +31,7 @@ def with_lookup(writer: DataFrameWriter, columns: Sequence[str], distinct: int |
     return writer
 
 
-def sink_overwrite(
+def sink_measured(
     df: DataFrame,
     path: str | None = None,
     table: str | None = None,
@@ -38,15 +39,17 @@ def sink_overwrite(
     partition_by: list[str] | None = None,
     bucket_by: tuple[int, str] | None = None,
     lookup: Sequence[str] = (),
-) -> int:
-    """Full refresh (schema replaced).  Returns the rows written, counted by
-    an observation during the write (no second scan).
+    measures: Sequence[Column] = (),
+) -> dict[str, Any]:
+    """Full refresh (schema replaced).  Returns ``rows``, the rows written, and the named aggregates
+    ``measures`` over them, gathered by an observation in the tasks that write (no second scan; a
+    task that is repeated counts once).
 
     With ``table`` the rows go to a catalog table (stored at ``path`` when both
     are given); ``bucket_by`` (number, column) buckets and sorts it, so that
     tables of equal buckets join on the column without an exchange."""
     obs = Observation("rows_written")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"), *measures)
     writer = with_lookup(observed.write.mode("overwrite").format(fmt), lookup)
     if fmt == "delta":
         writer = writer.option("overwriteSchema", "true")
@@ -62,7 +65,20 @@ def sink_overwrite(
         raise ValueError("bucket_by needs a table name: only the catalog knows a table's buckets")
     else:
         writer.save(path)
-    return int(obs.get["rows"])
+    return obs.get
+
+
+def sink_overwrite(
+    df: DataFrame,
+    path: str | None = None,
+    table: str | None = None,
+    fmt: str = "parquet",
+    partition_by: list[str] | None = None,
+    bucket_by: tuple[int, str] | None = None,
+    lookup: Sequence[str] = (),
+) -> int:
+    """:func:`sink_measured` without measures: the number of rows written."""
+    return int(sink_measured(df, path, table, fmt, partition_by, bucket_by, lookup)["rows"])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import claimscope.__main__ as cli
+from claimscope.operators.measures import row_security_session, secured_view
+from claimscope.operators.quality import dq_report
 from claimscope.operators.queue import claim_lookup
 from claimscope.plans import layers as L
 from claimscope.plans import refresh as RF
@@ -234,3 +236,33 @@ def test_rows_logged_alike_are_not_logged_again(spark):
     log = rows.limit(2).withColumn("run", F.lit("r0")).drop("why").withColumn("why", F.array(F.lit("x")))
     assert {r.claim_id for r in SK.not_logged(rows, log).collect()} == {"b", "c"}
     assert SK.not_logged(rows, None) is rows
+
+
+def test_the_report_of_a_refresh_reads_no_layer(spark):
+    bronze, claimants, properties = (f(spark, SF) for f in (FX.bronze_claims, FX.claimants, FX.properties))
+    for claims in (bronze, bronze.limit(0)):
+        res = RF.refresh(spark, claims, claimants, properties, base=scratch(spark, "measured"), as_of=dt.date(2001, 8, 1), scored_at=dt.datetime(2001, 8, 1))
+        report = RF.refresh_report(spark, res)
+        assert "FileScan" not in executed(report)
+        read = dq_report({name: res.read(spark, name) for name in RF.LAYERS})
+        assert "FileScan" in executed(read)
+        assert report.schema == read.schema
+        assert sorted(report.collect(), key=str) == sorted(read.collect(), key=str)
+
+
+def test_secured_view_follows_the_session_user(spark):
+    db = f"secured_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db}")
+    gold = spark.createDataFrame([("c1", "Ann"), ("c2", "Ben"), ("c3", None), ("c4", "Ann")], "claim_id string, assigned_investigator string")
+    me = spark.range(1).select(F.session_user()).first()[0]
+    users = spark.createDataFrame([(me, "Ann"), (me, "Ann"), ("another", "Ben"), (None, "Ben"), (me, None)], "user_name string, investigator string")
+    SK.sink_overwrite(gold, scratch(spark, "gold"), f"{db}.gold")
+    for assigned, expected in ((users, ["c1", "c4"]), (users.filter("user_name = 'another'"), [])):
+        SK.sink_overwrite(assigned, scratch(spark, "users"), f"{db}.users")
+        secured_view(spark, f"{db}.mine", f"{db}.gold", f"{db}.users")
+        view = spark.table(f"{db}.mine")
+        assert view.columns == gold.columns
+        assert sorted(r.claim_id for r in view.collect()) == expected
+        assert sorted(r.claim_id for r in row_security_session(gold, assigned).collect()) == expected
+    plan = executed(spark.table(f"{db}.mine").filter("claim_id = 'c1'"))
+    assert "EqualTo(claim_id,c1)" in plan
