@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimscope import constants as K
 from claimscope.functions.choice import weighted_choice
+from claimscope.plans import catalog
 from claimscope.plans import layers as L
 from claimscope.plans.layout import layout_cluster
 from claimscope.plans.refresh import refresh, refresh_report
@@ -122,3 +123,33 @@ def test_velocity_stream_matches_batch(spark):
     stream = E.queries()["stream_velocity"](spark, SF)
     batch = L.silver(spark, SF).select("claim_id", "claim_velocity_24mo")
     assert sorted(stream.collect()) == sorted(batch.collect())
+
+
+def test_velocity_stream_lands_each_year_through_several_tasks(spark, monkeypatch):
+    sf, base = scratch(spark, "velocity-tables"), scratch(spark, "velocity-stream")
+    orders = [
+        (k, k % 5, "OFP"[k % 3], 1000.0 + k, dt.date(2020 + k % 2, 1 + k % 3, 1 + k % 2), f"{1 + k % 5}-X")
+        for k in range(240)
+    ]
+    names = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"
+    spark.createDataFrame(orders, names).repartition(4).write.parquet(f"{sf}/orders.parquet")
+    lines = [(k, k % 7) for k in range(240)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{sf}/lineitem.parquet")
+    people = [(k, f"c{k}", k, 900.0 + 50 * k) for k in range(5)]
+    spark.createDataFrame(people, "c_custkey bigint, c_name string, c_nationkey bigint, c_acctbal double").write.parquet(
+        f"{sf}/customer.parquet")
+    parts = [(k, 10.0 + k, f"t{k}", k) for k in range(7)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_retailprice double, p_type string, p_size bigint").write.parquet(
+        f"{sf}/part.parquet")
+
+    monkeypatch.setattr(catalog, "_scratch", lambda *_: base)
+    got = sorted(catalog.CATALOG["stream_velocity"].fn(spark, sf).collect())
+    assert got == sorted(L.silver(spark, sf).select("claim_id", "claim_velocity_24mo").collect())
+
+    # a claimant's day stands in several files of a year, which are one micro-batch all the same
+    landed = spark.read.parquet(f"{base}/landing").withColumn("file", F.col("_metadata.file_path"))
+    per_year = landed.groupBy(F.year("filed_date").alias("y")).agg(F.count_distinct("file").alias("n")).collect()
+    assert {r.y for r in per_year} == {2020, 2021} and all(r.n > 1 for r in per_year)
+    per_day = landed.groupBy("claimant_id", "filed_date").agg(F.count_distinct("file").alias("n"))
+    assert per_day.filter("n > 1").count() > 0
+    assert spark.read.parquet(f"{base}/gold").select("batch").distinct().count() == 2
